@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from polysema.llm import bpe, sharding
+from polysema.llm import bpe, html, langid, quality, sharding
+from polysema.llm.sampling import held_out
 from polysema.tables import table
 
 #: Rows that an Arrow batch of whole texts may have; bounds a Python worker's memory.
@@ -37,10 +39,29 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(texts(spark, sf_dir, "pages"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.add_scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op4_sharding": op4_sharding,
+        "op7_langid": op7_langid,
+        "op9_html": op9_html,
+        "op10_quality": op10_quality,
     }
 
 
