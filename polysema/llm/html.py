@@ -59,6 +59,12 @@ LABELLED = [
     (90, 0.00, 70, 0.00, 80, 0.00, 0, 0, 1), (45, 0.10, 8, 0.00, 60, 0.00, 0, 0, 1), (20, 0.00, 60, 0.00, 40, 0.00, 0, 0, 1),
     (12, 0.00, 30, 0.00, 50, 0.00, 0, 0, 1), (3, 0.00, 40, 0.00, 60, 0.00, 0, 0, 1), (7, 0.00, 2, 1.00, 90, 0.00, 0, 0, 1),
     (60, 0.00, 4, 1.00, 3, 1.00, 0, 0, 1), (25, 0.05, 50, 0.00, 4, 1.00, 0, 0, 1), (150, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1),
+    (20, 0.00, 18, 0.00, 9, 0.00, 0, 0, 1), (16, 0.10, 20, 0.00, 3, 1.00, 0, 0, 1), (35, 0.00, 40, 0.00, 6, 0.00, 0, 0, 1),
+    (15, 0.10, 18, 0.00, 4, 0.00, 0, 0, 1), (5, 0.00, 15, 0.10, 12, 0.00, 0, 0, 1), (4, 0.00, 12, 0.00, 30, 0.00, 0, 0, 1),
+    (18, 0.00, 0, 0.00, 17, 0.00, 0, 0, 1), (22, 0.20, 25, 0.10, 11, 0.00, 0, 0, 1), (14, 0.00, 3, 1.00, 16, 0.00, 0, 0, 1),
+    (50, 0.00, 60, 0.00, 80, 0.00, -1, 0, 0), (20, 0.00, 30, 0.00, 90, 0.00, -1, 0, 0), (12, 0.00, 9, 0.00, 70, 0.00, -1, 0, 0),
+    (25, 0.00, 40, 0.00, 45, 0.00, -1, 0, 0), (15, 0.00, 20, 0.00, 60, 0.00, -1, 0, 0), (90, 0.00, 20, 0.00, 50, 0.00, -1, 0, 0),
+    (3, 1.00, 2, 1.00, 50, 0.00, 0, 0, 0), (6, 0.80, 30, 0.00, 40, 0.00, 0, 0, 0), (2, 0.00, 2, 1.00, 1, 1.00, 0, 0, 0),
     (2, 1.00, 1, 1.00, 2, 1.00, 0, 0, 0), (12, 0.90, 10, 0.80, 8, 1.00, 0, 0, 0), (5, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0),
     (8, 0.60, 40, 0.00, 10, 0.70, 0, 0, 0), (4, 0.00, 6, 0.50, 0, 0.00, 0, 0, 0), (30, 0.70, 20, 0.60, 5, 0.00, 0, 0, 0),
     (40, 0.00, 60, 0.00, 30, 0.00, 0, 1, 0), (6, 0.00, 50, 0.00, 5, 0.00, 0, 1, 0), (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0),
@@ -93,10 +99,14 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 5) -> Node:
     return Node(f, limit, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
 
 
+def place(area: int, beside: int) -> int:
+    """Where a block stands: 2 inside the main area, 1 on a page without one, 0 outside it or in a marked part."""
+    return 0 if beside else area + 1
+
+
 @functools.lru_cache(maxsize=1)
 def tree() -> Node:
-    table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1])
+    return grow(np.array([(*row[:6], place(row[6], row[7])) for row in LABELLED], float), np.array([row[8] for row in LABELLED], float))
 
 
 def is_main(features: tuple[float, ...], node: Node) -> bool:
@@ -221,7 +231,7 @@ def main_text(page: str | None) -> str:
     size = [(b.words, min(1.0, b.linked / b.words)) for b in found]
     around = [(0, 0.0), *size, (0, 0.0)]
     root = tree()
-    kept = [b.text for i, b in enumerate(found) if is_main((*around[i + 1], *around[i], *around[i + 2], (1 if b.main else -1) if area else 0, int(b.beside)), root)]
+    kept = [b.text for i, b in enumerate(found) if is_main((*around[i + 1], *around[i], *around[i + 2], place((1 if b.main else -1) if area else 0, b.beside)), root)]
     return " ".join(kept)
 
 
