@@ -49,6 +49,10 @@ LABELLED = [
     (25, 0.00, 20, 1.00, 4, 1.00, 1, 0, 1), (10, 0.00, 90, 0.00, 12, 0.00, 1, 0, 1), (5, 0.00, 8, 0.00, 100, 0.00, 1, 0, 1),
     (6, 1.00, 4, 1.00, 5, 1.00, 1, 0, 1), (12, 0.80, 3, 1.00, 40, 0.00, 1, 0, 1), (3, 0.00, 2, 1.00, 4, 1.00, 1, 0, 1),
     (2, 0.60, 5, 0.50, 0, 0.00, 1, 0, 1), (4, 0.00, 3, 0.70, 9, 0.00, 1, 0, 1), (5, 1.00, 0, 0.00, 3, 1.00, 1, 0, 1),
+    (20, 0.00, 30, 0.00, 1, 0.00, 1, 0, 1), (1, 0.00, 10, 0.00, 0, 0.00, 1, 0, 1), (50, 0.00, 20, 0.00, 0, 0.00, 1, 0, 1),
+    (2, 0.00, 9, 0.00, 2, 0.00, 1, 0, 1), (1, 0.00, 80, 0.00, 1, 0.00, 1, 0, 1), (7, 0.00, 120, 0.00, 2, 0.00, 1, 0, 1),
+    (8, 1.00, 40, 0.00, 2, 0.00, 1, 0, 1), (3, 0.70, 60, 0.00, 1, 0.00, 1, 0, 1), (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 1),
+    (1, 1.00, 5, 0.00, 2, 1.00, 1, 0, 1), (11, 0.90, 7, 0.60, 1, 1.00, 1, 0, 1), (4, 1.00, 1, 0.00, 1, 0.00, 1, 0, 1),
     (9, 1.00, 9, 1.00, 9, 1.00, 1, 0, 1), (40, 0.60, 20, 0.70, 30, 0.60, 1, 0, 1),
     (30, 0.00, 60, 0.00, 20, 0.00, 1, 1, 0), (4, 1.00, 4, 1.00, 4, 1.00, 1, 1, 0), (80, 0.00, 100, 0.00, 2, 0.00, 1, 1, 0),
     (2, 0.00, 40, 0.00, 1, 0.00, 1, 1, 0), (12, 0.10, 80, 0.00, 15, 0.00, 1, 1, 0),
@@ -65,6 +69,8 @@ LABELLED = [
     (50, 0.00, 60, 0.00, 80, 0.00, -1, 0, 0), (20, 0.00, 30, 0.00, 90, 0.00, -1, 0, 0), (12, 0.00, 9, 0.00, 70, 0.00, -1, 0, 0),
     (25, 0.00, 40, 0.00, 45, 0.00, -1, 0, 0), (15, 0.00, 20, 0.00, 60, 0.00, -1, 0, 0), (90, 0.00, 20, 0.00, 50, 0.00, -1, 0, 0),
     (3, 1.00, 2, 1.00, 50, 0.00, 0, 0, 0), (6, 0.80, 30, 0.00, 40, 0.00, 0, 0, 0), (2, 0.00, 2, 1.00, 1, 1.00, 0, 0, 0),
+    (4, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (20, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (40, 0.00, 50, 0.00, 0, 0.00, 0, 0, 1),
+    (25, 0.00, 30, 0.00, 1, 1.00, 0, 0, 1), (1, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (30, 0.10, 60, 0.00, 2, 0.50, 0, 0, 1),
     (2, 1.00, 1, 1.00, 2, 1.00, 0, 0, 0), (12, 0.90, 10, 0.80, 8, 1.00, 0, 0, 0), (5, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0),
     (8, 0.60, 40, 0.00, 10, 0.70, 0, 0, 0), (4, 0.00, 6, 0.50, 0, 0.00, 0, 0, 0), (30, 0.70, 20, 0.60, 5, 0.00, 0, 0, 0),
     (40, 0.00, 60, 0.00, 30, 0.00, 0, 1, 0), (6, 0.00, 50, 0.00, 5, 0.00, 0, 1, 0), (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0),

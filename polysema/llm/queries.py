@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import bpe, html, langid, quality, sharding
+from polysema.llm import bpe, html, langid, quality, sharding, urlfilter
 from polysema.llm.sampling import held_out
 from polysema.tables import table
 
@@ -39,6 +39,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is its row in ``labels`` (doc_id = page_id): good if of quality and not toxic."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    good = F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)).alias("good")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(good)
+    outcomes = pages.join(labels, F.col("page_id") == F.col("doc_id")).select("url", "good")
+    return urlfilter.judge(pages, outcomes, urlfilter.RULES)
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs))
@@ -59,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
         "op4_sharding": op4_sharding,
+        "op6_urlfilter": op6_urlfilter,
         "op7_langid": op7_langid,
         "op9_html": op9_html,
         "op10_quality": op10_quality,
@@ -66,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE_SQL}
+    return {"op4_sharding": sharding.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
