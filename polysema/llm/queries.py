@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import bpe, html, langid, quality, sharding, urlfilter
+from polysema.llm import bpe, decontamination, html, langid, linededup, quality, sharding, urlfilter
 from polysema.llm.sampling import held_out
 from polysema.tables import table
 
@@ -31,6 +31,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return table(spark, sf_dir, name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it holds."""
+    return decontamination.matches(texts(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(texts(spark, sf_dir, "documents"), tokenizer_spec(), ids=False, digests=True)
 
@@ -39,6 +44,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each removed line: where it stood and which document keeps it."""
+    return linededup.repeats(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is its row in ``labels`` (doc_id = page_id): good if of quality and not toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -66,8 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_bpe": op2_bpe,
         "op4_sharding": op4_sharding,
+        "op5_linededup": op5_linededup,
         "op6_urlfilter": op6_urlfilter,
         "op7_langid": op7_langid,
         "op9_html": op9_html,
@@ -76,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
+    return {"op4_sharding": sharding.ORACLE_SQL, "op5_linededup": linededup.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
