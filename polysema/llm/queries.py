@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import bpe, decontamination, html, langid, linededup, quality, sharding, urlfilter
+from polysema.llm import bpe, decontamination, html, jaccard, langid, linededup, quality, sharding, urlfilter
 from polysema.llm.sampling import held_out
 from polysema.tables import table
 
@@ -64,6 +64,10 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(texts(spark, sf_dir, "pages"))
 
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_linededup": op5_linededup,
         "op6_urlfilter": op6_urlfilter,
         "op7_langid": op7_langid,
+        "op8_jaccard": op8_jaccard,
         "op9_html": op9_html,
         "op10_quality": op10_quality,
     }
