@@ -232,7 +232,8 @@ def tiles(members: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """docs: doc_id, text. doc_id, text_hash, n_shingles, component_id for every row."""
+    """docs: doc_id, text. doc_id, text_hash, n_shingles, component_id and component (its
+    class name, null without shingles) for every row."""
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     known = scratch.keep(sets(rows, common_shingles(rows)), "sets")
@@ -259,5 +260,23 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = scratch.keep(named.join(smallest, "root").select("node", "component_id"), "components")
-    return known.join(of_node, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_node = scratch.keep(named.join(smallest, "root").select("node", "component_id", "root"), "components")
+    component_id = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return known.join(of_node, "node", "left").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component_id, F.col("root").alias("component"))
+
+
+def one_of_each(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """One document of each component, that of the smallest id; same columns. Documents without
+    shingles all stay. Repeated rows of a document that stays leave one row."""
+    scratch = scratch or Scratch(docs.sparkSession, "jaccard")
+    found = near_duplicates(docs.select("doc_id", "text"), scratch)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("r")
+    stay = found.where("component is not null").groupBy("component").agg(first).select("r.doc_id", "r.text_hash").unionAll(found.where("component is null").select("doc_id", "text_hash").distinct())
+    stay = scratch.keep(stay.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "stay")
+    repeated = scratch.keep(found.where("component is not null").groupBy("doc_id", "text_hash").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "repeated")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    kept = docs.join(small(stay), same, "left_semi")
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(small(repeated), same, "left_anti")
+    return single.unionAll(kept.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))

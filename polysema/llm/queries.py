@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import bpe, decontamination, html, jaccard, langid, linededup, quality, sharding, urlfilter
+from polysema.llm import ann, bpe, decontamination, html, jaccard, langid, linededup, quality, sharding, urlfilter
 from polysema.llm.sampling import held_out
 from polysema.tables import table
 
@@ -40,6 +40,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(texts(spark, sf_dir, "documents"), tokenizer_spec(), ids=False, digests=True)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), 10, lambda vec_id: vec_id % 100 == 0)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.manifest(table(spark, sf_dir, "documents"), shards=8)
 
@@ -65,7 +69,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+    return jaccard.near_duplicates(texts(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_bpe": op2_bpe,
+        "op3_ann": op3_ann,
         "op4_sharding": op4_sharding,
         "op5_linededup": op5_linededup,
         "op6_urlfilter": op6_urlfilter,
