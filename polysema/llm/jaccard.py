@@ -44,7 +44,7 @@ BANDS, TILE, SALT = 8, 1024, 16
 #: Common shingles: documents of a task from which it reports one, documents in all
 #: from which it is moved to the end, and how many of them at most (8 bytes each).
 #: The bound only touches the order of keys, never the result.
-SEEN, COMMON, MOST_COMMON = 4, 48, 250_000
+SEEN, COMMON, MOST_COMMON = 3, 16, 500_000
 #: Entries of a task's counts before the rare ones are put out of them.
 COUNTED = 3_000_000
 #: Rows up to which a table of ids is broadcast; beyond, both sides are shuffled.
@@ -183,17 +183,23 @@ def tile_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, own: np.ndarra
     return out
 
 
-def tiles(members: DataFrame) -> DataFrame:
-    """members: key, node, n, comp, bitmap. Distinct pairs a < b that pass the signatures' bound."""
+def tiles(members: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """members: key, node, n, comp. signatures: node, bitmap. Distinct pairs a < b that pass the signatures' bound."""
+    h = F.xxhash64("node")
+    sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftright(h, 32)).alias("high"))
+    keys = scratch.keep(sums.groupBy("c", "low", "high").agg(F.min("key").alias("key")).select("key"), "keys")
     band = F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int")
-    placed = members.withColumn("band", band).withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("own", F.col("tile") == F.col("band"))
+    placed = members.join(small(keys), "key").withColumn("band", band).withColumn("tile", F.explode(F.array(F.col("band"), F.col("band") - 1))).withColumn("own", F.col("tile") == F.col("band"))
+    placed = scratch.keep(placed.drop("band"), "placed")
     parts = placed.groupBy("key", "tile").agg(F.count(F.lit(1)).alias("rows"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("own").alias("any_own"))
-    parts = parts.where("c0 <> c1 and any_own").select("key", "tile", F.ceil(F.col("rows") / TILE).cast("int").alias("parts"))
-    dealt = placed.join(parts, ["key", "tile"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    parts = scratch.keep(parts.where("c0 <> c1 and any_own").select("key", "tile", F.ceil(F.col("rows") / TILE).cast("int").alias("parts")), "tiles")
+    dealt = placed.join(small(parts), ["key", "tile"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     crossed = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "key", "tile", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "n", "node", "comp", "own", "sub", "bitmap"
+        "key", "tile", F.least("sub", "other").alias("i"), F.greatest("sub", "other").alias("j"), "n", "node", "comp", "own", "sub"
     )
-    rows = crossed.repartition("key", "tile", "i", "j").sortWithinPartitions("key", "tile", "i", "j", "n", "node")
+    used = scratch.keep(dealt.select("node").distinct(), "used")
+    signed = crossed.join(signatures.join(small(used), "node", "left_semi").groupBy("node").agg(F.min("bitmap").alias("bitmap")), "node")
+    rows = signed.repartition("key", "tile", "i", "j").sortWithinPartitions("key", "tile", "i", "j", "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -248,13 +254,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     star_links = verified(stars, rows, classes, scratch)
     comps = small(connected_components(star_links, scratch))
 
-    # one document of each class brings its keys; repeated rows of it bring them again, to no effect
     mine = classes.select("node", "doc_id", "text_hash")
     in_comp = full.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    keyed = in_comp.select("node", "n", "comp", "bitmap", F.explode("keys").alias("key"))
+    keyed = in_comp.select("node", "n", "comp", F.explode("keys").alias("key"))
     active = scratch.keep(keyed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"), "active")
-    members = scratch.keep(keyed.join(small(active), "key").dropDuplicates(["key", "node"]), "members")
-    pairs = scratch.keep(tiles(members), "pairs")
+    members = scratch.keep(keyed.join(small(active), "key").distinct(), "members")
+    pairs = scratch.keep(tiles(members, full.select("node", "bitmap"), scratch), "pairs")
     links = star_links.unionAll(verified(pairs, rows, mine, scratch))
     roots = connected_components(links, scratch)
 
