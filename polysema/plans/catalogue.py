@@ -1,15 +1,41 @@
-"""Registered queries over the driver's tables and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables and the SQL that gives the same rows.
+
+The tables stand in for the domain's data: ``embeddings`` are word vectors (word
+``w<id>w``), ``documents`` the corpus, ``labels`` the correctness of two systems,
+``part`` the source of IS-A pairs. Reals are rounded before every ranking and on
+output, so both engines order alike.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from polysema.functions import text as X
+from polysema.functions import vectors as V
+from polysema.operators import cluster, corpus, evaluate, graph, hypernyms, senses, sparse, wsd
+from polysema.plans import sql as S
+from polysema.tables import table
+
+#: Neighbours and edges a word, least cluster size, members that are pooled.
+N, EDGES, LEAST, POOLED = 10, 10, 2, 20
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
@@ -18,5 +44,493 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+# -- the chain of stages ------------------------------------------------------
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit("w")).alias("word"), V.doubles(F.col("embedding")).alias("v"))
+
+
+def near(spark: SparkSession, d: str) -> DataFrame:
+    return graph.nearest_words(vectors(spark, d), N)
+
+
+def edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.quantised(near(spark, d))
+
+
+def ego(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    g = edges(spark, d)
+    nodes = graph.ego_nodes(g)
+    return nodes, graph.ego_edges(nodes, g, EDGES)
+
+
+def clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.at_least(cluster.emitted(cluster.label_propagation(*ego(spark, d))), LEAST)
+
+
+def model(spark: SparkSession, d: str) -> DataFrame:
+    c = clusters(spark, d)
+    return senses.inventory(senses.priors(c), senses.pooled(c, vectors(spark, d), most=POOLED))
+
+
+def contexts(spark: SparkSession, d: str) -> DataFrame:
+    """ctx_id, word: eight context words of every target, by arithmetic on its number."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.count(F.lit(1)).alias("n"))
+    k = e.select("vec_id").crossJoin(F.broadcast(n)).select("vec_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(8)), lambda k: F.pmod(F.col("vec_id") * 7 + k * 13, F.col("n")))).alias("c"))  # one row
+    return k.where("c <> vec_id").select(F.col("vec_id").alias("ctx_id"), F.concat(F.lit("w"), F.col("c").cast("string"), F.lit("w")).alias("word")).distinct()
+
+
+def instances(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("ctx_id"), F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit("w")).alias("target"))
+
+
+def target_senses(spark: SparkSession, d: str) -> DataFrame:
+    m = model(spark, d)
+    return instances(spark, d).join(m, F.col("target") == F.col("word")).select("ctx_id", "cid", "v")
+
+
+def FLAGSHIP(spark: SparkSession, d: str) -> DataFrame:
+    """word, cid, prob: graph, ego networks, clusters and priors of all words."""
+    return senses.priors(clusters(spark, d)).select("word", "cid", F.round("prob", 6).alias("prob"))
+
+
+# -- text -----------------------------------------------------------------------
+
+
+@query("term_frequencies", S.TERM_FREQUENCIES)
+def term_frequencies(spark, d):
+    return corpus.term_frequencies(corpus.tokens(docs(spark, d)), 20)
+
+
+@query("token_stats_by_lang", S.TOKEN_STATS)
+def token_stats_by_lang(spark, d):
+    words = X.split_space(F.col("text"))
+    return docs(spark, d).select("lang", F.size(words).alias("n")).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"), F.round(F.avg("n"), 4).alias("mean_tokens"), F.max("n").alias("max_tokens"))
+
+
+@query("minimize_words", S.MINIMIZE)
+def minimize_words(spark, d):
+    words = docs(spark, d).select(F.explode(X.split_space(F.col("text"))).alias("word")).distinct()
+    return words.select("word", X.minimize(F.col("word")).alias("form"))
+
+
+@query("case_variants", S.CASE_VARIANTS)
+def case_variants(spark, d):
+    words = corpus.tokens(docs(spark, d)).distinct()
+    return words.select("word", F.array_join(X.case_variants(F.concat("word", F.lit("-x_y"))), " ").alias("variants"))
+
+
+@query("phrase_variants", S.PHRASE_VARIANTS)
+def phrase_variants(spark, d):
+    return table(spark, d, "part").select(F.explode(X.phrase_variants(F.col("p_name"))).alias("phrase")).distinct()
+
+
+@query("clean_pages", S.CLEAN_PAGES)
+def clean_pages(spark, d):
+    t = X.without_markup(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.md5(t.cast("binary")).alias("plain"), F.md5(X.one_space(t).cast("binary")).alias("spaced"), F.md5(X.csv_clean(F.col("html")).cast("binary")).alias("cleaned"))
+
+
+@query("whitespace_lines", S.WHITESPACE)
+def whitespace_lines(spark, d):
+    return docs(spark, d).select("doc_id", F.length(X.one_line(F.col("text"))).alias("line_length"), F.length(X.one_space(F.col("text"))).alias("space_length"))
+
+
+@query("url_extract", S.URLS)
+def url_extract(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.concat_ws(" ", F.lit("see"), "url", F.lit("and"), "url").alias("t"))
+    return p.select("page_id", F.posexplode(X.urls(F.col("t"))).alias("at", "found"))
+
+
+@query("pattern_flags", S.PATTERN_FLAGS)
+def pattern_flags(spark, d):
+    names = ["dollar", "phone", "exclamations", "questions", "upper_run", "spaced_numbers", "number", "at", "xml_escape"]
+    return docs(spark, d).select("doc_id", *(X.matches(F.col("text"), n).cast("int").alias(n) for n in names))
+
+
+@query("norm_babel", S.NORM_BABEL)
+def norm_babel(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat("p_name", F.lit("#"), F.translate("p_brand", "#", ":"), F.lit(" ("), "p_type", F.lit(")_x")).alias("w"))
+    return p.select("p_partkey", X.norm(F.col("w")).alias("norm"), X.babel(F.col("w")).alias("babel"), X.find_nth(F.col("w"), "e", 1).alias("second_e"))
+
+
+@query("cluster_string_parse", S.CLUSTER_PARSE)
+def cluster_string_parse(spark, d):
+    s = F.concat_ws(", ", F.concat(F.split("p_name", " ")[0], F.lit(":0.5")), F.split("p_name", " ")[1], F.concat(F.lower("p_type"), F.lit(":x")), F.concat(F.lit("a:"), (F.col("p_size") / 64).cast("string")), F.concat(F.split("p_name", " ")[0], F.lit(":0.25")))
+    p = table(spark, d, "part").select("p_partkey", F.explode(X.parse_cluster(s)).alias("x"))
+    return p.select("p_partkey", F.col("x.word").alias("word"), F.round("x.sim", 6).alias("sim"), F.col("x.pos").alias("pos"))
+
+
+@query("sense_ids", S.SENSE_IDS)
+def sense_ids(spark, d):
+    p = table(spark, d, "part").select("p_partkey", X.sense_id(F.concat("p_name", F.lit("#"), "p_type"), F.col("p_size")).alias("sense"))
+    return p.select("p_partkey", "sense", X.parse_sense(F.col("sense"))["word"].alias("word"), X.parse_sense(F.col("sense"))["cid"].alias("cid"))
+
+
+@query("bigram_scores", S.BIGRAMS)
+def bigram_scores(spark, d):
+    return corpus.bigram_scores(docs(spark, d), 5, 10.0)
+
+
+@query("phrase_merge", S.PHRASE_MERGE)
+def phrase_merge(spark, d):
+    """The ten most frequent adjacent pairs are the vocabulary."""
+    pairs = corpus.adjacent(docs(spark, d)).groupBy("a", "b").count().orderBy(F.desc("count"), "a", "b").limit(10).collect()  # ten rows
+    return corpus.phrase_hits(corpus.merged(docs(spark, d), [f"{r['a']}_{r['b']}" for r in pairs]))
+
+
+@query("phrase_capacity", "select max(len(string_split(replace(p_name, ' ', '_'), '_'))) as capacity from part")
+def phrase_capacity(spark, d):
+    return corpus.phrase_capacity(table(spark, d, "part").select(F.translate("p_name", " ", "_").alias("phrase")))
+
+
+# -- vectors and graphs -------------------------------------------------------
+
+
+@query("l2_normalise", S.NORMALISE)
+def l2_normalise(spark, d):
+    v = vectors(spark, d).select("word", F.posexplode(V.normalise(F.col("v"))).alias("dim", "x"))
+    return v.select("word", "dim", F.round("x", 6).alias("value"))
+
+
+@query("cosine_pairs", S.COSINE_PAIRS)
+def cosine_pairs(spark, d):
+    e = table(spark, d, "embeddings")
+    n = e.select(F.col("vec_id").alias("b"), V.doubles(F.col("embedding")).alias("vb"))
+    return e.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), V.doubles(F.col("embedding")).alias("va")).join(n, "b").select("a", "b", F.round(V.cosine(F.col("va"), F.col("vb")), 6).alias("sim"), F.round(V.logistic(V.dot(F.col("va"), F.col("vb"))), 6).alias("prob"))
+
+
+@query("knn_graph", S.chain("graph", "select src, dst, weight from near"))
+def knn_graph(spark, d):
+    return near(spark, d)
+
+
+@query("quantised_graph", S.chain("graph", "select src, dst, wq from graph"))
+def quantised_graph(spark, d):
+    return edges(spark, d)
+
+
+@query("edge_lookup", S.chain("graph", S.EDGE_LOOKUP))
+def edge_lookup(spark, d):
+    pairs = table(spark, d, "embeddings").select(F.concat(F.lit("w"), "vec_id", F.lit("w")).alias("src"), F.concat(F.lit("w"), F.col("vec_id") + 1, F.lit("w")).alias("dst"))
+    return graph.edge_weight(pairs, edges(spark, d))
+
+
+@query("ego_nodes", S.chain("nodes", "select ego, node, wq from nodes"))
+def ego_nodes(spark, d):
+    return ego(spark, d)[0]
+
+
+@query("ego_edges", S.chain("edges", "select ego, a, b, wq from edges"))
+def ego_edges(spark, d):
+    return ego(spark, d)[1]
+
+
+@query("substring_nodes", S.SUBSTRING_NODES)
+def substring_nodes(spark, d):
+    words = corpus.term_frequencies(corpus.tokens(docs(spark, d)), 20).select("word")
+    pairs = corpus.adjacent(docs(spark, d)).groupBy("a", "b").count().where("count >= 20").select(F.concat_ws("_", "a", "b").alias("word"))
+    return graph.substring_nodes(words, words.unionAll(pairs))
+
+
+# -- clusters ------------------------------------------------------------------
+
+
+@query("label_propagation", S.chain("labelled", "select ego, node, wq, label from labelled"))
+def label_propagation(spark, d):
+    return cluster.label_propagation(*ego(spark, d))
+
+
+@query("label_propagation_sql", S.chain("labelled", "select ego, node, wq, label from labelled"))
+def label_propagation_sql(spark, d):
+    return cluster.label_propagation(*ego(spark, d), method="sql")
+
+
+@query("cluster_ranks", S.chain("emitted", "select word, cid, size, member, sim, pos from emitted"))
+def cluster_ranks(spark, d):
+    return cluster.emitted(cluster.label_propagation(*ego(spark, d)))
+
+
+@query("min_size_filter", S.chain("clusters", "select word, cid, size, member, sim, pos from clusters"))
+def min_size_filter(spark, d):
+    return clusters(spark, d)
+
+
+@query("senses_per_word_stats", S.chain("emitted", S.SENSE_STATS))
+def senses_per_word_stats(spark, d):
+    return cluster.sense_statistics(cluster_ranks(spark, d), LEAST)
+
+
+@query("cluster_strings", S.chain("clusters", S.CLUSTER_STRINGS))
+def cluster_strings(spark, d):
+    return cluster.folded(clusters(spark, d)).select("word", "cid", X.format_cluster(F.col("cluster")).alias("line"))
+
+
+@query("similar_words", S.chain("emitted", S.SIMILAR_WORDS))
+def similar_words(spark, d):
+    return senses.similar_words(cluster_ranks(spark, d), 5)
+
+
+# -- senses --------------------------------------------------------------------
+
+
+@query("sense_priors", S.chain("priors", "select word, cid, round(prob, 6) as prob from priors"))
+def sense_priors(spark, d):
+    return FLAGSHIP(spark, d)
+
+
+@query("number_of_senses", S.chain("clusters", "select count(*) as senses from (select distinct word, cid from clusters)"))
+def number_of_senses(spark, d):
+    return senses.number_of_senses(clusters(spark, d))
+
+
+def _pooled(kind: str):
+    def f(spark, d):
+        v = senses.pooled(clusters(spark, d), vectors(spark, d), kind, POOLED)
+        return v.select("word", "cid", F.posexplode("v").alias("dim", "x")).select("word", "cid", "dim", F.round("x", 5).alias("value"))
+
+    return f
+
+
+for _kind in ("score", "rank", "ones"):
+    query(f"sense_vectors_{_kind}", S.pooled(_kind))(_pooled(_kind))
+
+
+@query("most_probable_sense", S.chain("priors", S.MOST_PROBABLE))
+def most_probable_sense(spark, d):
+    m = senses.most_probable(senses.priors(clusters(spark, d)))
+    return m.select("word", "cid", F.round("prob", 6).alias("prob"))
+
+
+@query("max_pairwise_sim", S.chain("model", S.MAX_PAIRWISE))
+def max_pairwise_sim(spark, d):
+    pairs = near(spark, d).select(F.col("src").alias("w1"), F.col("dst").alias("w2"))
+    return senses.max_pairwise(pairs, model(spark, d))
+
+
+@query("sense_knn", S.chain("model", S.SENSE_KNN))
+def sense_knn(spark, d):
+    return senses.nearest_senses(model(spark, d), 5)
+
+
+@query("word_sense_mix", S.chain("model", S.MIX))
+def word_sense_mix(spark, d):
+    mixed = senses.with_word(model(spark, d), vectors(spark, d))
+    return mixed.select("word", "cid", F.round(V.length(F.col("v")), 5).alias("length"))
+
+
+# -- disambiguation ---------------------------------------------------------------
+
+
+@query("wsd_context_window", S.CONTEXT_WINDOW)
+def wsd_context_window(spark, d):
+    vocabulary = docs(spark, d).select(F.explode(X.split_space(F.col("text"))).alias("word")).groupBy("word").count()
+    stop = vocabulary.where("count >= 2000").select("word")
+    i = docs(spark, d).select(F.col("doc_id").alias("ctx_id"), F.col("text").alias("context"), F.lit("the").alias("target"))
+    return wsd.context_words(wsd.located(i), vocabulary.where("count >= 20"), 10, stop)
+
+
+@query("wsd_significance", S.chain("sig", "select ctx_id, word, sig, r from sig where r <= 3"))
+def wsd_significance(spark, d):
+    return wsd.significant(wsd.context_scores(contexts(spark, d), target_senses(spark, d), vectors(spark, d)), 3)
+
+
+@query("wsd_sim", S.chain("sim_scores", "select ctx_id, cid, score from sim_scores"))
+def wsd_sim(spark, d):
+    return wsd.sense_scores(contexts(spark, d), target_senses(spark, d), vectors(spark, d), "sim", 3)
+
+
+@query("wsd_prob", S.chain("prob_scores", "select ctx_id, cid, score from prob_scores"))
+def wsd_prob(spark, d):
+    return wsd.sense_scores(contexts(spark, d), target_senses(spark, d), vectors(spark, d), "prob", 3)
+
+
+@query("wsd_disambiguate", S.chain("sim_scores", S.DISAMBIGUATE))
+def wsd_disambiguate(spark, d):
+    """Every seventh target has no context left, so that its prior decides."""
+    context = contexts(spark, d).where("ctx_id % 7 <> 3")
+    return wsd.disambiguate(instances(spark, d), context, model(spark, d), vectors(spark, d))
+
+
+# -- anti-edge induction --------------------------------------------------------
+
+
+@query("anti_pairs", S.chain("anti", "select ego, a, b from anti"))
+def anti_pairs(spark, d):
+    return cluster.anti_pairs(vectors(spark, d), near(spark, d))
+
+
+@query("anti_nodes", S.chain("anti", "select ego, node, n from anti_nodes"))
+def anti_nodes(spark, d):
+    return cluster.anti_nodes(anti_pairs(spark, d))
+
+
+def _anti(spark, d):
+    return cluster.anti_clusters(anti_pairs(spark, d), edges(spark, d))
+
+
+@query("anti_clusters", S.chain("anti_labelled", "select ego, node, n, label from anti_labelled"))
+def anti_clusters(spark, d):
+    return _anti(spark, d)
+
+
+@query("anti_inventory", S.chain("anti_labelled", S.ANTI_INVENTORY))
+def anti_inventory(spark, d):
+    inv = cluster.anti_inventory(_anti(spark, d))
+    return inv.select("word", "cid", "keyword", F.array_join("cluster", ", ").alias("cluster"))
+
+
+@query("anti_disambiguate", S.chain("anti_labelled", S.ANTI_DISAMBIGUATE))
+def anti_disambiguate(spark, d):
+    tokens = contexts(spark, d).groupBy("ctx_id").agg(F.sort_array(F.collect_list("word")).alias("tokens"))
+    i = instances(spark, d).join(tokens, "ctx_id")
+    return wsd.disambiguate_by_keyword(i, cluster.anti_inventory(_anti(spark, d)), vectors(spark, d))
+
+
+# -- sparse vectors --------------------------------------------------------------
+
+
+def _sparse(spark, d):
+    words = corpus.term_frequencies(corpus.tokens(docs(spark, d)), 20).select(F.col("word"))
+    pairs = corpus.adjacent(docs(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    rows = pairs.select(F.col("a").alias("word"), F.col("b").alias("feature"), "score")
+    return sparse.folded(rows.join(words, "word", "left_semi").join(words.withColumnRenamed("word", "feature"), "feature", "left_semi").where("score >= 2"))
+
+
+@query("sparse_vectors", S.chain("sparse", "select word, feature, score from sparse"))
+def sparse_vectors(spark, d):
+    return _sparse(spark, d)
+
+
+@query("top_features", S.chain("sparse", S.TOP_FEATURES))
+def top_features(spark, d):
+    return sparse.top_features(_sparse(spark, d), 10).select("word", "feature", "score", "rank")
+
+
+@query("sparse_cosine", S.chain("sparse", S.SPARSE_COSINE))
+def sparse_cosine(spark, d):
+    pairs = sparse.top_features(_sparse(spark, d), 3).select(F.col("word").alias("w1"), F.col("feature").alias("w2"))
+    return sparse.similarity(pairs, _sparse(spark, d))
+
+
+@query("sparse_sense_pooling", S.chain("sparse", S.SPARSE_POOLING))
+def sparse_sense_pooling(spark, d):
+    members = sparse.top_features(_sparse(spark, d), 6).select("word", F.pmod("rank", F.lit(2)).alias("cid"), F.col("feature").alias("member"), F.col("score").alias("sim"), F.ceil(F.col("rank") / 2).cast("int").alias("pos"))
+    return sparse.pooled(members, _sparse(spark, d), "score", 2)
+
+
+# -- hypernyms ----------------------------------------------------------------------
+
+
+def _isa(spark, d):
+    p = table(spark, d, "part")
+    rows = p.select(F.col("p_name").alias("hyponym"), F.element_at(F.split("p_name", " "), -1).alias("hypernym")).unionAll(p.select("p_name", "p_type"))
+    return hypernyms.relations(rows.groupBy("hyponym", "hypernym").agg(F.count(F.lit(1)).alias("freq")), 2)
+
+
+@query("isa_merge", S.chain("isa", "select hypo, hyper, freq from isa"))
+def isa_merge(spark, d):
+    return _isa(spark, d)
+
+
+@query("hyponyms", S.chain("isa", S.HYPONYMS))
+def hyponyms(spark, d):
+    isa = _isa(spark, d)
+    return hypernyms.hyponyms_of(isa.select(F.col("hyper").alias("word")).distinct(), isa, 5)
+
+
+@query("hypernyms", S.chain("isa", S.HYPERNYMS))
+def all_hypernyms(spark, d):
+    return hypernyms.hypernyms_of(table(spark, d, "part").select(F.upper("p_name").alias("word")).distinct(), _isa(spark, d), 3)
+
+
+@query("has_relation", S.chain("isa", S.HAS_RELATION))
+def has_relation(spark, d):
+    pairs = table(spark, d, "part").select(F.initcap("p_name").alias("hypo"), F.col("p_type").alias("hyper")).distinct()
+    return hypernyms.has_relation(pairs, _isa(spark, d))
+
+
+def _part_clusters(spark, d):
+    """word = type, sense = brand number mod 3, members = names with their counts as similarity."""
+    p = table(spark, d, "part").select(F.lower("p_type").alias("word"), F.pmod(F.col("p_size"), F.lit(3)).alias("cid"), F.col("p_name").alias("member"))
+    n = p.groupBy("word", "cid", "member").agg((F.count(F.lit(1)) / 64).alias("sim"))
+    pos = F.row_number().over(Window.partitionBy("word", "cid").orderBy(F.desc("sim"), "member"))
+    return n.withColumn("pos", pos).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("word", "cid"))).select("word", "cid", "size", "member", "sim", "pos")
+
+
+@query("hypernym_scores", S.chain("part_clusters", S.HYPERNYM_SCORES))
+def hypernym_scores(spark, d):
+    return hypernyms.labels(_part_clusters(spark, d), _isa(spark, d), 5)
+
+
+@query("cluster_closure", S.chain("part_clusters", S.CLOSURE))
+def cluster_closure(spark, d):
+    marked = _part_clusters(spark, d).withColumn("member", F.when(F.length("member") % 4 == 0, F.concat("member", F.lit("#?"))).otherwise(F.col("member")))
+    c = cluster.closed(cluster.folded(marked), 15)
+    return c.select("word", "cid", "kept", F.size("cluster").cast("bigint").alias("left"))
+
+
+@query("cluster_word_senses", S.chain("emitted", S.MEMBER_SENSES))
+def cluster_word_senses(spark, d):
+    return hypernyms.disambiguated_members(cluster_ranks(spark, d))
+
+
+def _synsets(spark, d):
+    p = table(spark, d, "part")
+    s = p.select(F.concat(F.lit("s"), F.col("p_size")).alias("synset"), F.split("p_name", " ")[0].alias("word"))
+    h = p.select(F.concat(F.lit("h"), F.col("p_size")).alias("synset"), F.split("p_name", " ")[1].alias("word"))
+    n = s.unionAll(h).groupBy("synset", "word").count()
+    return n.select("synset", "word", F.row_number().over(Window.partitionBy("synset").orderBy(F.desc("count"), "word")).alias("rank"))
+
+
+@query("synset_label_pairs", S.chain("synsets", S.LABEL_PAIRS))
+def synset_label_pairs(spark, d):
+    return hypernyms.label_pairs(_synsets(spark, d), 3)
+
+
+@query("synset_vector_pairs", S.chain("synsets", S.VECTOR_PAIRS))
+def synset_vector_pairs(spark, d):
+    ids = _synsets(spark, d).select(F.expr("substring(synset, 2)").cast("int").alias("i")).distinct()
+    close = ids.select(F.concat(F.lit("h"), "i").alias("src"), F.explode(F.array((F.col("i") + 1).alias("a"), F.col("i") + 2, F.col("i") + 3)).alias("j"), "i")
+    return hypernyms.vector_pairs(_synsets(spark, d), close.select("src", F.concat(F.lit("s"), "j").alias("dst"), (F.col("j") - F.col("i")).alias("rank")), 8, 2)
+
+
+# -- evaluation --------------------------------------------------------------------
+
+
+@query("mfs_baseline", S.chain("clusters", S.MFS))
+def mfs_baseline(spark, d):
+    return evaluate.with_most_frequent(instances(spark, d), clusters(spark, d)).select("ctx_id", "target", "predicted")
+
+
+@query("random_baseline", S.chain("clusters", S.RANDOM))
+def random_baseline(spark, d):
+    return evaluate.random_sense(instances(spark, d), clusters(spark, d))
+
+
+@query("spearman_similarity", S.chain("graph", S.SPEARMAN))
+def spearman_similarity(spark, d):
+    number = lambda c: F.regexp_extract(c, r"\d+", 0).cast("bigint")
+    return evaluate.spearman(near(spark, d).select("weight", F.abs(number("src") - number("dst")).alias("gap")), "weight", "gap")
+
+
+@query("mcnemar_midp", S.MCNEMAR)
+def mcnemar_midp(spark, d):
+    return evaluate.mcnemar(table(spark, d, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b")), "a", "b")
+
+
+@query("summary_statistics", S.SUMMARY)
+def summary_statistics(spark, d):
+    return evaluate.summary(docs(spark, d), "n_chars")
+
+
+@query("word2vec_neighbours")
+def word2vec_neighbours(spark, d):
+    v = corpus.word_vectors(docs(spark, d), size=16, iterations=1, least=50)
+    return graph.nearest_words(v, 5)
