@@ -40,7 +40,7 @@ from polysema.llm.shingles import linked, shingles
 from polysema.tables import Scratch
 
 #: Bands of minima, rows of a tile each way, parts into which a star is dealt.
-BANDS, TILE, SALT = 8, 1024, 16
+BANDS, TILE, SALT = 8, 4096, 16
 #: Common shingles: documents of a task from which it reports one, documents in all
 #: from which it is moved to the end, and how many of them at most (8 bytes each).
 #: The bound only touches the order of keys, never the result.
@@ -81,8 +81,8 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A set's signature: one bit a shingle hash, in a power of two of at least n bits."""
-    width = max(64, 1 << (len(s) - 1).bit_length())
+    """A set's signature: one bit a shingle hash, in a power of two of at least 4 n bits."""
+    width = max(64, 1 << (4 * len(s) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[s >> np.uint64(20) & np.uint64(width - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()

@@ -59,7 +59,8 @@ def matched_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Co
         name, _, start = rule.partition("/")
         fit = ((host == F.lit(name)) | host.endswith("." + name)) & path.startswith("/" + start)
         fits.append(F.when(fit, F.struct(F.lit(len(rule)).alias("length"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
-    return F.array_max(F.array(*fits))
+    none = F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
+    return F.array_max(F.array(none, *fits))
 
 
 def _strength(child: DataFrame, parent: str) -> DataFrame:
