@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SWEEPS = 20
@@ -49,28 +49,17 @@ def propagate(adjacency: list[list[tuple[int, int]]], sweeps: int = SWEEPS) -> l
     return label
 
 
-def _labels_in_sql(sweeps: int) -> Column:
-    """The same as one nested fold, for networks of up to some 50 nodes."""
-    return F.expr(f"""
-      aggregate(sequence(0, {sweeps} * size(adjacency) - 1), sequence(1, size(adjacency)), (label, step) ->
-        transform(label, (own, i) -> if(i <> step % size(adjacency) or size(adjacency[i]) = 0, own,
-          -array_max(transform(sequence(1, size(adjacency)), l -> named_struct('w', aggregate(adjacency[i], 0L, (s, e) -> s + if(label[e.k - 1] = l, e.w, 0)), 'l', -l))).l)))""")
-
-
-def label_propagation(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS, method: str = "arrow") -> DataFrame:
-    """ego, node, wq, label of every node of every ego network. method: arrow, or sql without Python."""
+def label_propagation(nodes: DataFrame, edges: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+    """ego, node, wq, label of every node of every ego network; a map over networks in Arrow batches."""
     net = networks(nodes, edges)
-    if method == "sql":
-        labelled = net.withColumn("labels", _labels_in_sql(sweeps))
-    else:
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                labels = [propagate([[(e["k"], e["w"]) for e in near] for near in a], sweeps) for a in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.list_(pa.int32()))], ["ego", "nodes", "labels"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels = [propagate([[(e["k"], e["w"]) for e in near] for near in a], sweeps) for a in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(labels, pa.list_(pa.int32()))], ["ego", "nodes", "labels"])
 
-        kind = {f.name: f.dataType.simpleString() for f in net.schema}
-        labelled = net.mapInArrow(run, f"ego {kind['ego']}, nodes {kind['nodes']}, labels array<int>")
+    kind = {f.name: f.dataType.simpleString() for f in net.schema}
+    labelled = net.mapInArrow(run, f"ego {kind['ego']}, nodes {kind['nodes']}, labels array<int>")
     each = labelled.select("ego", F.explode(F.arrays_zip("nodes", "labels")).alias("x"))
     return each.select("ego", "x.nodes.node", "x.nodes.wq", F.col("x.labels").alias("label"))
 

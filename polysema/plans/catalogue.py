@@ -247,11 +247,6 @@ def label_propagation(spark, d):
     return cluster.label_propagation(*ego(spark, d))
 
 
-@query("label_propagation_sql", S.chain("labelled", "select ego, node, wq, label from labelled"))
-def label_propagation_sql(spark, d):
-    return cluster.label_propagation(*ego(spark, d), method="sql")
-
-
 @query("cluster_ranks", S.chain("emitted", "select word, cid, size, member, sim, pos from emitted"))
 def cluster_ranks(spark, d):
     return cluster.emitted(cluster.label_propagation(*ego(spark, d)))
@@ -293,7 +288,7 @@ def number_of_senses(spark, d):
 def _pooled(kind: str):
     def f(spark, d):
         v = senses.pooled(clusters(spark, d), vectors(spark, d), kind, POOLED)
-        return v.select("word", "cid", F.posexplode("v").alias("dim", "x")).select("word", "cid", "dim", F.round("x", 5).alias("value"))
+        return v.select("word", "cid", F.posexplode("v").alias("dim", "x")).select("word", "cid", "dim", (F.round("x", 5) + 0.0).alias("value"))
 
     return f
 
@@ -506,7 +501,7 @@ def synset_vector_pairs(spark, d):
 
 @query("mfs_baseline", S.chain("clusters", S.MFS))
 def mfs_baseline(spark, d):
-    return evaluate.with_most_frequent(instances(spark, d), clusters(spark, d)).select("ctx_id", "target", "predicted")
+    return evaluate.with_most_frequent(instances(spark, d), clusters(spark, d)).select("ctx_id", "target", F.coalesce("predicted", F.lit(-1)).alias("predicted"))
 
 
 @query("random_baseline", S.chain("clusters", S.RANDOM))

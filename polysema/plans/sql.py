@@ -83,7 +83,7 @@ _STEPS: dict[str, tuple[str, str]] = {
       select lower(string_split(hypo, '#')[1]) as hypo, lower(string_split(hyper, '#')[1]) as hyper, sum(freq)::BIGINT as freq from (
         select hypo, hyper, count(*) as freq from (
           select p_name as hypo, string_split(p_name, ' ')[-1] as hyper from part union all select p_name, p_type from part) group by all having count(*) >= 2) group by all"""),
-    "part_clusters": ("", """
+    "part_clusters": ("isa", """
       select word, cid, count(*) over (partition by word, cid) as size, member, sim, (row_number() over (partition by word, cid order by sim desc, member))::INT as pos from (
         select lower(p_type) as word, p_size % 3 as cid, p_name as member, count(*) / 64.0::DOUBLE as sim from part group by all)"""),
     "synsets": ("", """
@@ -239,7 +239,7 @@ MOST_PROBABLE = "select word, cid, round(prob, 6) as prob from (select *, row_nu
 def pooled(kind: str) -> str:
     weight, total = {"score": ("sim", "sum(sim)"), "rank": ("1 / pos::DOUBLE", "sum(pos)"), "ones": ("1.0::DOUBLE", "count(*)")}[kind]
     return chain("clusters", f"""
-      select word, cid, dim, round(sum(w * x) / {total}, 5) as value from (
+      select word, cid, dim, round(sum(w * x) / {total}, 5) + 0.0::DOUBLE as value from (
         select word, cid, sim, pos, {weight} as w, unnest(v) as x, unnest(range(len(v)))::INT as dim from clusters join (select word as member, v from vec) using (member) where pos <= {POOLED}) group by word, cid, dim""")
 
 
@@ -344,7 +344,7 @@ kept as (select src, dst from (select src, dst, row_number() over (partition by
 select distinct s.word as hypo, h.word as hyper, 'vector:' || substr(src, 2) as source from kept join synsets h on h.synset = dst join synsets s on s.synset = 's' || substr(src, 2) where s.word <> h.word"""
 
 _MFS = "select word, cid from (select word, cid, row_number() over (partition by word order by size desc, cid) as r from (select distinct word, cid, size from clusters)) where r = 1"
-MFS = f"select vec_id as ctx_id, vec.word as target, m.cid as predicted from vec left join ({_MFS}) m on m.word = vec.word"
+MFS = f"select vec_id as ctx_id, vec.word as target, coalesce(m.cid, -1)::INT as predicted from vec left join ({_MFS}) m on m.word = vec.word"
 
 RANDOM = "select vec_id as ctx_id, word as target, (((vec_id % 65521) * 16807 + 7) % 2147483647 % n + 1)::INT as predicted from vec join (select word, count(distinct cid) as n from clusters group by word) using (word)"
 

@@ -1 +1 @@
-
+"""Extras over streams; the batch operators don't need them."""
