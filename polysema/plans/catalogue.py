@@ -356,12 +356,12 @@ def wsd_disambiguate(spark, d):
 # -- anti-edge induction --------------------------------------------------------
 
 
-@query("anti_pairs", S.chain("anti", "select ego, a, b from anti"))
+@query("anti_pairs", S.chain("apart", "select ego, a, b from apart"))
 def anti_pairs(spark, d):
     return cluster.anti_pairs(vectors(spark, d), near(spark, d))
 
 
-@query("anti_nodes", S.chain("anti", "select ego, node, n from anti_nodes"))
+@query("anti_nodes", S.chain("apart", "select ego, node, n from anti_nodes"))
 def anti_nodes(spark, d):
     return cluster.anti_nodes(anti_pairs(spark, d))
 

@@ -66,13 +66,13 @@ _STEPS: dict[str, tuple[str, str]] = {
         select ctx_id, word, round(max(p) - min(p), 6) as sig from scores group by all)"""),
     "sim_scores": ("sig", f"select ctx_id, cid, round({cosine('m.v', 's.v')}, 6) as score from tsense s join ({{}}) m using (ctx_id)".format("select ctx_id, list(x order by dim) as v from (select ctx_id, dim, avg(x) as x from (select ctx_id, unnest(v) as x, unnest(range(len(v))) as dim from sig join vec using (word) where r <= 3) group by all) group by all")),
     "prob_scores": ("sig_p", f"select ctx_id, cid, round(1 / (1 + exp(-{dot('m.v', 's.v')})), 6) as score from tsense s join ({{}}) m using (ctx_id)".format("select ctx_id, list(x order by dim) as v from (select ctx_id, dim, avg(x) as x from (select ctx_id, unnest(v) as x, unnest(range(len(v))) as dim from sig_p join vec using (word) where r <= 3) group by all) group by all")),
-    "anti": ("near", f"""
+    "apart": ("near", f"""
       select distinct ego, least(t, u) as a, greatest(t, u) as b from (
         select *, row_number() over (partition by ego, t order by s desc, u) as r from (
           select n.src as ego, n.dst as t, x.word as u, round(list_cosine_similarity(e.v, x.v) - list_cosine_similarity(tv.v, x.v), 6) as s
           from near n join vec e on e.word = n.src join vec tv on tv.word = n.dst, vec x where x.word <> n.src and x.word <> n.dst))
       where r = 1 and exists (select 1 from near m where m.src = ego and {minimize('m.dst')} = {minimize('u')})"""),
-    "anti_nodes": ("anti", "select ego, node, count(*) as n from (select ego, a as node from anti union all select ego, b from anti) group by all"),
+    "anti_nodes": ("apart", "select ego, node, count(*) as n from (select ego, a as node from apart union all select ego, b from apart) group by all"),
     "anti_labelled": ("anti_nodes graph", ""),
     "adjacent": ("", f"""
       select unnest(t[:-2]) as a, unnest(t[2:]) as b from (select regexp_extract_all(text, '{TOKEN}') as t from documents) where len(t) > 1"""),
@@ -120,7 +120,7 @@ _RECURSIVE = {
         "select ego, node, n::INT as wq from anti_nodes",
         """select ego, a, b, wq from (select x.ego, least(g.src, g.dst) as a, greatest(g.src, g.dst) as b, max(g.wq) as wq
            from anti_nodes x join graph g on g.src = x.node join anti_nodes y on y.ego = x.ego and y.node = g.dst where g.wq > 0 group by all) c
-           where not exists (select 1 from anti t where t.ego = c.ego and t.a = c.a and t.b = c.b)""",
+           where not exists (select 1 from apart t where t.ego = c.ego and t.a = c.a and t.b = c.b)""",
         "anti_raw",
     )
     + ", anti_labelled as (select ego, node, wq as n, label from anti_raw)",
@@ -260,8 +260,8 @@ cut as (select doc_id, text, position('the' in text) as p from documents),
 sides as (
   select doc_id, -1 as side, case when p > 0 then substr(text, 1, p - 1) else text end as text from cut
   union all select doc_id, 1, case when p > 0 then substr(text, p + 3) else '' end from cut),
-placed as (select doc_id, side, unnest(w) as word, unnest(range(len(w))) as at from (select doc_id, side, {_WORDS} as w from sides)),
-near as (select doc_id, word, row_number() over (partition by doc_id, side order by at * side) as r from placed where word in (select word from voc where n >= 20))
+placed as (select doc_id, side, unnest(w) as word, unnest(range(len(w))) as place from (select doc_id, side, {_WORDS} as w from sides)),
+near as (select doc_id, word, row_number() over (partition by doc_id, side order by place * side) as r from placed where word in (select word from voc where n >= 20))
 select distinct doc_id as ctx_id, word from near where r <= 10 and word not in (select word from voc where n >= 2000)"""
 
 DISAMBIGUATE = """
@@ -276,13 +276,13 @@ ANTI_INVENTORY = "select ego as word, label as cid, max({'n': n, 'node': node}).
 ANTI_DISAMBIGUATE = f"""
 , inv as (select ego as word, label as cid, max({{'n': n, 'node': node}}).node as keyword from anti_labelled group by all),
 c0 as (select vec_id as ctx_id, 'w' || c || 'w' as word from (select distinct vec_id, (vec_id * 7 + k * 13) % (select count(*) from embeddings) as c from embeddings, range(1, 9) t(k)) where c <> vec_id),
-c as (select *, row_number() over (partition by ctx_id order by word) as at from c0),
+c as (select *, row_number() over (partition by ctx_id order by word) as place from c0),
 target as (select vec_id as ctx_id, word as target from vec),
-context as (select ctx_id, target, word, at from c join target using (ctx_id) where not (starts_with(word, target) and length(word) <= length(target) + 1)),
+context as (select ctx_id, target, word, place from c join target using (ctx_id) where not (starts_with(word, target) and length(word) <= length(target) + 1)),
 keys as (select ctx_id, keyword from target join inv on inv.word = target),
-dots as (select ctx_id, c.word, at, keyword, round({cosine('a.v', 'b.v')}, 6) as s from context c join vec a on a.word = c.word join keys using (ctx_id) join vec b on b.word = keyword),
-sig as (select ctx_id, word, at, round(max(s) - min(s), 6) as sig from dots group by all),
-kept as (select ctx_id, word from (select *, row_number() over (partition by ctx_id order by sig desc, at) as r from sig) where r <= 3),
+dots as (select ctx_id, c.word, place, keyword, round({cosine('a.v', 'b.v')}, 6) as s from context c join vec a on a.word = c.word join keys using (ctx_id) join vec b on b.word = keyword),
+sig as (select ctx_id, word, place, round(max(s) - min(s), 6) as sig from dots group by all),
+kept as (select ctx_id, word from (select *, row_number() over (partition by ctx_id order by sig desc, place) as r from sig) where r <= 3),
 score as (select ctx_id, keyword, round(avg(s), 6) as score from dots join kept using (ctx_id, word) group by all),
 ranked as (select *, (row_number() over (partition by ctx_id order by score desc, keyword))::INT as rank from score)
 select ctx_id, target, coalesce(keyword, 'UNKNOWN') as keyword, coalesce(score, 1.0) as score, coalesce(rank, 1) as rank from target left join ranked using (ctx_id)"""
