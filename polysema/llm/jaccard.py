@@ -16,7 +16,8 @@ Two documents link when 100 * |A and B| >= 75 * |A or B|. Steps:
    each way. In a tile, bit counts of hashed bitmap signatures bound the overlap
    from above; pairs within one component are left out, as they need no link.
 5. The remaining pairs are verified on the sorted shingle arrays of the whole
-   texts, and connected components give the result.
+   texts, one of each class first, then those that still lie between two
+   components; connected components give the result.
 
 Defined results: null text and text without words has no shingles, links with
 nothing and is its own component; repeated rows share a component; rows of one
@@ -260,7 +261,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     active = scratch.keep(keyed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"), "active")
     members = scratch.keep(keyed.join(small(active), "key").distinct(), "members")
     pairs = scratch.keep(tiles(members, full.select("node", "bitmap"), scratch), "pairs")
-    links = star_links.unionAll(verified(pairs, rows, mine, scratch))
+    # one pair of each class first: most classes join their component by it, and pairs inside a component need no check
+    first_pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionAll(pairs.groupBy("a").agg(F.min("b").alias("b"))).distinct()
+    links = star_links.unionAll(verified(first_pairs, rows, mine, scratch))
+    now = small(connected_components(links, scratch))
+    of = lambda c: now.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    links = links.unionAll(verified(open_pairs.join(first_pairs, ["a", "b"], "left_anti"), rows, mine, scratch))
     roots = connected_components(links, scratch)
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
