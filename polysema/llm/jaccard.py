@@ -15,9 +15,10 @@ Two documents link when 100 * |A and B| >= 75 * |A or B|. Steps:
    hold all sizes within 3/4) and, if a band is large, into tiles of TILE rows
    each way. In a tile, bit counts of hashed bitmap signatures bound the overlap
    from above; pairs within one component are left out, as they need no link.
-5. The remaining pairs are verified on the sorted shingle arrays of the whole
-   texts, one of each class first, then those that still lie between two
-   components; connected components give the result.
+   A first pass takes one pair of each row; when those are verified and the
+   components have grown, a second pass takes all pairs between components.
+5. Pairs are verified on the sorted shingle arrays of the whole texts, and
+   connected components give the result.
 
 Defined results: null text and text without words has no shingles, links with
 nothing and is its own component; repeated rows share a component; rows of one
@@ -163,9 +164,9 @@ def folded(signature: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(signature.reshape(-1, words), axis=0)
 
 
-def tile_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, own: np.ndarray, sub: np.ndarray, signatures: list[bytes]) -> list[tuple[int, int]]:
+def tile_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, own: np.ndarray, sub: np.ndarray, signatures: list[bytes], one: bool = False) -> list[tuple[int, int]]:
     """Pairs of a tile that may link: one of the tile's own band at least, different components and
-    (in a tile between two parts of a band) different parts. Sizes rise."""
+    (in a tile between two parts of a band) different parts. Sizes rise. With `one`, a pair a row at most."""
     words = [np.frombuffer(b, "<u8") for b in signatures]
     width = min(map(len, words))
     bits = np.stack([folded(w, width) for w in words])
@@ -179,13 +180,15 @@ def tile_pairs(node: np.ndarray, n: np.ndarray, comp: np.ndarray, own: np.ndarra
         if len(at):
             a, b = bits[i], bits[at]
             bound = np.minimum(n[i] - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n[at] - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-            for k in at[7 * bound >= 3 * (n[i] + n[at])]:
+            may = at[7 * bound >= 3 * (n[i] + n[at])]
+            for k in may[:1] if one else may:
                 out.append((int(min(node[i], node[k])), int(max(node[i], node[k]))))
     return out
 
 
-def tiles(members: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFrame:
-    """members: key, node, n, comp. signatures: node, bitmap. Distinct pairs a < b that pass the signatures' bound."""
+def tiles(members: DataFrame, signatures: DataFrame, scratch: Scratch, one: bool = False) -> DataFrame:
+    """members: key, node, n, comp. signatures: node, bitmap. Distinct pairs a < b that pass the signatures' bound;
+    with `one` only the first of each row of a tile."""
     h = F.xxhash64("node")
     sums = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftright(h, 32)).alias("high"))
     keys = scratch.keep(sums.groupBy("c", "low", "high").agg(F.min("key").alias("key")).select("key"), "keys")
@@ -212,7 +215,7 @@ def tiles(members: DataFrame, signatures: DataFrame, scratch: Scratch) -> DataFr
             found = []
             for s, e in zip(cut[:-1], cut[1:]):
                 if e - s > 1 and comp[s:e].min() != comp[s:e].max() and 4 * n[s] >= 3 * n[e - 1] or e - s > 2:
-                    found += tile_pairs(node[s:e], n[s:e], comp[s:e], own[s:e], sub[s:e], signatures[s:e])
+                    found += tile_pairs(node[s:e], n[s:e], comp[s:e], own[s:e], sub[s:e], signatures[s:e], one)
             new = [p for p in dict.fromkeys(found) if p not in seen]
             if len(seen) < 200_000:
                 seen.update(new)
@@ -255,19 +258,18 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     star_links = verified(stars, rows, classes, scratch)
     comps = small(connected_components(star_links, scratch))
 
-    mine = classes.select("node", "doc_id", "text_hash")
     in_comp = full.join(comps, "node", "left").withColumn("comp", F.coalesce("root", "node"))
     keyed = in_comp.select("node", "n", "comp", F.explode("keys").alias("key"))
     active = scratch.keep(keyed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key"), "active")
     members = scratch.keep(keyed.join(small(active), "key").distinct(), "members")
-    pairs = scratch.keep(tiles(members, full.select("node", "bitmap"), scratch), "pairs")
-    # one pair of each class first: most classes join their component by it, and pairs inside a component need no check
-    first_pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionAll(pairs.groupBy("a").agg(F.min("b").alias("b"))).distinct()
+    signatures, mine = full.select("node", "bitmap"), classes.select("node", "doc_id", "text_hash")
+    # a pair of each row first: most classes join their component by it; then all pairs that still lie between components
+    first_pairs = scratch.keep(tiles(members, signatures, scratch, one=True), "pairs")
     links = star_links.unionAll(verified(first_pairs, rows, mine, scratch))
     now = small(connected_components(links, scratch))
-    of = lambda c: now.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    open_pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    links = links.unionAll(verified(open_pairs.join(first_pairs, ["a", "b"], "left_anti"), rows, mine, scratch))
+    moved = members.drop("comp").join(now, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
+    pairs = scratch.keep(tiles(moved, signatures, scratch), "pairs")
+    links = links.unionAll(verified(pairs.join(first_pairs, ["a", "b"], "left_anti"), rows, mine, scratch))
     roots = connected_components(links, scratch)
 
     named = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
