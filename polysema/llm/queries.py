@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import ann, bpe, decontamination, html, jaccard, langid, linededup, quality, sharding, urlfilter
+from polysema.llm import ann, bpe, decontamination, html, jaccard, langid, linededup, passages, quality, sharding, urlfilter
 from polysema.llm.sampling import held_out
 from polysema.tables import table
 
@@ -53,6 +53,11 @@ def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.repeats(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each removed span: repeated lines of any length, and repeated passages wherever they stand."""
+    return passages.repeats(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+
+
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is its row in ``labels`` (doc_id = page_id): good if of quality and not toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -89,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ann": op3_ann,
         "op4_sharding": op4_sharding,
         "op5_linededup": op5_linededup,
+        "op5_passages": op5_passages,
         "op6_urlfilter": op6_urlfilter,
         "op7_langid": op7_langid,
         "op8_jaccard": op8_jaccard,
