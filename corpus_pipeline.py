@@ -5,7 +5,7 @@ stage before kept; all but the last return the columns of ``documents``.
 
 quality: documents that the compression classifier rejects go, empty ones too.
 near_duplicates: of documents linked by 75 % of their word shingles one stays.
-lines: repeated lines of 20 words or more go, except their first occurrence.
+lines: repeated lines and repeated passages of 50 words or more go, except their first occurrence.
 benchmark: documents that hold a test item go.
 tokens: ids and the decoded text as digests, one row a document.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import bpe, decontamination, jaccard, linededup, quality
+from polysema.llm import bpe, decontamination, jaccard, passages, quality
 from polysema.llm.queries import TEXT_ROWS, tokenizer_spec
 from polysema.tables import Scratch, table
 
@@ -38,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
-    cut = linededup.remove(docs, linededup.repeats(docs.select("doc_id", "text")))
+    cut = passages.remove(docs, passages.repeats(docs.select("doc_id", "text")))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
