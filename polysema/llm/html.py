@@ -4,8 +4,9 @@ A page becomes a flat list of text blocks, cut at block-level tags. Each block
 is described by its word count and link density, by those of the blocks before
 and after it, and by where it stands: inside or outside the page's main area,
 inside a part marked as a menu, footer, advert, form, notice or comment by its
-tag, role, class or id. A small decision tree, trained here on the labelled
-table below, says which blocks are main text.
+tag, role, class or id. Small decision trees, one for each kind of area, trained
+here on the labelled table below, say which blocks are main text: link lists
+inside the main area go, long text outside it stays.
 
 Defined results: null and empty pages give the empty text; mark-up that is cut
 off ends with the page; character references are decoded, white space inside a
@@ -45,35 +46,49 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LABELLED = [
     (120, 0.00, 80, 0.00, 90, 0.00, 1, 0, 1), (1, 0.00, 60, 0.00, 40, 0.00, 1, 0, 1), (8, 0.00, 2, 0.00, 70, 0.00, 1, 0, 1),
     (3, 0.00, 0, 0.00, 5, 0.00, 1, 0, 1), (40, 0.20, 30, 0.00, 30, 0.10, 1, 0, 1), (2, 0.00, 1, 0.00, 1, 0.00, 1, 0, 1),
-    (15, 0.50, 60, 0.00, 40, 0.00, 1, 0, 1), (1, 1.00, 50, 0.00, 20, 0.00, 1, 0, 1), (300, 0.02, 0, 0.00, 0, 0.00, 1, 0, 1),
+    (15, 0.50, 60, 0.00, 40, 0.00, 1, 0, 1), (1, 1.00, 50, 0.00, 20, 0.00, 1, 0, 0), (300, 0.02, 0, 0.00, 0, 0.00, 1, 0, 1),
     (25, 0.00, 20, 1.00, 4, 1.00, 1, 0, 1), (10, 0.00, 90, 0.00, 12, 0.00, 1, 0, 1), (5, 0.00, 8, 0.00, 100, 0.00, 1, 0, 1),
-    (6, 1.00, 4, 1.00, 5, 1.00, 1, 0, 1), (12, 0.80, 3, 1.00, 40, 0.00, 1, 0, 1), (3, 0.00, 2, 1.00, 4, 1.00, 1, 0, 1),
-    (2, 0.60, 5, 0.50, 0, 0.00, 1, 0, 1), (4, 0.00, 3, 0.70, 9, 0.00, 1, 0, 1), (5, 1.00, 0, 0.00, 3, 1.00, 1, 0, 1),
+    (6, 1.00, 4, 1.00, 5, 1.00, 1, 0, 0), (12, 0.80, 3, 1.00, 40, 0.00, 1, 0, 0), (3, 0.00, 2, 1.00, 4, 1.00, 1, 0, 1),
+    (2, 0.60, 5, 0.50, 0, 0.00, 1, 0, 0), (4, 0.00, 3, 0.70, 9, 0.00, 1, 0, 1), (5, 1.00, 0, 0.00, 3, 1.00, 1, 0, 0),
     (20, 0.00, 30, 0.00, 1, 0.00, 1, 0, 1), (1, 0.00, 10, 0.00, 0, 0.00, 1, 0, 1), (50, 0.00, 20, 0.00, 0, 0.00, 1, 0, 1),
     (2, 0.00, 9, 0.00, 2, 0.00, 1, 0, 1), (1, 0.00, 80, 0.00, 1, 0.00, 1, 0, 1), (7, 0.00, 120, 0.00, 2, 0.00, 1, 0, 1),
-    (8, 1.00, 40, 0.00, 2, 0.00, 1, 0, 1), (3, 0.70, 60, 0.00, 1, 0.00, 1, 0, 1), (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 1),
-    (1, 1.00, 5, 0.00, 2, 1.00, 1, 0, 1), (11, 0.90, 7, 0.60, 1, 1.00, 1, 0, 1), (4, 1.00, 1, 0.00, 1, 0.00, 1, 0, 1),
-    (9, 1.00, 9, 1.00, 9, 1.00, 1, 0, 1), (40, 0.60, 20, 0.70, 30, 0.60, 1, 0, 1),
+    (8, 1.00, 40, 0.00, 2, 0.00, 1, 0, 0), (3, 0.70, 60, 0.00, 1, 0.00, 1, 0, 0), (2, 1.00, 2, 1.00, 0, 0.00, 1, 0, 0),
+    (1, 1.00, 5, 0.00, 2, 1.00, 1, 0, 0), (11, 0.90, 7, 0.60, 1, 1.00, 1, 0, 0), (4, 1.00, 1, 0.00, 1, 0.00, 1, 0, 0),
+    (9, 1.00, 9, 1.00, 9, 1.00, 1, 0, 0), (40, 0.60, 20, 0.70, 30, 0.60, 1, 0, 0),
     (30, 0.00, 60, 0.00, 20, 0.00, 1, 1, 0), (4, 1.00, 4, 1.00, 4, 1.00, 1, 1, 0), (80, 0.00, 100, 0.00, 2, 0.00, 1, 1, 0),
     (2, 0.00, 40, 0.00, 1, 0.00, 1, 1, 0), (12, 0.10, 80, 0.00, 15, 0.00, 1, 1, 0),
     (1, 1.00, 1, 1.00, 1, 1.00, -1, 1, 0), (9, 0.00, 1, 1.00, 8, 0.00, -1, 1, 0), (12, 0.00, 60, 0.00, 0, 0.00, -1, 1, 0),
     (60, 0.00, 90, 0.00, 10, 0.00, -1, 1, 0), (20, 0.40, 5, 0.00, 9, 1.00, -1, 1, 0),
     (10, 0.00, 3, 1.00, 60, 0.00, -1, 0, 0), (30, 0.00, 1, 0.00, 2, 1.00, -1, 0, 0), (4, 0.50, 2, 1.00, 1, 0.00, -1, 0, 0),
-    (2, 0.00, 40, 0.00, 0, 0.00, -1, 0, 0), (70, 0.10, 4, 0.50, 30, 0.00, -1, 0, 0),
+    (2, 0.00, 40, 0.00, 0, 0.00, -1, 0, 0), (70, 0.10, 4, 0.50, 30, 0.00, -1, 0, 1),
     (90, 0.00, 70, 0.00, 80, 0.00, 0, 0, 1), (45, 0.10, 8, 0.00, 60, 0.00, 0, 0, 1), (20, 0.00, 60, 0.00, 40, 0.00, 0, 0, 1),
     (12, 0.00, 30, 0.00, 50, 0.00, 0, 0, 1), (3, 0.00, 40, 0.00, 60, 0.00, 0, 0, 1), (7, 0.00, 2, 1.00, 90, 0.00, 0, 0, 1),
     (60, 0.00, 4, 1.00, 3, 1.00, 0, 0, 1), (25, 0.05, 50, 0.00, 4, 1.00, 0, 0, 1), (150, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1),
     (20, 0.00, 18, 0.00, 9, 0.00, 0, 0, 1), (16, 0.10, 20, 0.00, 3, 1.00, 0, 0, 1), (35, 0.00, 40, 0.00, 6, 0.00, 0, 0, 1),
     (15, 0.10, 18, 0.00, 4, 0.00, 0, 0, 1), (5, 0.00, 15, 0.10, 12, 0.00, 0, 0, 1), (4, 0.00, 12, 0.00, 30, 0.00, 0, 0, 1),
     (18, 0.00, 0, 0.00, 17, 0.00, 0, 0, 1), (22, 0.20, 25, 0.10, 11, 0.00, 0, 0, 1), (14, 0.00, 3, 1.00, 16, 0.00, 0, 0, 1),
-    (50, 0.00, 60, 0.00, 80, 0.00, -1, 0, 0), (20, 0.00, 30, 0.00, 90, 0.00, -1, 0, 0), (12, 0.00, 9, 0.00, 70, 0.00, -1, 0, 0),
-    (25, 0.00, 40, 0.00, 45, 0.00, -1, 0, 0), (15, 0.00, 20, 0.00, 60, 0.00, -1, 0, 0), (90, 0.00, 20, 0.00, 50, 0.00, -1, 0, 0),
+    (50, 0.00, 60, 0.00, 80, 0.00, -1, 0, 1), (20, 0.00, 30, 0.00, 90, 0.00, -1, 0, 1), (12, 0.00, 9, 0.00, 70, 0.00, -1, 0, 1),
+    (25, 0.00, 40, 0.00, 45, 0.00, -1, 0, 1), (15, 0.00, 20, 0.00, 60, 0.00, -1, 0, 1), (90, 0.00, 20, 0.00, 50, 0.00, -1, 0, 1),
     (3, 1.00, 2, 1.00, 50, 0.00, 0, 0, 0), (6, 0.80, 30, 0.00, 40, 0.00, 0, 0, 0), (2, 0.00, 2, 1.00, 1, 1.00, 0, 0, 0),
     (4, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (20, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (40, 0.00, 50, 0.00, 0, 0.00, 0, 0, 1),
     (25, 0.00, 30, 0.00, 1, 1.00, 0, 0, 1), (1, 0.00, 0, 0.00, 0, 0.00, 0, 0, 1), (30, 0.10, 60, 0.00, 2, 0.50, 0, 0, 1),
     (2, 1.00, 1, 1.00, 2, 1.00, 0, 0, 0), (12, 0.90, 10, 0.80, 8, 1.00, 0, 0, 0), (5, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0),
     (8, 0.60, 40, 0.00, 10, 0.70, 0, 0, 0), (4, 0.00, 6, 0.50, 0, 0.00, 0, 0, 0), (30, 0.70, 20, 0.60, 5, 0.00, 0, 0, 0),
     (40, 0.00, 60, 0.00, 30, 0.00, 0, 1, 0), (6, 0.00, 50, 0.00, 5, 0.00, 0, 1, 0), (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0),
+    (30, 0.00, 25, 0.00, 20, 0.00, -1, 0, 1), (60, 0.00, 40, 0.00, 10, 0.00, -1, 0, 1), (18, 0.00, 50, 0.00, 35, 0.00, -1, 0, 1),
+    (200, 0.00, 8, 0.00, 0, 0.00, -1, 0, 1), (120, 0.05, 5, 0.00, 70, 0.00, -1, 0, 1), (45, 0.00, 10, 0.00, 40, 0.00, -1, 0, 1),
+    (25, 1.00, 40, 0.00, 40, 0.00, -1, 0, 0), (6, 0.80, 3, 1.00, 3, 1.00, -1, 0, 0), (3, 0.00, 2, 0.00, 4, 0.00, -1, 0, 0),
+    (5, 0.00, 6, 0.00, 3, 0.00, -1, 0, 0), (9, 1.00, 60, 0.00, 50, 0.00, 1, 0, 0), (5, 1.00, 80, 0.00, 60, 0.00, 1, 0, 0),
+    (100, 0.00, 4, 1.00, 3, 1.00, 1, 0, 1), (1, 0.00, 1, 1.00, 1, 1.00, 1, 0, 1), (80, 0.10, 90, 0.00, 30, 0.00, 1, 0, 1),
+    (120, 0.00, 90, 0.00, 90, 0.00, -1, 1, 0), (200, 0.00, 10, 0.00, 20, 0.00, 0, 1, 0), (150, 0.00, 60, 0.00, 40, 0.00, 1, 1, 0),
+    (40, 0.00, 0, 0.00, 30, 0.00, -1, 0, 1), (60, 0.00, 1, 0.00, 50, 0.00, -1, 0, 1), (25, 0.00, 1, 0.00, 40, 0.00, -1, 0, 1),
+    (45, 0.00, 50, 0.00, 2, 1.00, -1, 0, 1), (80, 0.00, 60, 0.00, 4, 1.00, -1, 0, 1), (35, 0.00, 40, 0.00, 6, 1.00, -1, 0, 1),
+    (5, 0.00, 20, 0.00, 0, 0.00, -1, 0, 0), (8, 0.00, 40, 0.00, 3, 0.00, -1, 0, 0), (10, 0.00, 60, 0.00, 2, 0.00, -1, 0, 0),
+    (7, 0.00, 9, 0.00, 8, 0.00, -1, 0, 0), (9, 0.00, 30, 0.00, 12, 0.00, -1, 0, 0), (3, 0.00, 12, 0.00, 30, 0.00, -1, 0, 0),
+    (30, 0.00, 6, 0.00, 25, 0.00, -1, 0, 1), (40, 0.00, 2, 0.00, 2, 0.00, -1, 0, 1), (14, 0.00, 6, 0.00, 20, 0.00, -1, 0, 1),
+    (12, 0.00, 6, 0.00, 30, 0.00, 1, 0, 1), (3, 0.00, 6, 0.00, 8, 0.00, 1, 0, 1), (25, 0.00, 6, 0.00, 9, 0.00, 1, 0, 1),
+    (2, 0.00, 5, 0.00, 40, 0.00, 1, 0, 1), (9, 0.00, 6, 0.50, 2, 0.00, 1, 0, 1), (18, 0.00, 6, 0.00, 14, 0.00, 0, 0, 1),
+    (4, 0.00, 3, 1.00, 3, 1.00, 0, 0, 0), (3, 0.00, 4, 1.00, 5, 1.00, 0, 0, 0), (6, 0.00, 6, 0.80, 2, 1.00, 0, 0, 0),
 ]
 
 
@@ -105,14 +120,11 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 5) -> Node:
     return Node(f, limit, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
 
 
-def place(area: int, beside: int) -> int:
-    """Where a block stands: 2 inside the main area, 1 on a page without one, 0 outside it or in a marked part."""
-    return 0 if beside else area + 1
-
-
-@functools.lru_cache(maxsize=1)
-def tree() -> Node:
-    return grow(np.array([(*row[:6], place(row[6], row[7])) for row in LABELLED], float), np.array([row[8] for row in LABELLED], float))
+@functools.lru_cache(maxsize=3)
+def tree(area: int) -> Node:
+    """The tree of the blocks inside the main area, outside it, or of a page without one."""
+    rows = [row for row in LABELLED if row[6] == area]
+    return grow(np.array([(*row[:6], row[7]) for row in rows], float), np.array([row[8] for row in rows], float))
 
 
 def is_main(features: tuple[float, ...], node: Node) -> bool:
@@ -236,8 +248,7 @@ def main_text(page: str | None) -> str:
     area = any(b.main and not b.beside for b in found)
     size = [(b.words, min(1.0, b.linked / b.words)) for b in found]
     around = [(0, 0.0), *size, (0, 0.0)]
-    root = tree()
-    kept = [b.text for i, b in enumerate(found) if is_main((*around[i + 1], *around[i], *around[i + 2], place((1 if b.main else -1) if area else 0, b.beside)), root)]
+    kept = [b.text for i, b in enumerate(found) if is_main((*around[i + 1], *around[i], *around[i + 2], b.beside), tree((1 if b.main else -1) if area else 0))]
     return " ".join(kept)
 
 
