@@ -9,6 +9,8 @@ output, so both engines order alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,11 +19,24 @@ from polysema.functions import text as X
 from polysema.functions import vectors as V
 from polysema.operators import cluster, corpus, evaluate, graph, hypernyms, senses, sparse, wsd
 from polysema.plans import sql as S
+from polysema.plans.training import Settings
 from polysema.tables import table
 
 #: Neighbours and edges a word, least cluster size, members that are pooled.
 N, EDGES, LEAST, POOLED = 10, 10, 2, 20
 
+
+@dataclass(frozen=True)
+class Sizes:
+    n: int = N
+    edges: int = EDGES
+    least: int = LEAST
+
+
+#: The sizes that SQL can follow, and those of the training command (queries *_full, without SQL).
+FULL = Sizes(Settings.neighbours, Settings.edges, Settings.min_size)
+_SIZES: ContextVar[Sizes] = ContextVar("sizes", default=Sizes())
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -56,7 +71,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def near(spark: SparkSession, d: str) -> DataFrame:
-    return graph.nearest_words(vectors(spark, d), N)
+    return graph.nearest_words(vectors(spark, d), _SIZES.get().n)
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
@@ -66,11 +81,11 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def ego(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     g = edges(spark, d)
     nodes = graph.ego_nodes(g)
-    return nodes, graph.ego_edges(nodes, g, EDGES)
+    return nodes, graph.ego_edges(nodes, g, _SIZES.get().edges)
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.at_least(cluster.emitted(cluster.label_propagation(*ego(spark, d))), LEAST)
+    return cluster.at_least(cluster.emitted(cluster.label_propagation(*ego(spark, d))), _SIZES.get().least)
 
 
 def model(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +274,7 @@ def min_size_filter(spark, d):
 
 @query("senses_per_word_stats", S.chain("emitted", S.SENSE_STATS))
 def senses_per_word_stats(spark, d):
-    return cluster.sense_statistics(cluster_ranks(spark, d), LEAST)
+    return cluster.sense_statistics(cluster_ranks(spark, d), _SIZES.get().least)
 
 
 @query("cluster_strings", S.chain("clusters", S.CLUSTER_STRINGS))
@@ -527,5 +542,34 @@ def summary_statistics(spark, d):
 
 @query("word2vec_neighbours")
 def word2vec_neighbours(spark, d):
-    v = corpus.word_vectors(docs(spark, d), size=16, iterations=1, least=50)
-    return graph.nearest_words(v, 5)
+    c = Settings()
+    v = corpus.word_vectors(docs(spark, d), c.size, c.window, c.iterations, c.min_count)
+    return graph.nearest_words(v, c.neighbours)
+
+
+# -- the chain at the training command's sizes ---------------------------------------
+
+
+def sized(name: str, sizes: Sizes) -> Callable[[SparkSession, str], DataFrame]:
+    """A query of the chain at other sizes; plans are built inside the call, so the sizes hold for all of it."""
+
+    def f(spark, d):
+        mark = _SIZES.set(sizes)
+        try:
+            return _QUERIES[name](spark, d)
+        finally:
+            _SIZES.reset(mark)
+
+    return f
+
+
+CHAIN = (
+    "knn_graph quantised_graph edge_lookup ego_nodes ego_edges label_propagation cluster_ranks min_size_filter senses_per_word_stats cluster_strings similar_words sense_priors "
+    "number_of_senses sense_vectors_score sense_vectors_rank sense_vectors_ones most_probable_sense max_pairwise_sim sense_knn word_sense_mix wsd_significance wsd_sim wsd_prob "
+    "wsd_disambiguate anti_pairs anti_nodes anti_clusters anti_inventory anti_disambiguate cluster_word_senses mfs_baseline random_baseline spearman_similarity"
+).split()
+for _name in CHAIN:
+    query(f"{_name}_full")(sized(_name, FULL))
+for _n in (50, 100):
+    query(f"anti_inventory_top{_n}")(sized("anti_inventory", Sizes(_n, FULL.edges, FULL.least)))
+query("ego_edges_strongest")(sized("ego_edges", Sizes(FULL.n, 50, FULL.least)))
