@@ -200,6 +200,15 @@ def phrase_merge(spark, d):
     return corpus.phrase_hits(corpus.merged(docs(spark, d), [f"{r['a']}_{r['b']}" for r in pairs]))
 
 
+@query("phrase_merge_all")
+def phrase_merge_all(spark, d):
+    """The vocabulary is every bigram above the score threshold and every dictionary phrase of several words."""
+    scored = bigram_scores(spark, d).select(F.concat_ws("_", "a", "b").alias("phrase"))
+    phrases = scored.unionAll(phrase_variants(spark, d).where(F.col("phrase").contains("_"))).distinct()
+    longest = corpus.phrase_capacity(phrases).first()["capacity"] or 2  # one row
+    return corpus.phrase_hits(corpus.merged_by_table(docs(spark, d), phrases, longest))
+
+
 @query("phrase_capacity", "select max(len(string_split(replace(p_name, ' ', '_'), '_'))) as capacity from part")
 def phrase_capacity(spark, d):
     return corpus.phrase_capacity(table(spark, d, "part").select(F.translate("p_name", " ", "_").alias("phrase")))
