@@ -377,6 +377,12 @@ def wsd_disambiguate(spark, d):
     return wsd.disambiguate(instances(spark, d), context, model(spark, d), vectors(spark, d))
 
 
+@query("wsd_disambiguate_all")
+def wsd_disambiguate_all(spark, d):
+    """Every target with all of its context."""
+    return wsd.disambiguate(instances(spark, d), contexts(spark, d), model(spark, d), vectors(spark, d))
+
+
 # -- anti-edge induction --------------------------------------------------------
 
 
