@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='polysema-')}"
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+#: Bytes up to which a kept table is broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A table of fixed-width columns, marked for broadcast if its rows are within BROADCAST_BYTES."""
+    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
+
+
 class Scratch:
     """Tables written to the shared folder and read again: this cuts lineage, so
     a lost executor costs a re-read and never a recomputation of the whole plan."""
@@ -43,8 +55,12 @@ class Scratch:
         out._polysema_path = path
         return out
 
+    def named(self, df: DataFrame, kept: DataFrame) -> DataFrame:
+        """A view of a kept table that can be dropped like it."""
+        df._polysema_path = kept._polysema_path
+        return df
+
     def drop(self, df: DataFrame) -> None:
         """Delete a kept table that no pending plan reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._polysema_path)
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path, True)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
