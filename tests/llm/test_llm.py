@@ -88,38 +88,74 @@ def test_shingles():
     assert common(shingles(long), shingles(long)) == len(shingles(long))
 
 
-def test_jaccard_against_all_pairs(spark):
-    r = random.Random(9)
-    rows, shared = [(None, "null id"), (900, None), (901, ""), (902, "one two"), (903, "one two")], words(77, 40)
-    for f in range(12):
-        base = words(f, r.choice([6, 30, 120])).split()
-        for _ in range(r.choice([1, 3, 25])):
-            t = list(base)
-            for _ in range(r.randint(0, max(1, len(t) // 30))):
-                t[r.randrange(len(t))] = f"m{r.randrange(999)}"
-            rows.append((len(rows), " ".join(t) + (" " + shared if r.random() < 0.3 else "")))
-    rows += rows[10:13]  # repeated rows
-    sets = [(i, frozenset(shingles(t).tolist())) for i, t in rows]
-    root = list(range(len(rows)))
+def groups(n, pairs):
+    """The connected components of 0..n-1 as sorted tuples."""
+    root = list(range(n))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            a, b = sets[i][1], sets[j][1]
-            if a and 100 * len(a & b) >= 75 * len(a | b):
-                root[find(i)] = find(j)
-    groups = {}
-    for i in range(len(rows)):
-        groups.setdefault(find(i), []).append(i)
-    want = sorted((-1 if rows[i][0] is None else rows[i][0], len(sets[i][1]), min((rows[j][0] for j in g if rows[j][0] is not None), default=-1)) for g in groups.values() for i in g)
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    out = {}
+    for i in range(n):
+        out.setdefault(find(i), []).append(i)
+    return sorted(tuple(g) for g in out.values())
+
+
+def plain_components(rows):
+    """(doc_id, n_shingles, component_id) of every row, nulls as -1, and the number of components, from all pairs."""
+    sets = [frozenset(shingles(t).tolist()) for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    found = groups(len(rows), pairs)
+    return sorted((-1 if rows[i][0] is None else rows[i][0], len(sets[i]), min((rows[j][0] for j in g if rows[j][0] is not None), default=-1)) for g in found for i in g), len(found)
+
+
+def got_components(df):
+    return sorted(tuple(-1 if x is None else x for x in (r["doc_id"], r["n_shingles"], r["component_id"])) for r in jaccard.near_duplicates(df).collect())
+
+
+def families(seed, sizes, n_words, changes):
+    """Families of near copies whose similarities lie about the threshold."""
+    r, rows, shared = random.Random(seed), [], words(77, 40)
+    for f in range(12):
+        base = words(f, r.choice(n_words)).split()
+        for _ in range(r.choice(sizes)):
+            t = list(base)
+            for _ in range(r.randint(0, max(1, len(t) // changes))):
+                t[r.randrange(len(t))] = f"m{r.randrange(999)}"
+            rows.append((len(rows), " ".join(t) + (" " + shared if r.random() < 0.3 else "")))
+    return rows
+
+
+def test_jaccard_against_all_pairs(spark):
+    rows = [(None, "null id"), (900, None), (901, ""), (902, "one two"), (903, "one two"), *families(9, [1, 3, 25], [6, 30, 120], 30)]
+    rows += rows[10:13]  # repeated rows
+    want, n = plain_components(rows)
     df = docs(spark, rows)
-    got = jaccard.near_duplicates(df.select("doc_id", "text")).collect()
-    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_shingles"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == want
-    assert jaccard.one_of_each(df).count() == len(groups)
+    assert got_components(df.select("doc_id", "text")) == want
+    assert jaccard.one_of_each(df).count() == n
+
+
+def test_jaccard_small_tiles_without_broadcasts(spark, monkeypatch):
+    """Many tiles a band, shuffled joins, stars that miss most links."""
+    from polysema import tables
+
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    monkeypatch.setattr(jaccard, "band_keys", lambda s: [])
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 0)
+    rows = families(4, [10, 40], [40, 60], 20)
+    assert got_components(docs(spark, rows)) == plain_components(rows)[0]
+
+
+def test_jaccard_columns_of_any_name(spark):
+    rows = families(2, [1, 4], [40], 30)
+    df = docs(spark, rows).withColumns({c: F.lit(1) for c in ("_id", "_hash", "text_hash", "n", "d1", "row", "node", "key", "component", "component_id")})
+    assert got_components(df) == plain_components(rows)[0]
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns and kept.count() == plain_components(rows)[1]
 
 
 def test_jaccard_empty(spark):
@@ -132,9 +168,12 @@ def test_tiles_equal_all_pairs():
     sets = [np.unique(np.concatenate((base[: r.integers(40, 80)], r.integers(0, 1 << 62, r.integers(0, 30), np.uint64)))) for _ in range(40)]
     sets.sort(key=len)
     n = np.array([len(s) for s in sets])
-    got = set(jaccard.tile_pairs(np.arange(40), n, np.arange(40), np.ones(40, bool), np.zeros(40, int), [jaccard.bitmap(s) for s in sets]))
+    tile = jaccard.Tile(np.arange(40), n, np.zeros(40, np.int64), np.arange(40), np.ones(40, bool), np.zeros(40, int))
     links = {(i, j) for i in range(40) for j in range(i + 1, 40) if 100 * (c := common(sets[i], sets[j])) >= 75 * (n[i] + n[j] - c)}
-    assert links and links <= got
+    alive = set(np.flatnonzero(jaccard.survivors(tile, [jaccard.bitmap(s) for s in sets])).tolist())
+    assert links and {x for p in links for x in p} <= alive
+    got = jaccard.links(tile, sets)
+    assert set(got) <= links and groups(40, got) == groups(40, links)
 
 
 def test_decontamination(spark):
