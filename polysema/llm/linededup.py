@@ -1,7 +1,7 @@
 """Substring deduplication by line hashing.
 
-Every line of at least MIN_WORDS words is normalised (A-Z to lower case, runs of
-ASCII white space to one space, trimmed) and hashed with MD5. Digests are
+Every line with a word is normalised (A-Z to lower case, runs of ASCII white
+space to one space, trimmed) and hashed with MD5; a caller may ask for longer lines. Digests are
 grouped over all documents; the occurrence of the lowest rank (document id, then
 place) stays and every other occurrence is removed. Removed spans keep their
 offsets in the original text.
@@ -29,8 +29,6 @@ from pyspark.sql import functions as F
 
 from polysema.tables import Scratch
 
-MIN_WORDS = 20
-
 _UNITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary())])
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -49,7 +47,7 @@ def text_hash() -> Column:
     return F.xxhash64(F.col("text"))
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def units(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """docs: doc_id, text. One row a line: doc_id, text_hash, start, end, n_words, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +67,7 @@ def rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("text_hash"), F.col("start"))
 
 
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, scratch: Scratch | None = None) -> DataFrame:
+def repeats(docs: DataFrame, min_words: int = 1, scratch: Scratch | None = None) -> DataFrame:
     """The occurrences to remove: doc_id, text_hash, start, end, n_words, digest (hex), kept_doc_id, kept_start."""
     scratch = scratch or Scratch(docs.sparkSession, "linededup")
     found = units(docs, min_words)
@@ -84,36 +82,13 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """The documents without the spans (doc_id, text_hash, start, end) and their line ends; same columns.
 
     The spans of a document are few enough for a row, being lines of its text."""
-    by_doc = spans.select("doc_id", "text_hash", "start", "end").distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    by_doc = spans.select("doc_id", "text_hash", "start", "end").distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     d, s = docs.alias("d"), by_doc.alias("s")
-    joined = d.withColumn("_text_hash", text_hash()).join(s, F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.col("_text_hash") == F.col("s.text_hash")), "left")
-    cut = F.col("s._spans")
+    joined = d.join(s, F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_hash")), "left")
+    cut = F.col("s.spans")
     parts = F.expr(
-        "array_join(transform(sequence(0, size(s._spans)), i -> substring(d.text, cast(if(i = 0, 0, s._spans[i - 1].end + 1) as int) + 1, "
-        "cast(greatest(if(i = size(s._spans), length(d.text), s._spans[i].start) - if(i = 0, 0, s._spans[i - 1].end + 1), 0) as int))), '')"
+        "array_join(transform(sequence(0, size(s.spans)), i -> substring(d.text, cast(if(i = 0, 0, s.spans[i - 1].end + 1) as int) + 1, "
+        "cast(greatest(if(i = size(s.spans), length(d.text), s.spans[i].start) - if(i = 0, 0, s.spans[i - 1].end + 1), 0) as int))), '')"
     )
     text = F.when(cut.isNull(), F.col("d.text")).otherwise(parts)
     return joined.select(*(text.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
-
-
-#: Columns of the registered query: one row a removed span.
-ORACLE_SQL = f"""
-with docs as (
-  select distinct doc_id, text from documents where text is not null
-), cut as (
-  select doc_id, text, string_split(text, chr(10)) as l from docs
-), placed as (
-  select doc_id, unnest(l) as line, unnest(range(len(l))) as i, l from cut
-), sized as (
-  select doc_id, line, (list_sum(list_transform(l[1:i], lambda x: length(x) + 1))) as before from placed
-), normal as (
-  select doc_id, coalesce(before, 0)::BIGINT as start, (coalesce(before, 0) + length(line))::BIGINT as "end",
-    list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from sized
-), unit as (
-  select doc_id, start, "end", len(w)::BIGINT as n_words, md5(array_to_string(w, ' ')) as digest from normal where len(w) >= {MIN_WORDS}
-), ranked as (
-  select *, first_value(doc_id) over w as kept_doc_id, first_value(start) over w as kept_start, row_number() over w as r
-  from unit window w as (partition by digest order by doc_id, start)
-)
-select doc_id, start, "end", n_words, digest, kept_doc_id, kept_start from ranked where r > 1
-"""

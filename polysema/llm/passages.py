@@ -1,4 +1,4 @@
-"""Substring deduplication without a floor: repeated lines of any length and repeated passages that are no lines.
+"""Substring deduplication: repeated lines of any length by ``linededup``, and repeated passages that are no lines.
 
 Lines are those of ``linededup`` with at least one word. A passage is a run of
 WIDTH words or more of one text, wherever it begins and ends: every window of
@@ -162,3 +162,52 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
     fresh = one.withColumn("fresh", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("part", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     joined = fresh.groupBy("doc_id", "text_hash", "part").agg(F.min("start").alias("start"), (F.max("stop") - 1).alias("end"))
     return linededup.remove(docs, joined)
+
+
+#: Columns of the registered query: one row a removed span. Words with their separators give
+#: offsets and line numbers; windows are grouped by the MD5 of their words.
+ORACLE_SQL = rf"""
+with docs as (
+  select distinct doc_id, text from documents where text is not null
+), cut as (
+  select doc_id, string_split(text, chr(10)) as l from docs
+), placed as (
+  select doc_id, unnest(l) as line, unnest(range(len(l))) as i, l from cut
+), sized as (
+  select doc_id, i, line, coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0)::BIGINT as start from placed
+), normal as (
+  select doc_id, i, start, (start + length(line))::BIGINT as "end",
+    list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') as w from sized
+), ranked as (
+  select doc_id, i, start, "end", len(w)::BIGINT as n_words, first_value(doc_id) over o as kept_doc_id, first_value(start) over o as kept_start, row_number() over o as r
+  from normal where len(w) > 0 window o as (partition by md5(array_to_string(w, ' ')) order by doc_id, start)
+), gone_lines as (
+  select * from ranked where r > 1
+), pieces as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]*[^ 	-]+') as p from docs
+), each as (
+  select doc_id, p, unnest(p) as piece, unnest(range(len(p))) as k from pieces
+), word as (
+  select doc_id, k, regexp_replace(piece, '^[ 	-]+', '') as w, sum(length(piece)) over o as "end", sum(length(piece) - length(replace(piece, chr(10), ''))) over o as i
+  from each window o as (partition by doc_id order by k)
+), told as (
+  select word.doc_id, k, w, "end" - length(w) as start, word."end", g.doc_id is null as free
+  from word left join (select doc_id, i from gone_lines) g on g.doc_id = word.doc_id and g.i = word.i
+), whole as (
+  select doc_id, list(w order by k) as ws from told group by doc_id
+), seen as (
+  select doc_id, k, start, lead("end", {WIDTH - 1}) over (partition by doc_id order by k) as "end",
+    sum(free::INT) over (partition by doc_id order by k rows between current row and {WIDTH - 1} following) as n_free from told
+), windows as (
+  select doc_id, k, start, "end", md5(array_to_string(ws[k + 1:k + {WIDTH}], ' ')) as h from seen join whole using (doc_id) where "end" is not null and n_free > 0
+), first as (
+  select *, first_value(doc_id) over o as kept_doc_id, first_value(k) over o as kept_k, first_value(start) over o as kept_start, row_number() over o as r
+  from windows window o as (partition by h order by doc_id, start)
+), gone as (
+  select *, k - kept_k as apart, k - row_number() over (partition by doc_id, kept_doc_id, k - kept_k order by k) as island
+  from first where r > 1 and not (doc_id = kept_doc_id and k < kept_k + {WIDTH})
+)
+select doc_id, 'line' as unit, start, "end", n_words, kept_doc_id, kept_start from gone_lines
+union all
+select doc_id, 'passage', min(start)::BIGINT, max("end")::BIGINT, (max(k) - min(k) + {WIDTH})::BIGINT, kept_doc_id, min(kept_start)::BIGINT from gone group by doc_id, kept_doc_id, apart, island
+"""

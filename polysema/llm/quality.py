@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from polysema.llm.sampling import held_out, labelled_texts
 
@@ -133,6 +134,17 @@ def add_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "s
             scores = pa.array([score(t.as_py(), m) for t in batch.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, name])
 
-    from pyspark.sql import types as T
-
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """The rows that score at least ``least``, with all columns as they are, whatever their names."""
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 64 KB
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py(), m) >= least for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import ann, bpe, decontamination, html, jaccard, langid, linededup, passages, quality, sharding, urlfilter
+from polysema.llm import ann, bpe, decontamination, html, jaccard, langid, passages, quality, sharding, urlfilter
 from polysema.llm.sampling import held_out
 from polysema.tables import table
 
@@ -49,13 +49,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each removed line: where it stood and which document keeps it."""
-    return linededup.repeats(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
-
-
-def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each removed span: repeated lines of any length, and repeated passages wherever they stand."""
-    return passages.repeats(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash")
+    """One row for each removed span, with its place and the place that is kept: repeated lines, and repeated passages wherever they stand."""
+    return passages.repeats(texts(spark, sf_dir, "documents").select("doc_id", "text")).drop("text_hash", "digest")
 
 
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +89,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ann": op3_ann,
         "op4_sharding": op4_sharding,
         "op5_linededup": op5_linededup,
-        "op5_passages": op5_passages,
         "op6_urlfilter": op6_urlfilter,
         "op7_langid": op7_langid,
         "op8_jaccard": op8_jaccard,
@@ -104,4 +98,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_sharding": sharding.ORACLE_SQL, "op5_linededup": linededup.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
+    return {"op4_sharding": sharding.ORACLE_SQL, "op5_linededup": passages.ORACLE_SQL, "op6_urlfilter": urlfilter.ORACLE_SQL}
