@@ -8,6 +8,14 @@ near_duplicates: of documents linked by 75 % of their word shingles one stays.
 lines: repeated lines and repeated passages of 50 words or more go, except their first occurrence.
 benchmark: documents that hold a test item go.
 tokens: ids and the decoded text as digests, one row a document.
+
+Defined results: null and empty texts score 0 and go with the first stage, as do
+all texts where no label is good; repeated rows of a document leave one row; of
+linked documents the smallest doc_id stays, a null id only if there is no other;
+of a repeated line or passage the occurrence of the smallest doc_id stays, then
+the first in it; texts of any length are taken whole; further columns of
+``documents`` are carried unchanged up to the last stage, whatever their names;
+n_chars is counted anew; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,15 +28,18 @@ from polysema.llm.queries import TEXT_ROWS, tokenizer_spec
 from polysema.tables import Scratch, table
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    """A stage's frame is evaluated after it returns, so the setting stays until the caller sets it back, as run() does."""
+    spark.conf.set(BATCH, TEXT_ROWS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = quality.add_scores(docs, model, name="_quality_score")
-    return scored.where(F.col("_quality_score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _small_batches(spark)
     cut = passages.remove(docs, passages.repeats(docs.select("doc_id", "text")))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +72,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    before = spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
