@@ -10,9 +10,10 @@ items are verified: of the question's word trigrams at least MIN_QUESTION, and
 of the answer's at least MIN_ANSWER must occur in the passage. The answer is
 what follows an ``Answer:`` mark, else the item's last sentence.
 
-The index is broadcast in parts of at most PART_WORDS item words, each part
-searched by all passages, so its size is bounded whatever the number of items;
-document frequencies are over all items. Documents are not shuffled.
+The index is broadcast in parts of about PART_WORDS item words, one part after
+the other, so that no task and no driver holds more than one of them, whatever
+the number of items; document frequencies are over all items, counted by Spark
+over the words that the search takes. Documents are not shuffled.
 
 Defined results: null and empty documents and items match nothing; an item of
 fewer than three words is verified by its word sequence; repeated documents give
@@ -26,6 +27,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby, repeat
 
 import numpy as np
@@ -34,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polysema.tables import Scratch
+
 MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.6, 0.6, 0.6
 K1, B, BLOCK, PART_WORDS, GRAM = 1.2, 0.75, 8, 1_000_000, 3
 #: Shortest overlap of passages; a longer item raises it.
@@ -107,16 +111,39 @@ def build(items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float)
 def block_max_wand(query: np.ndarray, index: Index, least: float) -> list[tuple[int, float]]:
     """All items whose impacts over the query's distinct terms sum to at least `least`.
 
-    The block maxima bound every block of items; in the blocks that may reach the
-    threshold the lists are walked by pivots, with the block maxima as their bounds."""
+    Terms whose largest impacts together stay below the threshold find no block alone:
+    only the other terms' lists say which blocks of items are looked at, and the blocks
+    go as soon as their maxima and what the terms left can add stay below. In the
+    blocks that may reach the threshold the lists are walked by pivots, with the block
+    maxima as their bounds."""
     found, low = [], least - 1e-9
-    counts = index.start[query + 1] - index.start[query]
-    entries = np.repeat(index.start[query] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    blocks = index.block[entries]
-    bounds = np.bincount(blocks, index.most[entries])
-    for g in np.flatnonzero(bounds >= low):
+    query = query[np.argsort(index.top[query], kind="stable")]
+    rest = np.cumsum(index.top[query])  # what a term and all lesser ones can add
+    weak = int(np.searchsorted(rest, low))
+    if weak == len(query):
+        return found
+    strong = query[weak:]
+    counts = index.start[strong + 1] - index.start[strong]
+    entries = np.repeat(index.start[strong] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+    hit_entry, hit_block = [entries], [index.block[entries]]
+    blocks, where = np.unique(hit_block[0], return_inverse=True)
+    bounds = np.bincount(where, index.most[entries])
+    for k in range(weak - 1, -1, -1):
+        alive = bounds + rest[k] >= low
+        blocks, bounds = blocks[alive], bounds[alive]
+        if not len(blocks):
+            return found
+        first, end = index.start[query[k]], index.start[query[k] + 1]
+        at = first + np.searchsorted(index.block[first:end], blocks)
+        at[at == end] = first
+        same = index.block[at] == blocks
+        bounds[same] += index.most[at[same]]
+        hit_entry.append(at[same])
+        hit_block.append(blocks[same])
+    entries, of_block = np.concatenate(hit_entry), np.concatenate(hit_block)
+    for g in blocks[bounds >= low]:
         # a cursor: item, place, end, bound
-        cursors = [[index.posted[index.first[e]][0], index.first[e], index.first[e + 1], index.most[e]] for e in entries[blocks == g].tolist()]
+        cursors = [[index.posted[index.first[e]][0], index.first[e], index.first[e + 1], index.most[e]] for e in entries[of_block == g].tolist()]
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
@@ -171,36 +198,41 @@ def search(text: str | None, index: Index) -> list[tuple[int, float, float, floa
     return [best[i] for i in sorted(best)]
 
 
+def counted(items: DataFrame) -> DataFrame:
+    """items: item_id, text. Adds the number of words and the distinct words, as the search takes them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [words(t.as_py().lower()) for t in batch.column(1)]
+            more = [pa.array([len(w) for w in found], pa.int64()), pa.array([sorted(set(w)) for w in found], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], ["item_id", "text", "n_words", "words"])
+
+    return items.mapInArrow(run, T.StructType([*items.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("words", T.ArrayType(T.StringType()))]))
+
+
 def indexes(items: DataFrame, item_col: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """The index in parts of at most PART_WORDS words (a longer item makes its own part)."""
-    rows = items.where(F.col(text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(text).alias("text")).distinct()
-    n_words = F.size(F.regexp_extract_all(F.col("text"), F.lit(r"(?U)\w+"), 0))
-    n, total = rows.select(F.count(F.lit(1)), F.coalesce(F.sum(n_words), F.lit(0))).first()
+    """The index in parts of about PART_WORDS words (a longer item makes its part longer), one at a time."""
+    rows = counted(items.where(F.col(text).isNotNull() & F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), F.col(text).alias("text")).distinct())
+    n, total = rows.select(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     parts = max(1, -(-total // PART_WORDS))
-    if parts == 1:
-        own = sorted((r["item_id"], r["text"]) for r in rows.collect())
-        df = Counter(t for _, x in own for t in set(words(x.lower())))
-        yield build(own, df, n, max(1.0, total / max(1, n)))
-        return
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), 0))).alias("word")
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
-    freq = dealt.select("part", word).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.collect_set("part").alias("parts")).select("word", "df", F.explode("parts").alias("part"))
+    freq = dealt.select("part", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.collect_set("part").alias("parts"))
     for p in range(parts):
-        own = sorted((r["item_id"], r["text"]) for r in dealt.where(F.col("part") == p).collect())
-        df = {r["word"]: r["df"] for r in freq.where(F.col("part") == p).collect()}
-        known = {t: df.get(t, 1) for _, x in own for t in words(x.lower())}
-        yield build(own, known, n, total / n)
+        own = sorted((r["item_id"], r["text"]) for r in dealt.where(F.col("part") == p).select("item_id", "text").collect())
+        df = {r["word"]: r["df"] for r in freq.where(F.array_contains("parts", F.lit(p).cast("bigint"))).select("word", "df").collect()}
+        yield build(own, df, n, max(1.0, total / max(1, n)))
 
 
 MATCH = "item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """id_col, item_id, score, question_overlap, answer_overlap, first_word of every verified match."""
     kind = docs.schema[id_col].dataType.simpleString()
-    context, out = docs.sparkSession.sparkContext, None
+    scratch = scratch or Scratch(docs.sparkSession, "decontamination")
+    found = []
     for index in indexes(items):
-        shared = context.broadcast(index)  # of at most PART_WORDS item words
+        shared = docs.sparkSession.sparkContext.broadcast(index)  # of about PART_WORDS item words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -213,17 +245,22 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
                 types = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), *(pa.array(c, k) for c, k in zip(cols, types))], [id_col, *(x.split()[0] for x in MATCH.split(", "))])
 
-        part = docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, {MATCH}")
-        out = part if out is None else out.unionAll(part)
-    return out
+        found.append(scratch.keep(docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, {MATCH}"), "matches"))
+        shared.unpersist()
+    return reduce(DataFrame.unionAll, found)
 
 
-def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents without a verified match, all columns as they are: a map without a shuffle."""
-    out, at = docs, docs.columns.index(text)
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """The documents without a verified match, all columns as they are, whatever their names: a map without a
+    shuffle. Between the parts of a large index the documents that are left are written and read again."""
+    scratch = scratch or Scratch(docs.sparkSession, "decontamination")
+    out, at, before = docs, docs.columns.index(text), None
     schema = T.StructType(docs.schema.fields)
     for index in indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # of at most PART_WORDS item words
+        if before is not None:
+            out = scratch.keep(out, "left")
+            before.unpersist()
+        before = shared = docs.sparkSession.sparkContext.broadcast(index)  # of about PART_WORDS item words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:

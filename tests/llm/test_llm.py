@@ -200,6 +200,42 @@ def test_wand_equals_full_scores():
         assert {i for i, _ in decontamination.block_max_wand(q, index, 0.4)} == {i for i, x in full.items() if x >= 0.4 - 1e-9}
 
 
+@pytest.mark.parametrize("part_words", [1_000_000, 40])
+def test_decontamination_against_plain_search(spark, monkeypatch, part_words):
+    """Every document against every item by the same measures, without an index."""
+    monkeypatch.setattr(decontamination, "PART_WORDS", part_words)
+    r, d = random.Random(12), decontamination
+    items = [(i, words(i, r.randint(2, 20)) + ("? " if i % 3 else " Answer: ") + words(100 + i, r.randint(1, 12)) + ".") for i in range(12)]
+    rows = [(0, None), (1, ""), (2, " ".join([words(5, 400)] * 20))]
+    for i in range(3, 40):
+        own = r.choice(items)[1].split()
+        keep = own[: r.randint(1, len(own))] if i % 2 else own
+        rows.append((i, words(200 + i, r.randint(0, 200)) + " " + " ".join(keep).upper() + " " + words(300 + i, r.randint(0, 90))))
+    rows += rows[5:7]
+    n, mean = len(items), sum(len(d.words(t)) for _, t in items) / len(items)
+    df = d.Counter(w for _, t in items for w in set(d.words(t.lower())))
+    want = []
+    for i, text in rows:
+        for item_id, t in items:
+            one = d.build([(item_id, t)], df, n, mean)
+            impact = {w: x for w, k in one.terms.items() for _, x in one.posted[one.first[one.start[k]] : one.first[one.start[k + 1]]]}
+            step = max(d.LEAST_STEP, *(len(d.words(x)) for _, x in items)) if part_words > 40 else one.step
+            w = d.words((text or "").lower())
+            _, question, answer = one.items[0]
+            for s in range(0, max(1, len(w) - step), step):
+                there = {tuple(w[a : a + m]) for m in {len(g) for g in question | answer} for a in range(s, min(s + 2 * step, len(w)))}
+                score = sum(x for k, x in impact.items() if k in w[s : s + 2 * step])
+                if score >= d.MIN_SCORE - 1e-9 and d.share(question, there) >= d.MIN_QUESTION and d.share(answer, there) >= d.MIN_ANSWER:
+                    want.append((i, item_id))
+                    break
+    table = docs(spark, rows).withColumns({c: F.lit(0) for c in ("item_id", "score", "part", "words")})
+    items = spark.createDataFrame(items, "item_id bigint, text string").withColumn("part", F.lit(1))
+    got = [(x["doc_id"], x["item_id"]) for x in d.matches(table, items).collect()]
+    assert sorted(got) == sorted(want) and 15 < len(want)
+    left = d.clean(table, items)
+    assert left.columns == table.columns and sorted(x["doc_id"] for x in left.collect()) == sorted(i for i, _ in rows if i not in {x for x, _ in want})
+
+
 def test_nearest(spark):
     r = np.random.default_rng(8)
     x = r.standard_normal((400, 16))
