@@ -63,9 +63,11 @@ def grams(w: list[str]) -> frozenset[tuple[str, ...]]:
 @dataclass
 class Index:
     """Items in order of length, BLOCK of them a block, so that a block's impacts are alike.
+    Terms are numbered in the order of their largest impacts.
 
     Term t has the entries start[t]..start[t + 1]: block, largest impact in it, and the
-    postings first[e]..first[e + 1] (item, impact) inside the block."""
+    postings first[e]..first[e + 1] (item, impact) inside the block. Entry e is of term[e];
+    by_block[block_start[g]..block_start[g + 1]] are the entries of block g."""
 
     items: list[tuple[int, frozenset, frozenset]]  # item_id, grams of question and of answer
     terms: dict[str, int]
@@ -76,6 +78,10 @@ class Index:
     posted: list[tuple[int, float]]
     top: np.ndarray  # largest impact of each term, 0 at the end for words that no item holds
     step: int
+    term: np.ndarray
+    by_block: np.ndarray
+    block_start: np.ndarray
+    asked: np.ndarray  # of each term, all false between searches
 
 
 def build(items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float) -> Index:
@@ -94,7 +100,7 @@ def build(items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float)
         for t, x in raw.items():
             lists[t].append((len(kept), float(x / total)))
         kept.append((item_id, grams(question), grams(answer)))
-    terms = {t: i for i, t in enumerate(sorted(lists))}
+    terms = {t: i for i, t in enumerate(sorted(lists, key=lambda t: (max(x for _, x in lists[t]), t)))}
     start, block, most, first, posted = [0], [], [], [0], []
     for t in terms:
         for g, part in groupby(lists[t], lambda x: x[0] // BLOCK):
@@ -105,42 +111,43 @@ def build(items: list[tuple[int, str]], df: dict[str, int], n: int, mean: float)
             first.append(len(posted))
         start.append(len(block))
     top = np.array([max(x for _, x in lists[t]) for t in terms] + [0.0])
-    return Index(kept, terms, np.array(start), np.array(block, np.int64), np.array(most), first, posted, top, longest)
+    block, term = np.array(block, np.int64), np.repeat(np.arange(len(terms)), np.diff(start))
+    block_start = np.searchsorted(np.sort(block), np.arange(block.max() + 2 if len(block) else 1))
+    return Index(kept, terms, np.array(start), block, np.array(most), first, posted, top, longest, term, np.argsort(block, kind="stable"), block_start, np.zeros(len(terms), bool))
+
+
+def ranges(start: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The numbers start[k]..start[k + 1] of all keys."""
+    first = start[keys]
+    counts = start[keys + 1] - first
+    end = counts.cumsum()
+    return (first - end + counts).repeat(counts) + np.arange(end[-1])
 
 
 def block_max_wand(query: np.ndarray, index: Index, least: float) -> list[tuple[int, float]]:
-    """All items whose impacts over the query's distinct terms sum to at least `least`.
+    """All items whose impacts over the query's distinct terms (rising) sum to at least `least`.
 
-    Terms whose largest impacts together stay below the threshold find no block alone:
-    only the other terms' lists say which blocks of items are looked at, and the blocks
-    go as soon as their maxima and what the terms left can add stay below. In the
-    blocks that may reach the threshold the lists are walked by pivots, with the block
-    maxima as their bounds."""
+    The terms of the smallest impacts, which together stay below half the threshold, find
+    no block: only the other terms' lists say which blocks of items are looked at, and a
+    block goes if its maxima of these and all that the others can add stay below. Of the
+    blocks left the maxima of all terms are summed, and in those that may reach the
+    threshold the lists are walked by pivots, with the block maxima as their bounds."""
     found, low = [], least - 1e-9
-    query = query[np.argsort(index.top[query], kind="stable")]
-    rest = np.cumsum(index.top[query])  # what a term and all lesser ones can add
-    weak = int(np.searchsorted(rest, low))
-    if weak == len(query):
+    rest = index.top[query].cumsum()  # what a term and all lesser ones can add
+    if not len(query) or rest[-1] < low:
+        return found
+    weak = int(rest.searchsorted(low / 2))
+    entries = ranges(index.start, query[weak:])
+    bounds = np.bincount(index.block[entries], index.most[entries])
+    blocks = np.flatnonzero(bounds >= low - (rest[weak - 1] if weak else 0.0))
+    if not len(blocks):
         return found
-    strong = query[weak:]
-    counts = index.start[strong + 1] - index.start[strong]
-    entries = np.repeat(index.start[strong] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    hit_entry, hit_block = [entries], [index.block[entries]]
-    blocks, where = np.unique(hit_block[0], return_inverse=True)
-    bounds = np.bincount(where, index.most[entries])
-    for k in range(weak - 1, -1, -1):
-        alive = bounds + rest[k] >= low
-        blocks, bounds = blocks[alive], bounds[alive]
-        if not len(blocks):
-            return found
-        first, end = index.start[query[k]], index.start[query[k] + 1]
-        at = first + np.searchsorted(index.block[first:end], blocks)
-        at[at == end] = first
-        same = index.block[at] == blocks
-        bounds[same] += index.most[at[same]]
-        hit_entry.append(at[same])
-        hit_block.append(blocks[same])
-    entries, of_block = np.concatenate(hit_entry), np.concatenate(hit_block)
+    entries = index.by_block[ranges(index.block_start, blocks)]
+    index.asked[query] = True
+    entries = entries[index.asked[index.term[entries]]]
+    index.asked[query] = False
+    of_block = index.block[entries]
+    bounds = np.bincount(of_block, index.most[entries], minlength=blocks[-1] + 1)[blocks]
     for g in blocks[bounds >= low]:
         # a cursor: item, place, end, bound
         cursors = [[index.posted[index.first[e]][0], index.first[e], index.first[e + 1], index.most[e]] for e in entries[of_block == g].tolist()]
