@@ -30,8 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words whose encodings a Python worker remembers before it starts anew.
-WORDS_KEPT = 1_000_000
+#: Words whose encodings, and pairs of tokens whose stability, a Python worker remembers before it starts anew.
+WORDS_KEPT = 200_000
 #: Texts that are encoded together: their new words make one trie.
 TEXTS_AT_ONCE = 256
 
@@ -161,6 +161,8 @@ class WordBpe:
         known, split = self.known, []
         if len(known) > WORDS_KEPT:
             known.clear()
+        if len(self.trie.pairs) > WORDS_KEPT:
+            self.trie.pairs.clear()
         for text in texts:
             parts: list[str | int] = []
             for piece in self.split_special(text or ""):
