@@ -50,7 +50,7 @@ BANDS, SALT, TILE, TILE_SHINGLES = 8, 16, 1024, 2_000_000
 #: The bound only touches the order of keys, never the result.
 SEEN, COMMON, MOST_COMMON = 3, 16, 500_000
 #: Entries of a task's counts before the rare ones are put out of them.
-COUNTED = 1_000_000
+COUNTED = 3_000_000
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
