@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose encodings, and pairs of tokens whose stability, a Python worker remembers before it starts anew.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
 #: Texts that are encoded together: their new words make one trie.
 TEXTS_AT_ONCE = 256
 

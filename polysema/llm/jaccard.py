@@ -57,20 +57,20 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles that many documents hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(0)]
             k, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             both = np.concatenate((keys, k))
             order = np.argsort(both, kind="stable")
-            both, n = both[order], np.concatenate((counts, c))[order]
+            both, n = both[order], np.concatenate((counts, c.astype(np.int32)))[order]
             first = np.concatenate(([True], both[1:] != both[:-1])) if len(both) else np.zeros(0, bool)
             keys, counts = both[first], np.add.reduceat(n, np.flatnonzero(first)) if len(both) else n
             if len(keys) > COUNTED:
                 keep = counts > max(1, np.partition(counts, -COUNTED // 2)[-COUNTED // 2] - 1)
                 keys, counts = keys[keep], counts[keep]
         keep = counts >= SEEN
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep])], ["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["key", "n"])
 
     found = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     top = found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow()

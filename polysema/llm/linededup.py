@@ -83,7 +83,7 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     The spans of a document are few enough for a row, being lines of its text."""
     by_doc = spans.select("doc_id", "text_hash", "start", "end").distinct().groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    d, s = docs.alias("d"), by_doc.alias("s")
+    d, s = docs.alias("d"), by_doc.hint("merge").alias("s")  # grows with the documents, so it is shuffled at every size
     joined = d.join(s, F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & (F.xxhash64("d.text") == F.col("s.text_hash")), "left")
     cut = F.col("s.spans")
     parts = F.expr(

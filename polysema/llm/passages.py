@@ -56,35 +56,25 @@ def rolling(w: np.ndarray, width: int, base: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * powers(pow(base, -1, 1 << 64), n)[: n - width + 1])
 
 
-def candidates(text: str, cut: list[tuple[int, int]]) -> tuple | None:
-    """Word hashes, starts, ends, k-gram hashes, each window's anchor, and whether some word of it is in no removed line."""
+def candidates(text: str) -> tuple | None:
+    """Word hashes, k-gram hashes, and the k-gram that is each window's anchor."""
     w = word_hashes(text)
     if len(w) < WIDTH:
         return None
-    start, end = places(text)
-    gone = np.zeros(len(w) + 1, np.int64)
-    for a, b in cut:
-        gone[np.searchsorted(start, [a, b])] += (1, -1)
-    left = np.concatenate(([0], np.cumsum(np.cumsum(gone[:-1]) == 0)))
-    free = left[WIDTH:] > left[:-WIDTH]
-    if not free.any():
-        return None
     grams = rolling(w, GRAM, _FIRST)
-    chosen = np.lib.stride_tricks.sliding_window_view(grams, WIDTH - GRAM + 1).argmin(1) + np.arange(len(free))
-    return w, start, end, grams, chosen, free
+    return w, grams, np.lib.stride_tricks.sliding_window_view(grams, WIDTH - GRAM + 1).argmin(1) + np.arange(len(w) - WIDTH + 1)
 
 
 def _mapped(df: DataFrame, schema: pa.Schema, ddl: str, rows) -> DataFrame:
-    """df: doc_id, text_hash, text, cut, more columns for rows(text, cut, ...), which gives the other columns as arrays."""
+    """df: doc_id, text_hash, text, more columns for rows(text, ...), which gives the other columns as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, n = [], 0
             for doc, h, text, *rest in zip(*(batch.column(i) for i in range(batch.num_columns))):
-                found = rows(text.as_py(), [(x["start"], x["end"]) for x in rest[0].as_py() or ()], *(x.as_py() for x in rest[1:]))
+                found = rows(text.as_py(), *(x.as_py() for x in rest))
                 if found is not None and (m := len(found[0])):
-                    keys = [pa.array([doc.as_py()] * m, pa.int64()), pa.array([h.as_py()] * m, pa.int64())]
-                    held.append(pa.RecordBatch.from_arrays([*keys, *(pa.array(x, f.type) for x, f in zip(found, list(schema)[2:]))], schema=schema))
+                    held.append(pa.RecordBatch.from_arrays([pa.repeat(doc, m), pa.repeat(h, m), *(pa.array(x, f.type) for x, f in zip(found, list(schema)[2:]))], schema=schema))
                     n += m
                 if n >= ROWS:
                     yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
@@ -95,21 +85,25 @@ def _mapped(df: DataFrame, schema: pa.Schema, ddl: str, rows) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def _anchors(text: str, cut: list) -> tuple | None:
-    found = candidates(text, cut)
+def _anchors(text: str) -> tuple | None:
+    found = candidates(text)
     if found is None:
         return None
-    _, _, _, grams, chosen, free = found
-    at = np.unique(chosen[free])
+    _, grams, chosen = found
+    at = np.unique(chosen)
     return grams[at].view(np.int64), at.astype(np.int32)
 
 
-def _windows(text: str, cut: list, at: list[int]) -> tuple | None:
-    found = candidates(text, cut)
-    if found is None:
-        return None
-    w, start, end, _, chosen, free = found
-    i = np.flatnonzero(free & np.isin(chosen, at))
+def _windows(text: str, at: list[int], cut: list[dict] | None) -> tuple | None:
+    """The windows of the anchors at these places that have a word outside the removed lines."""
+    w, _, chosen = candidates(text)
+    i = np.flatnonzero(np.isin(chosen, at))
+    start, end = places(text)
+    gone = np.zeros(len(w) + 1, np.int64)
+    for line in cut or ():
+        gone[np.searchsorted(start, [line["start"], line["end"]])] += (1, -1)
+    left = np.concatenate(([0], np.cumsum(np.cumsum(gone[:-1]) == 0)))
+    i = i[left[i + WIDTH] > left[i]]
     h1, h2 = rolling(w, WIDTH, _FIRST)[i], rolling(mix(w ^ np.uint64(_SECOND)), WIDTH, _SECOND)[i]
     return i, start[i], end[i + WIDTH - 1], h1.view(np.int64), h2.view(np.int64)
 
@@ -126,15 +120,17 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     lines = scratch.keep(linededup.repeats(docs, 1, scratch), "lines")
     cut = lines.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    held = texts.alias("d").join(cut.alias("c"), _same("d", "c"), "left").select("d.doc_id", "d.text_hash", "text", "cut")
-    anchors = scratch.keep(_mapped(held, _ANCHORS, "doc_id bigint, text_hash bigint, anchor bigint, at int", _anchors), "anchors")
+    anchors = scratch.keep(_mapped(texts, _ANCHORS, "doc_id bigint, text_hash bigint, anchor bigint, at int", _anchors), "anchors")
     twice = scratch.keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     at = scratch.keep(anchors.join(twice, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at")), "at")
-    again = texts.alias("d").join(at.alias("a"), _same("d", "a")).select("d.doc_id", "d.text_hash", "text", "at")
-    again = again.alias("d").join(cut.alias("c"), _same("d", "c"), "left").select("d.doc_id", "d.text_hash", "text", "cut", "at")
+    # both tables grow with the documents, so they are shuffled at every size
+    again = texts.alias("d").join(at.hint("merge").alias("a"), _same("d", "a")).select("d.doc_id", "d.text_hash", "text", "at")
+    again = again.alias("d").join(cut.hint("merge").alias("c"), _same("d", "c"), "left").select("d.doc_id", "d.text_hash", "text", "at", "cut")
     windows = _mapped(again, _WINDOWS, "doc_id bigint, text_hash bigint, word bigint, start bigint, end bigint, h1 bigint, h2 bigint", _windows)
     windows = scratch.keep(windows, "windows")
     firsts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(linededup.rank()).alias("kept"), F.min(F.struct(*_order(), "word")).alias("first")).where("n > 1")
+    for t in (anchors, twice, at):
+        scratch.drop(t)
     firsts = scratch.keep(firsts.select("h1", "h2", "kept", F.col("first.word").alias("kept_word")), "firsts")
     own = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")) & (F.col("word") < F.col("kept_word") + WIDTH)
     gone = windows.join(firsts, ["h1", "h2"]).where((linededup.rank() > F.col("kept")) & ~own)
@@ -177,18 +173,22 @@ with docs as (
   select doc_id, i, line, coalesce(list_sum(list_transform(l[1:i], lambda x: length(x) + 1)), 0)::BIGINT as start from placed
 ), normal as (
   select doc_id, i, start, (start + length(line))::BIGINT as "end",
-    list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda w: w <> '') as w from sized
+    list_filter(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda w: w <> '') as w from sized
 ), ranked as (
   select doc_id, i, start, "end", len(w)::BIGINT as n_words, first_value(doc_id) over o as kept_doc_id, first_value(start) over o as kept_start, row_number() over o as r
   from normal where len(w) > 0 window o as (partition by md5(array_to_string(w, ' ')) order by doc_id, start)
 ), gone_lines as (
   select * from ranked where r > 1
 ), pieces as (
-  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]*[^ 	-]+') as p from docs
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]*[^ 	-
+]+') as p from docs
 ), each as (
   select doc_id, p, unnest(p) as piece, unnest(range(len(p))) as k from pieces
 ), word as (
-  select doc_id, k, regexp_replace(piece, '^[ 	-]+', '') as w, sum(length(piece)) over o as "end", sum(length(piece) - length(replace(piece, chr(10), ''))) over o as i
+  select doc_id, k, regexp_replace(piece, '^[ 	-
+]+', '') as w, sum(length(piece)) over o as "end", sum(length(piece) - length(replace(piece, chr(10), ''))) over o as i
   from each window o as (partition by doc_id order by k)
 ), told as (
   select word.doc_id, k, w, "end" - length(w) as start, word."end", g.doc_id is null as free
