@@ -13,28 +13,70 @@ from pyspark.sql.functions import pandas_udf
 #: Letters, letter numbers and other numbers, and the underscore; no decimal digits, no combining marks.
 ALPHABETIC = r"[\p{L}\p{Nl}\p{No}_]+"
 
-# Patterns of the predicate library.
+# Patterns of the predicate library. (?U): \d, \s, \w and \b know all of Unicode.
 PATTERNS = {
-    "latin_word": r"^[a-zA-Z]+$",
-    "latin_mwe": r"^[a-zA-Z]+( [a-zA-Z]+)+$",
+    "latin_mwe": r"(?iu)^[-a-z ]+$",
+    "latin_word": r"(?iu)^[-a-z]+$",
     "latin_chars": r"[a-zA-Z]",
-    "xml_escape": r"&[a-z]+;",
-    "dollar": r"\$ ?\d",
-    "phone": r"\+?\d[\d \-()]{7,}\d",
+    "whitespaces": r"(?U)\s+",
+    "newlines": r"[\n\r]+",
+    "xml_escape": r"(?U)&[^\s]+;",
+    "dollar": r"\$",
+    "phone": r"(?U)\+?\s*\b[78]\s*[\(\s-]?\d\d\d[)\s-]?\s*(\d[-\s]?){7}\b",
+    "url": r"(?iu)https?://[^ ]+",
     "exclamations": r"!!!+",
     "questions": r"\?\?\?+",
+    "upper_letter": r"[A-Z]",
     "upper_run": r"[A-Z]{3,}",
-    "spaced_numbers": r"\d+ \d+",
-    "number": r"\d",
+    "spaced_numbers": r"(?U)^[,\d\s]+$",
+    "number": r"(?U)\d+",
+    "numeric_stops": r"(?iU)[\d\s:;\.-]+(?![а-яa-z\d-])",
     "at": r"@",
+    "amp": r"(?i)&(amp|quot)(\\;|;)?",
+    "escape": r"\\;",
+    "quote_escape": r'[\\"]',
+    "norm_babel": r"[()_:]",
+    "norm_babel_dash": r"[()_:-]",
 }
 
+# Marks and words that are stop words beside the library's list.
+STOP_MARKS = [".", ",", "?", "!", ";", ":", '"', "&", "'", "(", ")", "-", "+", "/", "\\", "|", "[", "]", "often", "a", "an", "-pron-", "can", "just"]
+
 
 def tokenize(text: Column) -> Column:
     """Alphabetic tokens with their case kept."""
     return F.regexp_extract_all(text, F.lit(ALPHABETIC), 0)
 
 
+def word_tokenize(text: Column) -> Column:
+    """Runs of letters, marks, numbers and underscores, and every other character but white space by itself: a plain
+    stand-in for a tree-bank tokenizer, without its rules for contractions and abbreviations."""
+    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]"), 0)
+
+
+def stop_words(language: str = "english") -> list[str]:
+    """The library's list for the language with the marks above."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return sorted({*StopWordsRemover.loadDefaultStopWords(language), *STOP_MARKS})
+
+
+def stop_variants(word: Column) -> Column:
+    """The forms in which a stop word is left out of contexts."""
+    return F.array_distinct(F.array(word, title(word), F.upper(word)))
+
+
+def fixed_point(number: Column, digits: int = 12) -> Column:
+    """A number without an exponent."""
+    return F.format_string(f"%.{digits}f", number)
+
+
+def parse_list(text: Column) -> Column:
+    """Items of a written list ``['a', "b", c]``, ``a, b`` or none; quotes and spaces around items go."""
+    items = F.transform(F.split(F.regexp_replace(F.trim(text), r"^\[|\]$", ""), ","), lambda x: F.regexp_replace(F.trim(x), r"""^['"]|['"]$""", ""))
+    return F.filter(items, lambda x: x != "")
+
+
 def split_space(text: Column) -> Column:
     """Runs of non-white-space characters."""
     return F.filter(F.split(text, r"(?U)\s+"), lambda x: x != "")
@@ -85,14 +127,16 @@ def norm(word: Column) -> Column:
 
 
 def babel(word: Column, hyphen: bool = False) -> Column:
-    marks = r"[()_:\-]" if hyphen else r"[()_:]"
+    marks = PATTERNS["norm_babel_dash" if hyphen else "norm_babel"]
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(word, marks, " "), " +", " ")))
 
 
 def csv_clean(text: Column) -> Column:
-    t = F.regexp_replace(text, r"&amp;|&quot;|&amp|&quot", " ")
-    t = F.regexp_replace(t, r"\;", " ")
-    return F.trim(F.regexp_replace(t, r'[\\"]', " "))
+    """Stripped; then & marks of ampersands and quotes, escaped semicolons, backslashes and quotes become spaces."""
+    t = strip(text)
+    for name in ("amp", "escape", "quote_escape"):
+        t = F.regexp_replace(t, PATTERNS[name], " ")
+    return t
 
 
 def one_line(text: Column) -> Column:
@@ -104,7 +148,7 @@ def one_space(text: Column) -> Column:
 
 
 def urls(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"https?://[^ ]+"), 0)
+    return F.regexp_extract_all(text, F.lit(PATTERNS["url"]), 0)
 
 
 def without_markup(html: Column) -> Column:
@@ -137,7 +181,7 @@ def parse_span(span: Column) -> Column:
 
 
 def good_token(word: Column, stop: list[str] | None = None) -> Column:
-    plain = ~word.rlike(r"^[,\d\s]+$")
+    plain = ~word.rlike(PATTERNS["spaced_numbers"])
     return plain & ~F.lower(word).isin(stop) if stop else plain
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polysema.functions import text as X
+from polysema.tables import Scratch
 
 
 def tokens(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,15 +28,25 @@ def adjacent(docs: DataFrame, text: str = "text") -> DataFrame:
 def bigram_scores(docs: DataFrame, least: int = 5, threshold: float = 10.0, text: str = "text") -> DataFrame:
     """a, b, n, score: adjacent pairs with (n - least) * vocabulary / (freq a * freq b) above the threshold.
 
-    Pairs are counted before they meet the word counts, which are one row a word."""
-    freq = term_frequencies(tokens(docs, text), 1)
-    pairs = adjacent(docs, text).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    One pass over the texts counts words and pairs together; the counts are kept, and pairs
+    meet the word counts, which are one row a word."""
+    t = X.tokenize(F.col(text))
+    both = F.expr("concat(transform(t, x -> struct(x as a, cast(null as string) as b)), transform(slice(t, 1, greatest(size(t) - 1, 0)), (x, i) -> struct(x as a, t[i + 1] as b)))")
+    units = docs.select(t.alias("t")).select(F.explode(both).alias("u")).select("u.a", "u.b")
+    counts = Scratch(docs.sparkSession, "bigrams").keep(units.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "counts")
+    freq = counts.where("b is null").select(F.col("a").alias("word"), F.col("n").alias("freq"))
+    pairs = counts.where(F.col("b").isNotNull() & (F.col("n") >= least))
     size = freq.agg(F.count(F.lit(1)).alias("v"))
     scored = pairs.join(freq.select(F.col("word").alias("a"), F.col("freq").alias("fa")), "a").join(freq.select(F.col("word").alias("b"), F.col("freq").alias("fb")), "b").crossJoin(F.broadcast(size))  # one row
     score = F.round((F.col("n") - least) * F.col("v") / F.col("fa") / F.col("fb"), 6)
     return scored.select("a", "b", "n", score.alias("score")).where(F.col("score") > threshold)
 
 
+def lowercase_vocabulary(vocabulary: DataFrame) -> DataFrame:
+    """word, value. Lower-cased words; of words that become equal the largest value counts."""
+    return vocabulary.groupBy(F.lower("word").alias("word")).agg(F.max("value").alias("value"))
+
+
 def phrase_capacity(phrases: DataFrame) -> DataFrame:
     return phrases.agg(F.max(F.size(F.split("phrase", "_"))).alias("capacity"))
 
@@ -65,13 +76,16 @@ def phrase_hits(merged_docs: DataFrame) -> DataFrame:
     return words.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
 
 
-def word_vectors(docs: DataFrame, size: int = 300, window: int = 5, iterations: int = 5, least: int = 10, cbow: bool = False, seed: int = 1, text: str = "text") -> DataFrame:
-    """word, v. Skip-gram with hierarchical softmax, the model that Spark offers; cbow is refused."""
+def word_vectors(docs: DataFrame, size: int = 300, window: int = 5, iterations: int = 5, least: int = 10, cbow: bool = False, seed: int = 1, text: str = "text", partitions: int | None = None) -> DataFrame:
+    """word, v. Skip-gram with hierarchical softmax, the model that Spark offers; cbow is refused.
+
+    partitions: parts of the corpus that are trained side by side and averaged after each iteration; by default
+    one for each core of the cluster."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     if cbow:
         raise ValueError("only the skip-gram model is available")
     sentences = docs.select(X.tokenize(F.col(text)).alias("tokens"))
-    model = Word2Vec(vectorSize=size, windowSize=window, maxIter=iterations, minCount=least, seed=seed, inputCol="tokens", outputCol="v", numPartitions=1).fit(sentences)
+    model = Word2Vec(vectorSize=size, windowSize=window, maxIter=iterations, minCount=least, seed=seed, inputCol="tokens", outputCol="v", numPartitions=partitions or docs.sparkSession.sparkContext.defaultParallelism).fit(sentences)
     return model.getVectors().select("word", vector_to_array("vector").alias("v"))

@@ -56,13 +56,14 @@ def mcnemar(rows: DataFrame, a: str, b: str) -> DataFrame:
     t = rows.agg(F.count(F.when(x & ~y, 1)).alias("b"), F.count(F.when(~x & y, 1)).alias("c"))
     n, m = F.col("b") + F.col("c"), F.least("b", "c")
     t = t.withColumn("n", n).withColumn("m", m)
-    # ln C(n, k) as a running sum; terms of the binomial distribution up to m
-    logs = "transform(sequence(1, greatest(m, 1)), k -> ln(cast(n - k + 1 as double)) - ln(cast(k as double)))"
-    t = t.withColumn("terms", F.expr(f"aggregate({logs}, struct(array(cast(0 as double)) as l), (s, x) -> struct(concat(s.l, array(element_at(s.l, -1) + x)) as l), s -> transform(slice(s.l, 1, cast(m as int) + 1), v -> exp(v - n * ln(cast(2 as double)))))"))
-    p = 2 * F.aggregate("terms", F.lit(0.0), lambda s, v: s + v)
+    # ln C(n, k) as a running sum l; s adds the terms of the binomial distribution up to m
+    half = "n * ln(cast(2 as double))"
+    t = t.withColumn("e", F.expr(f"""aggregate(if(m > 0, sequence(1, m), array()), struct(cast(0 as double) as l, exp(-{half}) as s),
+        (x, k) -> struct(x.l + ln(cast(n - k + 1 as double)) - ln(cast(k as double)) as l, x.s + exp(x.l + ln(cast(n - k + 1 as double)) - ln(cast(k as double)) - {half}) as s))"""))
+    p, last = 2 * F.col("e.s"), F.exp(F.col("e.l") - F.expr(half))
     some = F.col("n") > 0
     return t.select(
-        "b", "c", F.when(some, F.round(p, 6)).alias("p"), F.when(some, F.round(p - F.element_at("terms", -1), 6)).alias("midp"), F.when(some, F.round((F.col("b") - F.col("c")) * (F.col("b") - F.col("c")) / F.col("n"), 6)).alias("chi2")
+        "b", "c", F.when(some, F.round(p, 6)).alias("p"), F.when(some, F.round(p - last, 6)).alias("midp"), F.when(some, F.round((F.col("b") - F.col("c")) * (F.col("b") - F.col("c")) / F.col("n"), 6)).alias("chi2")
     )
 
 

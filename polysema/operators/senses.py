@@ -28,18 +28,16 @@ def weight(kind: str) -> Column:
 
 def looked_up(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """members: word, cid, member, pos, weight. Their vectors v and weights: the member itself, else what stands
-    before its #, else its parts at underscores longer than 3 characters, sharing the weight."""
-    parts = F.filter(F.split("member", "_"), lambda p: F.length(p) > 3)
-    keys = F.concat(
-        F.array(F.struct(F.lit(0).alias("way"), F.col("member").alias("key"))),
-        F.when(F.col("member").contains("#"), F.array(F.struct(F.lit(1).alias("way"), F.substring_index("member", "#", 1).alias("key")))).otherwise(F.array().cast("array<struct<way:int,key:string>>")),
-        F.when(F.col("member").contains("_"), F.transform(parts, lambda p: F.struct(F.lit(2).alias("way"), p.alias("key")))).otherwise(F.array().cast("array<struct<way:int,key:string>>")),
-    )
-    asked = members.withColumn("k", F.explode(keys)).select("*", "k.way", "k.key").drop("k")
+    before its #, else that one's parts at underscores that are longer than 3 characters. Each part has the weight
+    over the number of all parts, known or not."""
+    base = F.substring_index("member", "#", 1)
+    parts = F.split(base, "_")
+    one = lambda way, key: F.struct(F.lit(way).alias("way"), key.alias("key"), F.lit(1).alias("over"))
+    keys = F.concat(F.array(one(0, F.col("member")), one(1, base)), F.transform(F.filter(parts, lambda p: F.length(p) > 3), lambda p: F.struct(F.lit(2).alias("way"), p.alias("key"), F.size(parts).alias("over"))))
+    asked = members.withColumn("k", F.explode(keys)).select("*", "k.way", "k.key", "k.over").drop("k")
     known = asked.join(vectors.select(F.col("word").alias("key"), V.doubles(F.col("v")).alias("v")), "key")
-    w = Window.partitionBy("word", "cid", "member", "pos")
-    best = known.withColumn("first", F.min("way").over(w)).where("way = first").withColumn("shared", F.count(F.lit(1)).over(w))
-    return best.select("word", "cid", "member", "pos", (F.col("weight") / F.col("shared")).alias("weight"), "v", "key")
+    best = known.withColumn("first", F.min("way").over(Window.partitionBy("word", "cid", "member", "pos"))).where("way = first")
+    return best.select("word", "cid", "member", "pos", (F.col("weight") / F.col("over")).alias("weight"), "v", "key")
 
 
 def pooled(clusters: DataFrame, vectors: DataFrame, kind: str = "score", most: int = 20, normalised: bool = True, fallback: bool = True) -> DataFrame:
@@ -61,6 +59,12 @@ def pooled(clusters: DataFrame, vectors: DataFrame, kind: str = "score", most: i
     return rows.join(total, ["word", "cid"]).select("word", "cid", V.scaled(V.weighted_sum(F.col("rows")), scale).alias("v"))
 
 
+def vector_or_zero(asked: DataFrame, senses: DataFrame, size: int) -> DataFrame:
+    """asked: word, cid. Its vector v, zeros if the sense is unknown."""
+    zero = F.array_repeat(F.lit(0.0), size)
+    return asked.join(senses.select("word", "cid", "v"), ["word", "cid"], "left").withColumn("v", F.coalesce("v", zero))
+
+
 def with_word(senses: DataFrame, vectors: DataFrame, share: float = 0.5) -> DataFrame:
     """Sense vectors mixed with their words' vectors, where known."""
     w = vectors.select("word", V.doubles(F.col("v")).alias("wv"))

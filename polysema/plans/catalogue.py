@@ -149,7 +149,7 @@ def phrase_variants(spark, d):
 @query("clean_pages", S.CLEAN_PAGES)
 def clean_pages(spark, d):
     t = X.without_markup(F.col("html"))
-    return table(spark, d, "pages").select("page_id", F.md5(t.cast("binary")).alias("plain"), F.md5(X.one_space(t).cast("binary")).alias("spaced"), F.md5(X.csv_clean(F.col("html")).cast("binary")).alias("cleaned"))
+    return table(spark, d, "pages").select("page_id", F.md5(t.cast("binary")).alias("plain"), F.md5(X.one_space(t).cast("binary")).alias("spaced"), F.md5(X.csv_clean(F.concat(F.lit(' a;b &AMP; c &quot\\; "q" '), "html")).cast("binary")).alias("cleaned"))
 
 
 @query("whitespace_lines", S.WHITESPACE)
@@ -159,14 +159,16 @@ def whitespace_lines(spark, d):
 
 @query("url_extract", S.URLS)
 def url_extract(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.concat_ws(" ", F.lit("see"), "url", F.lit("and"), "url").alias("t"))
+    p = table(spark, d, "pages").select("page_id", F.concat_ws(" ", F.lit("see"), "url", F.lit("and"), F.upper("url")).alias("t"))
     return p.select("page_id", F.posexplode(X.urls(F.col("t"))).alias("at", "found"))
 
 
 @query("pattern_flags", S.PATTERN_FLAGS)
 def pattern_flags(spark, d):
-    names = ["dollar", "phone", "exclamations", "questions", "upper_run", "spaced_numbers", "number", "at", "xml_escape"]
-    return docs(spark, d).select("doc_id", *(X.matches(F.col("text"), n).cast("int").alias(n) for n in names))
+    """The documents' texts and strings that tell the patterns apart."""
+    names = [n for n in X.PATTERNS if n not in ("whitespaces", "newlines", "numeric_stops", "amp", "escape", "quote_escape")]
+    probes = spark.createDataFrame([(-i - 1, p) for i, p in enumerate(S.PROBES)], "doc_id bigint, text string")
+    return docs(spark, d).select("doc_id", "text").unionAll(probes).select("doc_id", *(X.matches(F.col("text"), n).cast("int").alias(n) for n in names))
 
 
 @query("norm_babel", S.NORM_BABEL)
@@ -188,6 +190,49 @@ def sense_ids(spark, d):
     return p.select("p_partkey", "sense", X.parse_sense(F.col("sense"))["word"].alias("word"), X.parse_sense(F.col("sense"))["cid"].alias("cid"))
 
 
+@query("word_tokenize", S.WORD_TOKENIZE)
+def word_tokenize(spark, d):
+    t = X.word_tokenize(F.col("text"))
+    return docs(spark, d).select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("tokens"))
+
+
+@query("lowercase_vocabulary", S.LOWERCASE)
+def lowercase_vocabulary(spark, d):
+    words = corpus.term_frequencies(corpus.tokens(docs(spark, d)), 1).select("word", F.col("freq").alias("value"))
+    return corpus.lowercase_vocabulary(words)
+
+
+@query("fixed_similarities", "select p_partkey, printf('%.12f', p_size / 1048576.0::DOUBLE) as sim from part")
+def fixed_similarities(spark, d):
+    return table(spark, d, "part").select("p_partkey", X.fixed_point(F.col("p_size") / 1048576).alias("sim"))
+
+
+@query("split_underscores", "select p_partkey, len(string_split(replace(p_name, ' ', '_') || '_a', '_')) + 1 as n from part")
+def split_underscores(spark, d):
+    """The tokens of an array with joined ones, taken apart."""
+    t = X.split_underscores(F.array(F.concat(F.translate("p_name", " ", "_"), F.lit("_a")), F.lit("b")))
+    return table(spark, d, "part").select("p_partkey", F.size(t).cast("bigint").alias("n"))
+
+
+@query("pos_variants", S.POS_VARIANTS)
+def pos_variants(spark, d):
+    return table(spark, d, "part").select(F.explode(X.pos_variants(F.split("p_name", " ")[0], True)).alias("form")).distinct()
+
+
+@query("good_tokens", S.GOOD_TOKENS)
+def good_tokens(spark, d):
+    words = docs(spark, d).select(F.explode(X.split_space(F.col("text"))).alias("word")).distinct()
+    return words.where(X.good_token(F.col("word"), ["the", "of", "1"])).agg(F.count(F.lit(1)).alias("good"))
+
+
+@query("list_items", "select p_partkey, p_name as items, 3 as n from part")
+def list_items(spark, d):
+    """A written list with quotes of both kinds, read again."""
+    written = F.concat(F.lit("['"), F.col("p_name"), F.lit("', \"x\", y]"))
+    t = X.parse_list(written)
+    return table(spark, d, "part").select("p_partkey", t[0].alias("items"), F.size(t).alias("n"))
+
+
 @query("bigram_scores", S.BIGRAMS)
 def bigram_scores(spark, d):
     return corpus.bigram_scores(docs(spark, d), 5, 10.0)
@@ -344,6 +389,27 @@ def word_sense_mix(spark, d):
     return mixed.select("word", "cid", F.round(V.length(F.col("v")), 5).alias("length"))
 
 
+@query("sense_vectors_fallback", S.POOLED_FALLBACK)
+def sense_vectors_fallback(spark, d):
+    """Members that are found by themselves, before their #, by parts of a compound (known and not, short ones too), or not at all."""
+    v = table(spark, d, "embeddings").select(F.concat(F.lit("word"), F.col("vec_id").cast("string")).alias("word"), "vec_id", V.doubles(F.col("embedding")).alias("v"))
+    w, near = F.col("word"), F.concat(F.lit("word"), (F.col("vec_id") + 1).cast("string"))
+    forms = [w, F.concat(w, F.lit("#NN")), F.concat(F.lit("new_"), w, F.lit("_station#NP")), F.concat(w, F.lit("_"), near), F.concat(F.lit("abc_"), w, F.lit("_abc_xyzxyz")), F.lit("nowhere_to_find")]
+    c = v.select(w.alias("word"), F.lit(1).alias("cid"), F.posexplode(F.array(*forms)).alias("i", "member")).select("word", "cid", "member", (F.col("i") + 1).alias("pos"), (1 / (F.col("i") + 2)).alias("sim"))
+    p = senses.pooled(c, v, "score", POOLED)
+    return p.select("word", "cid", F.posexplode("v").alias("dim", "x")).select("word", "cid", "dim", (F.round("x", 5) + 0.0).alias("value"))
+
+
+@query("sense_vector_lookup", S.VECTOR_LOOKUP)
+def sense_vector_lookup(spark, d):
+    """Every second sense is asked for under an id that it has not: its vector is zero."""
+    e = table(spark, d, "embeddings")
+    v = e.select(F.col("label").cast("string").alias("word"), F.col("vec_id").alias("cid"), V.doubles(F.col("embedding")).alias("v"))
+    size = e.select(F.max(F.size("embedding"))).first()[0] or 0  # one row
+    asked = v.select("word", F.when(F.col("cid") % 2 == 0, F.col("cid")).otherwise(-F.col("cid")).alias("cid"))
+    return senses.vector_or_zero(asked, v, size).select("word", "cid", F.round(V.length(F.col("v")), 5).alias("length"))
+
+
 # -- disambiguation ---------------------------------------------------------------
 
 
@@ -374,7 +440,7 @@ def wsd_prob(spark, d):
 def wsd_disambiguate(spark, d):
     """Every seventh target has no context left, so that its prior decides."""
     context = contexts(spark, d).where("ctx_id % 7 <> 3")
-    return wsd.disambiguate(instances(spark, d), context, model(spark, d), vectors(spark, d))
+    return wsd.disambiguate(instances(spark, d), context, model(spark, d), vectors(spark, d)).drop("sense")
 
 
 @query("wsd_disambiguate_all")

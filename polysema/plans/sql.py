@@ -162,19 +162,26 @@ PHRASE_VARIANTS = """
 with p as (select distinct trim(p_name) as w from part), c as (select w, upper(w[1]) || lower(w[2:]) as c from p)
 select w as phrase from c union select c from c union select replace(w, ' ', '_') from c union select replace(c, ' ', '_') from c"""
 
-CLEAN_PAGES = f"""
-with t as (select page_id, html, regexp_replace(html, '<[^>]*>', ' ', 'g') as t from pages)
+CLEAN_PAGES = rf"""
+with t as (select page_id, ' a;b &AMP; c &quot\; "q" ' || html as h, regexp_replace(html, '<[^>]*>', ' ', 'g') as t from pages)
 select page_id, md5(t) as plain, md5(regexp_replace(t, '{SPACE}', ' ', 'g')) as spaced,
-  md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '&amp;|&quot;|&amp|&quot', ' ', 'g'), ';', ' ', 'g'), '[\\\\"]', ' ', 'g'))) as cleaned from t"""
+  md5(regexp_replace(replace(regexp_replace(regexp_replace(h, '^{SPACE}|{SPACE}$', '', 'g'), '&(amp|quot)(\\;|;)?', ' ', 'gi'), '\;', ' '), '[\\"]', ' ', 'g')) as cleaned from t"""
 
 WHITESPACE = f"select doc_id, length(regexp_replace(text, '[\\n\\r]+', ' ', 'g'))::INT as line_length, length(regexp_replace(text, '{SPACE}', ' ', 'g'))::INT as space_length from documents"
 
 URLS = """
-with t as (select page_id, regexp_extract_all('see ' || url || ' and ' || url, 'https?://[^ ]+') as f from pages)
+with t as (select page_id, regexp_extract_all('see ' || url || ' and ' || upper(url), '(?i)https?://[^ ]+') as f from pages)
 select page_id, unnest(range(len(f)))::INT as at, unnest(f) as found from t"""
 
-_FLAGS = {"dollar": r"\$ ?\d", "phone": r"\+?\d[\d \-()]{7,}\d", "exclamations": "!!!+", "questions": r"\?\?\?+", "upper_run": "[A-Z]{3,}", "spaced_numbers": r"\d+ \d+", "number": r"\d", "at": "@", "xml_escape": "&[a-z]+;"}
-PATTERN_FLAGS = "select doc_id, " + ", ".join(f"regexp_matches(text, '{p}')::INT as {n}" for n, p in _FLAGS.items()) + " from documents"
+#: Strings that tell the patterns apart, beside the documents' texts.
+PROBES = ["$", "&#39;", "&;", "1, 2", "1 2 x", "ab-cd", "AB cd-E", "ab1", "+7 (912) 345-67-89", "8 912 345 67 89", "12345678901", "HTTP://A.b/c", "!!", "???", "ABC", "aB", "x_y", "привет", ""]
+_FLAGS = {
+    "latin_mwe": "(?i)^[-a-z ]+$", "latin_word": "(?i)^[-a-z]+$", "latin_chars": "[a-zA-Z]", "xml_escape": r"&[^\p{Z}\x09-\x0D\x{85}]+;", "dollar": r"\$",
+    "phone": r"\+?\s*\b[78]\s*[\(\s-]?\d\d\d[)\s-]?\s*(\d[-\s]?){7}\b", "url": "(?i)https?://[^ ]+", "exclamations": "!!!+", "questions": r"\?\?\?+", "upper_letter": "[A-Z]",
+    "upper_run": "[A-Z]{3,}", "spaced_numbers": r"^[,\p{Nd}\p{Z}\x09-\x0D\x{85}]+$", "number": r"\p{Nd}+", "at": "@", "norm_babel": "[()_:]", "norm_babel_dash": "[()_:-]",
+}
+_PROBE_ROWS = ", ".join(f"({-i - 1}, '{p}')" for i, p in enumerate(PROBES))
+PATTERN_FLAGS = f"with t(doc_id, text) as (select doc_id, text from documents union all select * from (values {_PROBE_ROWS})) select doc_id, " + ", ".join(f"regexp_matches(text, '{p}')::INT as {n}" for n, p in _FLAGS.items()) + " from t"
 
 NORM_BABEL = r"""
 with t as (select p_partkey, p_name || '#' || replace(p_brand, '#', ':') || ' (' || p_type || ')_x' as w from part)
@@ -361,3 +368,34 @@ select b, c, case when n > 0 then round(2 * sum(x), 6) end as p, case when n > 0
 from terms group by b, c, n"""
 
 SUMMARY = 'select sum(n_chars)::BIGINT as "sum", round(avg(n_chars), 6) as "mean", round(stddev_pop(n_chars), 6) as "std", quantile_cont(n_chars, 0.5) as "median", min(n_chars) as "min", max(n_chars) as "max" from documents'
+
+WORD_TOKENIZE = r"""
+with t as (select doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]') as t from documents)
+select doc_id, len(t)::INT as n, md5(array_to_string(t, ' ')) as tokens from t"""
+
+LOWERCASE = r"""
+with t as (select unnest(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}_]+')) as w from documents), f as (select w, count(*) as n from t group by w)
+select lower(w) as word, max(n) as value from f group by 1"""
+
+POS_VARIANTS = """
+with w as (select distinct string_split(p_name, ' ')[1] as w from part), f as (select lower(w) as f from w union select upper(w) from w union select upper(w[1]) || lower(w[2:]) from w)
+select f || t as form from f, (values ('#NN'), ('#NP'), ('#JJ'), ('#VB')) v(t)"""
+
+GOOD_TOKENS = f"""
+with w as (select distinct unnest(list_filter(regexp_split_to_array(text, '{SPACE}'), lambda x: x <> '')) as w from documents)
+select count(*) as good from w where not regexp_matches(w, '^[,\\p{{Nd}}]+$') and lower(w) not in ('the', 'of', '1')"""
+
+VECTOR_LOOKUP = """
+with e as (select label::VARCHAR as word, vec_id as cid, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) as l from embeddings),
+a as (select word, case when cid % 2 = 0 then cid else -cid end as cid from e)
+select a.word, a.cid, round(coalesce(l, 0.0), 5) as length from a left join e using (word, cid)"""
+
+#: Member i of word w (weight 1 / (i + 1)): w and w#NN have its vector; of new_w_station#NP one of three parts is known, of
+#: w_(next) both of two (one for the last word), of abc_w_abc_xyzxyz one of four, and the last none.
+POOLED_FALLBACK = """
+with e as (select 'word' || vec_id as word, 'word' || (vec_id + 1) as next, embedding::DOUBLE[] as v from embeddings),
+p as (
+  select word, word as key, 1 / 2.0::DOUBLE + 1 / 3.0::DOUBLE + 1 / 4.0::DOUBLE / 3 + 1 / 5.0::DOUBLE / 2 + 1 / 6.0::DOUBLE / 4 as w from e
+  union all select word, next, 1 / 5.0::DOUBLE / 2 from e),
+x as (select p.word, w, unnest(v) as x, unnest(range(len(v)))::INT as dim from p join e on e.word = p.key)
+select word, 1 as cid, dim, round(sum(w * x) / (1 / 2.0::DOUBLE + 1 / 3.0::DOUBLE + 1 / 4.0::DOUBLE + 1 / 5.0::DOUBLE + 1 / 6.0::DOUBLE + 1 / 7.0::DOUBLE), 5) + 0.0::DOUBLE as value from x group by word, dim"""

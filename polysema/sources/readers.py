@@ -27,16 +27,29 @@ def corpus(spark: SparkSession, path: str) -> DataFrame:
     return lines.withColumn("tokens", X.tokenize(F.col("text")))
 
 
-def word2vec_text(spark: SparkSession, path: str) -> DataFrame:
-    """word, v. The header (two numbers) and lines of another length than it says are left out."""
-    lines = spark.read.text(path).select(F.split(F.rtrim("value"), " ").alias("f"))
-    vectors = lines.where(F.size("f") > 2)
-    return vectors.select(F.col("f")[0].alias("word"), F.transform(F.slice("f", 2, F.size("f") - 1), lambda x: x.try_cast("float")).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+def _vector_lines(spark: SparkSession, path: str, size: int | None) -> DataFrame:
+    """value, f (fields) of the lines that hold a vector: as many numbers as most lines, or as given, have.
 
+    The header (``n d``) has another length; of vectors of one number it is the line that tells their count."""
+    lines = spark.read.text(path).withColumn("f", F.split(F.rtrim("value"), " "))
+    if size is None or size == 1:
+        found = lines.groupBy(F.size("f").alias("k")).count().orderBy(F.desc("count"), F.desc("k")).limit(1).collect()  # one row
+        size, n = (found[0]["k"] - 1, found[0]["count"]) if found else (0, 0)
+        if size == 1:
+            lines = lines.where(F.col("value") != f"{n - 1} 1")
+    return lines.where(F.size("f") == size + 1)
 
-def word2vec_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+
+def word2vec_text(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
+    """word, v. The header and lines of another length or with what is no number are left out. A known
+    size of the vectors (above 1) saves a pass that counts the lines' lengths."""
+    lines = _vector_lines(spark, path, size)
+    return lines.select(F.col("f")[0].alias("word"), F.transform(F.slice("f", 2, F.size("f") - 1), lambda x: x.try_cast("float")).alias("v")).where(~F.exists("v", lambda x: x.isNull()))
+
+
+def word2vec_vocabulary(spark: SparkSession, path: str, size: int | None = None) -> DataFrame:
     """word: the first field of each line but the header; the numbers are not parsed."""
-    return spark.read.text(path).where(F.size(F.split("value", " ", 4)) > 2).select(F.substring_index("value", " ", 1).alias("word"))
+    return _vector_lines(spark, path, size).select(F.col("f")[0].alias("word"))
 
 
 def word2vec_binary(spark: SparkSession, path: str) -> DataFrame:

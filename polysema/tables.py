@@ -33,9 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 BROADCAST_BYTES = 64 << 20
 
 
+def fits(df: DataFrame, extra: int = 0) -> bool:
+    """Whether a kept table is within BROADCAST_BYTES; extra: bytes of a row beside its fixed-width columns."""
+    return df.count() * (16 + 8 * len(df.columns) + extra) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """A table of fixed-width columns, marked for broadcast if its rows are within BROADCAST_BYTES."""
-    return F.broadcast(df) if df.count() * (16 + 8 * len(df.columns)) <= BROADCAST_BYTES else df
+    """A table of fixed-width columns, marked for broadcast if it fits."""
+    return F.broadcast(df) if fits(df) else df
 
 
 class Scratch:

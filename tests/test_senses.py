@@ -93,3 +93,35 @@ def test_closure(spark):
     c = spark.createDataFrame([("x", 1, [("y?", 0.5, 1), ("z", 0.25, 2)])], "word string, cid int, cluster array<struct<word:string,sim:double,pos:int>>")
     writers_in = cluster.closed(c, 1).first()
     assert writers_in["kept"] and [x["word"] for x in writers_in["cluster"]] == ["z"]
+
+
+def test_compound_fallback(spark):
+    """A compound's known parts have the weight over the number of all its parts; what follows # is cut off first."""
+    v = spark.createDataFrame([("york", [1.0]), ("cat", [1.0])], "word string, v array<double>")
+    rows = [("a", 1, "new_york_station", 1, 1.0), ("a", 1, "new_york_station#NN", 2, 1.0), ("a", 1, "cat#1", 3, 1.0), ("a", 1, "cat_york", 4, 1.0)]
+    got = senses.looked_up(spark.createDataFrame(rows, "word string, cid int, member string, pos int, weight double"), v).collect()
+    assert sorted((r["pos"], r["key"], round(r["weight"], 4)) for r in got) == [(1, "york", 0.3333), (2, "york", 0.3333), (3, "cat", 1.0), (4, "york", 0.5)]
+
+
+def test_string_sense_ids_and_case(spark):
+    i = spark.createDataFrame([(1, "bank"), (2, "zzz")], "ctx_id bigint, target string")
+    inv = spark.createDataFrame([("bank", "river", 0.5, [1.0, 0.0]), ("Bank", "river", 0.5, [0.0, 1.0])], "word string, cid string, prob double, v array<double>")
+    vec = spark.createDataFrame([("x", [0.1, 0.9])], "word string, v array<double>")
+    got = {r["ctx_id"]: (r["cid"], r["sense"], r["how"]) for r in wsd.disambiguate(i, spark.createDataFrame([(1, "x")], "ctx_id bigint, word string"), inv, vec, ignore_case=True).collect()}
+    assert got == {1: ("river", "Bank#river", "context"), 2: ("0", "zzz#0", "none")}
+
+
+def test_prediction_from_a_test_set(spark):
+    test = spark.createDataFrame([("1", "bank", "4,8", "1", None, "the bank x"), ("2", "bank", None, "2", None, "a bank y"), ("3", "cow", "0,3", "1", None, "cow x")], "context_id string, target string, target_position string, gold_sense_ids string, predict_sense_ids string, context string")
+    inv = spark.createDataFrame([("bank", "1", 0.5, [1.0, 0.0]), ("bank", "2", 0.5, [0.0, 1.0])], "word string, cid string, prob double, v array<double>")
+    vec = spark.createDataFrame([("x", [0.9, 0.1]), ("y", [0.1, 0.9])], "word string, v array<double>")
+    got = wsd.predicted(test, inv, vec)
+    assert got.columns == test.columns and {r["context_id"]: r["predict_sense_ids"] for r in got.collect()} == {"1": "1", "2": "2", "3": "0"}
+    assert tuple(wsd.accuracy(got).first()) == (3, 2, 0.666667)
+
+
+def test_vectors_of_one_dimension(spark, tmp_path):
+    v = spark.createDataFrame([("a", [1.0]), ("b", [2.5])], "word string, v array<float>")
+    writers.word2vec(v, f"{tmp_path}/v")
+    assert {(r["word"], tuple(r["v"])) for r in readers.word2vec_text(spark, f"{tmp_path}/v").collect()} == {("a", (1.0,)), ("b", (2.5,))}
+    assert {r["word"] for r in readers.word2vec_vocabulary(spark, f"{tmp_path}/v").collect()} == {"a", "b"}

@@ -42,3 +42,27 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>")
     r = df.select(V.normalise(F.col("a")).alias("n"), V.cosine(F.col("a"), F.col("b")).alias("c"), V.quantise(F.lit(-0.00001)).alias("q")).first()
     assert r["n"] == [0.6, 0.8] and r["c"] == 0.0 and r["q"] == -1
+
+
+def test_csv_clean(spark):
+    cases = {"a;b &AMP; c": "a;b   c", "xS;y": "x y", " &quotS;z ": " z", 'q"rSs': "q r s", "&amp": " "}
+    for text, clean in cases.items():
+        assert one(spark, text.replace("S", chr(92)), X.csv_clean) == clean
+
+
+def test_patterns(spark):
+    cases = {
+        "dollar": ("$", "d"), "xml_escape": ("&#39;", "& ;"), "spaced_numbers": ("1, 2", "1 a"), "latin_word": ("Ab-cd", "ab cd"), "latin_mwe": ("AB cd-e", "ab1"), "phone": ("+7 (912) 345-67-89", "12345678901"),
+        "url": ("HTTPS://x", "ftp://x"), "upper_letter": ("aB", "ab"), "upper_run": ("ABC", "ABc"), "numeric_stops": ("12:30", "1a"), "norm_babel_dash": ("a-b", "ab"), "number": ("٣", "x"),
+    }
+    for name, (yes, no) in cases.items():
+        assert one(spark, yes, lambda c: X.matches(c, name)) and not one(spark, no, lambda c: X.matches(c, name)), name
+
+
+def test_lists_and_stop_words(spark):
+    assert one(spark, "['a', \"b\", c]", X.parse_list) == ["a", "b", "c"] and one(spark, "[]", X.parse_list) == []
+    stop = X.stop_words()
+    assert "the" in stop and "often" in stop and "[" in stop
+    assert one(spark, "the", X.stop_variants) == ["the", "The", "THE"]
+    assert one(spark, "It's 3 p.m., ok_go", X.word_tokenize) == ["It", "'", "s", "3", "p", ".", "m", ".", ",", "ok_go"]
+    assert one(spark, "new_york b", lambda c: X.restore_bigrams(F.split(F.translate(c, "_", " "), " "), F.split(c, " "))) == ["new_york", "b"]
