@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words whose encodings, and pairs of tokens whose stability, a Python worker remembers before it starts anew.
-WORDS_KEPT = 400_000
+WORDS_KEPT, PAIRS_KEPT = 300_000, 100_000
 #: Texts that are encoded together: their new words make one trie.
 TEXTS_AT_ONCE = 256
 
@@ -161,7 +161,7 @@ class WordBpe:
         known, split = self.known, []
         if len(known) > WORDS_KEPT:
             known.clear()
-        if len(self.trie.pairs) > WORDS_KEPT:
+        if len(self.trie.pairs) > PAIRS_KEPT:
             self.trie.pairs.clear()
         for text in texts:
             parts: list[str | int] = []

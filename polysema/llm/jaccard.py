@@ -49,28 +49,33 @@ BANDS, SALT, TILE, TILE_SHINGLES = 8, 16, 1024, 2_000_000
 #: from which it is moved to the end, and how many of them at most (8 bytes each).
 #: The bound only touches the order of keys, never the result.
 SEEN, COMMON, MOST_COMMON = 3, 16, 500_000
-#: Entries of a task's counts before the rare ones are put out of them.
-COUNTED = 3_000_000
+#: Bits of a hash that a task marks, and entries of its counts before the rare ones are put out of them.
+MARKS, COUNTED = 24, 1_500_000
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the shingles that many documents hold."""
+    """Sorted hashes of the shingles that many documents hold. A task counts a shingle from its second
+    document on; the first one is only marked, by a bit of its hash, so that rare shingles take no room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        marked = np.zeros(1 << MARKS, bool)
+        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(0)]
-            k, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+            k, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingles(t.as_py()) for t in batch.column(0))]), return_counts=True)
+            place = k >> np.uint64(64 - MARKS)
+            again = c - ~marked[place]
+            marked[place] = True
+            k, c = k[again > 0], again[again > 0]
             both = np.concatenate((keys, k))
             order = np.argsort(both, kind="stable")
-            both, n = both[order], np.concatenate((counts, c.astype(np.int32)))[order]
+            both, n = both[order], np.concatenate((counts, c))[order]
             first = np.concatenate(([True], both[1:] != both[:-1])) if len(both) else np.zeros(0, bool)
             keys, counts = both[first], np.add.reduceat(n, np.flatnonzero(first)) if len(both) else n
             if len(keys) > COUNTED:
                 keep = counts > max(1, np.partition(counts, -COUNTED // 2)[-COUNTED // 2] - 1)
                 keys, counts = keys[keep], counts[keep]
-        keep = counts >= SEEN
-        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], ["key", "n"])
+        keep = counts >= SEEN - 1
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(counts[keep] + 1)], ["key", "n"])
 
     found = docs.select("text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
     top = found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow()
