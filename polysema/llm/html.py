@@ -172,6 +172,8 @@ def blocks(page: str) -> list[Block]:
     """The page's flat list of text blocks that hold text."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # open containers: tag, inside main area, beside it
+    places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
+    scopes: list[int] = []  # places of the open scopes
     current, main, beside, links, at = Block(), False, False, 0, 0
 
     def add(text: str) -> None:
@@ -181,6 +183,12 @@ def blocks(page: str) -> list[Block]:
         if links:
             current.linked += len(text.split())
 
+    def drop() -> None:
+        tag = stack.pop()[0]
+        places[tag].pop()
+        if tag in SCOPES:
+            scopes.pop()
+
     def cut() -> None:
         nonlocal current
         if current.pieces and (words := "".join(current.pieces).split()):
@@ -217,20 +225,23 @@ def blocks(page: str) -> list[Block]:
         elif tag in BLOCK_TAGS or tag in CONTAINERS:
             change = tag in BLOCK_TAGS
             if closing:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        change |= (stack[i - 1][1:] if i else (False, False)) != (main, beside)
-                        del stack[i:]
-                        break
-                    if stack[i][0] in SCOPES and tag not in SCOPES:
-                        break
+                # an open element of that name in the innermost scope, else the end tag is of no effect
+                at_open = places.get(tag)
+                if at_open and (tag in SCOPES or at_open[-1] > (scopes[-1] if scopes else -1)):
+                    i = at_open[-1]
+                    change |= (stack[i - 1][1:] if i else (False, False)) != (main, beside)
+                    while len(stack) > i:
+                        drop()
             elif tag in CONTAINERS and tag not in VOID:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
-                    stack.pop()  # its end tag may be left out
+                    drop()  # its end tag may be left out
                 here = stack[-1][1:] if stack else (False, False)
                 is_beside = here[1] or tag in BESIDE_TAGS or tag == "header" and not here[0] or marked_beside(tag, attributes)
                 is_area = here[0] or tag in ("article", "main") or 'role="main"' in attributes
                 change |= (is_area, is_beside) != (main, beside)
+                places.setdefault(tag, []).append(len(stack))
+                if tag in SCOPES:
+                    scopes.append(len(stack))
                 stack.append((tag, is_area, is_beside))
             if change:
                 links = 0 if tag in SCOPES else links
