@@ -6,9 +6,10 @@ quantisation with 16 centroids for every WIDTH dimensions. Codebooks and codes
 minimise an anisotropic loss: the residual's part parallel to the vector, which
 moves high inner products most, counts ETA times the orthogonal part. Two
 four-bit codes share a byte; a query's table has the sums for all 256 values of
-each byte, and a scan adds one entry a byte for every row. The best SHORTLIST of
-each block of rows are merged, the best SHORTLIST of all are measured exactly on
-the original vectors in double precision, and the nearest are returned.
+each byte, and a scan adds one entry a byte for every row. A task keeps each
+query's best SHORTLIST over all the rows that it scans, so what it emits doesn't
+grow with them; the tasks' lists are merged, the best SHORTLIST of all are measured
+exactly on the original vectors in double precision, and the nearest are returned.
 
 Codebooks are fitted on a bounded sample (SAMPLE vectors in hash order); every
 vector is coded and scanned for every query. Equal vectors are one class that is
@@ -39,6 +40,8 @@ from polysema.tables import Scratch
 #: the fit, its rounds and the sweeps of a coding.
 WIDTH, THRESHOLD, SAMPLE, ROUNDS, SWEEPS = 2, 0.2, 8192, 8, 3
 SHORTLIST, BLOCK, QUERIES = 200, 16384, 2048
+#: Rows of a file of codes, once there are enough rows for all cores.
+FILE = 1 << 20
 
 
 @dataclass(frozen=True, eq=False)
@@ -121,6 +124,36 @@ def scan(codes: np.ndarray, half: np.ndarray, table: np.ndarray) -> np.ndarray:
     return score - half
 
 
+def best(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The SHORTLIST rows of the highest scores, ties to the smaller id."""
+    if len(ids) > SHORTLIST:
+        least = np.partition(score, -SHORTLIST)[-SHORTLIST]
+        ids, score = ids[score >= least], score[score >= least]
+        order = np.lexsort((ids, -score))[:SHORTLIST]
+        ids, score = ids[order], score[order]
+    return ids, score
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, codes (byte by byte) and halves of BLOCK rows or somewhat more at a time."""
+    own, n = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(own)
+        flat = np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint8)
+        return t.column(0).to_numpy(), np.ascontiguousarray(flat.reshape(n, -1).T), t.column(2).to_numpy().astype(np.float32)
+
+    for batch in batches:
+        if batch.num_rows:
+            own.append(batch)
+            n += batch.num_rows
+        if n >= BLOCK:
+            yield joined()
+            own, n = [], 0
+    if n:
+        yield joined()
+
+
 def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
     """vec_id, v (array<double>) of the vectors that take part, each once."""
     v = F.col(vector).cast("array<double>")
@@ -154,9 +187,10 @@ def nearest(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector
                 c = packed(encode(padded(x), shared_books.value))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in c], pa.binary()), pa.array((x * x).sum(1) / 2)], ["rep", "code", "half"])
 
-    blocks = max(1, -(-n // BLOCK))
-    coded = classes.select("rep", "v").mapInArrow(code, "rep bigint, code binary, half double").withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
-    coded = scratch.keep(coded.repartition(blocks, "block").sortWithinPartitions("block", "rep"), "codes")
+    # as many files as there are cores or blocks, and more only when files would pass FILE rows
+    files = max(1, -(-n // FILE), min(-(-n // BLOCK), spark.sparkContext.defaultParallelism))
+    coded = classes.select("rep", "v").mapInArrow(code, "rep bigint, code binary, half double")
+    coded = scratch.keep(coded.repartition(files, "rep"), "codes")
 
     wanted = asked.select("rep").distinct().join(classes.select("rep", "v"), "rep")
     parts = max(1, -(-wanted.count() // QUERIES))
@@ -170,33 +204,19 @@ def nearest(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             reps, q = shared.value
-            held: dict[int, list[tuple]] = {}
-            for batch in batches:
-                for b in batch.column(3).unique().to_pylist():
-                    m = batch.filter(pa.compute.equal(batch.column(3), b))
-                    held.setdefault(b, []).append((m.column(0).to_numpy(), np.frombuffer(b"".join(m.column(1).to_pylist()), np.uint8), m.column(2).to_numpy()))
-                for b in [b for b in held if b != batch.column(3)[-1].as_py()]:
-                    yield from best(held.pop(b), reps, q)
-            for own in held.values():
-                yield from best(own, reps, q)
-
-        def best(own: list[tuple], reps: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """The block's best rows for each query; rows are in order of their ids."""
-            ids, flat, half = (np.concatenate(x) for x in zip(*own))
-            order = np.argsort(ids, kind="stable")
-            codes = np.ascontiguousarray(flat.reshape(len(ids), -1)[order].T)
-            ids, half = ids[order], half[order].astype(np.float32)
+            held = [(np.empty(0, np.int64), np.empty(0, np.float32))] * len(q)
+            for ids, codes, half in runs(batches):
+                for at in range(0, len(q), 64):
+                    for i, t in enumerate(tables(q[at : at + 64], shared_books.value), at):
+                        score, (mine, top) = scan(codes, half, t), held[i]
+                        able = score >= top.min() if len(top) == SHORTLIST else slice(None)
+                        held[i] = best(np.concatenate([mine, ids[able]]), np.concatenate([top, score[able]]))
             for at in range(0, len(q), 64):
-                who, what, how = [], [], []
-                for r, t in zip(reps[at : at + 64], tables(q[at : at + 64], shared_books.value)):
-                    score = scan(codes, half, t)
-                    top = np.argpartition(-score, SHORTLIST)[:SHORTLIST] if len(ids) > SHORTLIST else np.arange(len(ids))
-                    who.append(np.full(len(top), r))
-                    what.append(ids[top])
-                    how.append(score[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(what)), pa.array(np.concatenate(how).astype(float))], ["q", "c", "approx"])
-
-        found = coded.select("rep", "code", "half", "block").mapInArrow(search, "q bigint, c bigint, approx double")
+                some = held[at : at + 64]
+                who = np.repeat(reps[at : at + 64], [len(x) for x, _ in some])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([x for x, _ in some])), pa.array(np.concatenate([y for _, y in some]).astype(float))], ["q", "c", "approx"])
+
+        found = coded.mapInArrow(search, "q bigint, c bigint, approx double")
         short = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("approx"), "c"))).where(F.col("r") <= SHORTLIST).select("q", "c")
         lists.append(scratch.keep(short, "short"))
     if not lists:
