@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polysema.tables import Scratch
+
 # Second-level labels under which countries register domains.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -79,10 +81,14 @@ def _strength(child: DataFrame, parent: str) -> DataFrame:
 
 def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """outcomes: host, good (0/1). Posterior (a, b of a beta distribution) of all pages
-    (one row), of suffixes, of registered domains and of hosts."""
+    (one row), of suffixes, of registered domains and of hosts.
+
+    Counts of hosts and domains and the domains' posteriors are kept as tables, as several
+    branches of the plan read them."""
+    scratch = Scratch(outcomes.sparkSession, "hosts")
     suffix, domain = suffix_and_domain(F.col("host"))
-    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("k")).withColumns({"suffix": suffix, "domain": domain, "all": F.lit(1)})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("all").alias("all"))
+    hosts = scratch.keep(outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("k")).withColumns({"suffix": suffix, "domain": domain, "all": F.lit(1)}), "hosts")
+    domains = scratch.keep(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("all").alias("all")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("all").alias("all"))
     total = suffixes.agg((F.coalesce(F.sum("k"), F.lit(0)) + 1.0).alias("a"), (F.coalesce(F.sum(F.col("n") - F.col("k")), F.lit(0)) + 1.0).alias("b"))
 
@@ -95,7 +101,7 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
         return up.crossJoin(strength).select(*key, (m * s + F.col("k")).alias("a"), ((1 - m) * s + F.col("n") - F.col("k")).alias("b"))
 
     by_suffix = shrunk(suffixes, ["suffix"], total, [], "all")
-    by_domain = shrunk(domains, ["domain", "suffix"], by_suffix, ["suffix"], "suffix")
+    by_domain = scratch.keep(shrunk(domains, ["domain", "suffix"], by_suffix, ["suffix"], "suffix"), "posteriors")
     by_host = shrunk(hosts, ["host"], by_domain.select("domain", "a", "b"), ["domain"], "domain")
     return total, by_suffix, by_domain.select("domain", "a", "b"), by_host
 
