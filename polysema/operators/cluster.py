@@ -124,6 +124,12 @@ def anti_pairs(vectors: DataFrame, near: DataFrame) -> DataFrame:
     return hit.select(F.col("src").alias("ego"), F.least("dst", "u").alias("a"), F.greatest("dst", "u").alias("b")).distinct()
 
 
+def strongest(near: DataFrame, n: int) -> DataFrame:
+    """near: src, dst, weight. Each word's n strongest edges (ties: smaller word), as the search itself would give them."""
+    w = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
+
+
 def anti_nodes(pairs: DataFrame) -> DataFrame:
     """ego, node, n: the words of an ego's pairs and in how many they are."""
     return pairs.select("ego", F.explode(F.array("a", "b")).alias("node")).groupBy("ego", "node").agg(F.count(F.lit(1)).alias("n"))

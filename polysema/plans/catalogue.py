@@ -19,7 +19,7 @@ from polysema.functions import text as X
 from polysema.functions import vectors as V
 from polysema.operators import cluster, corpus, evaluate, graph, hypernyms, senses, sparse, wsd
 from polysema.plans import sql as S
-from polysema.plans.training import Settings
+from polysema.plans.training import Settings, closure
 from polysema.tables import table
 
 #: Neighbours and edges a word, least cluster size, members that are pooled.
@@ -308,6 +308,13 @@ def substring_nodes(spark, d):
     return graph.substring_nodes(words, words.unionAll(pairs))
 
 
+@query("ego_nodes_substrings", S.EGO_SUBSTRINGS)
+def ego_nodes_substrings(spark, d):
+    """Networks over frequent neighbours in text, with the multiword nodes that begin or end with the ego."""
+    pairs = corpus.adjacent(docs(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("wq")).where("wq >= 20")
+    return graph.ego_nodes(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "wq"), substring_nodes(spark, d))
+
+
 # -- clusters ------------------------------------------------------------------
 
 
@@ -567,6 +574,13 @@ def cluster_closure(spark, d):
     return c.select("word", "cid", "kept", F.size("cluster").cast("bigint").alias("left"))
 
 
+@query("disambiguated_closure", S.chain("emitted", S.MEMBER_CLOSURE))
+def disambiguated_closure(spark, d):
+    """The members of every cluster by their senses, and whether enough of them have one."""
+    c = closure(cluster_word_senses(spark, d), 5)
+    return c.select("word", "cid", "kept", F.size("cluster").cast("bigint").alias("left"))
+
+
 @query("cluster_word_senses", S.chain("emitted", S.MEMBER_SENSES))
 def cluster_word_senses(spark, d):
     return hypernyms.disambiguated_members(cluster_ranks(spark, d))

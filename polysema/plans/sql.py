@@ -399,3 +399,14 @@ p as (
   union all select word, next, 1 / 5.0::DOUBLE / 2 from e),
 x as (select p.word, w, unnest(v) as x, unnest(range(len(v)))::INT as dim from p join e on e.word = p.key)
 select word, 1 as cid, dim, round(sum(w * x) / (1 / 2.0::DOUBLE + 1 / 3.0::DOUBLE + 1 / 4.0::DOUBLE + 1 / 5.0::DOUBLE + 1 / 6.0::DOUBLE + 1 / 7.0::DOUBLE), 5) + 0.0::DOUBLE as value from x group by word, dim"""
+
+EGO_SUBSTRINGS = f"""
+select ego, node, max(wq)::INT as wq from (
+  select a as ego, b as node, wq from (
+    select a, b, count(*) as wq from (select t[i] as a, t[i + 1] as b from (select t, unnest(range(1, len(t))) as i from (select regexp_extract_all(text, '{TOKEN}') as t from documents))) group by all)
+  where wq >= 20 and {minimize('a')} <> {minimize('b')}
+  union all select ego, node, 10000 from ({SUBSTRING_NODES})) group by all"""
+
+_AT = MEMBER_SENSES.rindex("\nselect")
+MEMBER_CLOSURE = f"""{MEMBER_SENSES[:_AT]}, found as ({MEMBER_SENSES[_AT:]})
+select word, cid, count(*) filter (where not contains(sense, '?')) >= 5 as kept, count(*) filter (where not contains(sense, '?')) as left from found group by all"""
