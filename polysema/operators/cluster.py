@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from polysema.tables import Scratch
+
 SWEEPS = 20
 
 
@@ -111,10 +113,12 @@ def anti_pairs(vectors: DataFrame, near: DataFrame) -> DataFrame:
     from polysema.functions import vectors as V
     from polysema.operators.graph import inner_products
 
+    scratch = Scratch(vectors.sparkSession, "apart")
+    near = scratch.keep(near.select("src", "dst"), "near")  # read twice, and counted by the search
     unit = vectors.select("word", V.normalise(V.doubles(F.col("v"))).alias("v"))
     e, t = unit.select(F.col("word").alias("src"), F.col("v").alias("ev")), unit.select(F.col("word").alias("dst"), F.col("v").alias("tv"))
     asked = near.select("src", "dst").join(e, "src").join(t, "dst").select(F.struct("src", "dst").alias("p"), F.zip_with("ev", "tv", lambda x, y: x - y).alias("qv"))
-    flat = asked.select(F.concat_ws("\u0001", "p.src", "p.dst").alias("query"), "qv")
+    flat = scratch.keep(asked.select(F.concat_ws("\u0001", "p.src", "p.dst").alias("query"), "qv"), "asked")
     found = inner_products(flat, unit, 3)  # the ego and t may be among them
     parts = F.split("query", "\u0001")
     other = found.select(parts[0].alias("src"), parts[1].alias("dst"), F.col("word").alias("u"), "score").where("u <> src and u <> dst")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from polysema.functions import text as X
 from polysema.functions import vectors as V
+from polysema.tables import Scratch
 
 
 def priors(clusters: DataFrame) -> DataFrame:
@@ -101,7 +102,8 @@ def nearest_senses(senses: DataFrame, n: int) -> DataFrame:
     """src, dst, weight over sense ids ``word#cid``."""
     from polysema.operators.graph import nearest_words
 
-    return nearest_words(senses.select(X.sense_id(F.col("word"), F.col("cid")).alias("word"), "v"), n)
+    ids = Scratch(senses.sparkSession, "senses").keep(senses.select(X.sense_id(F.col("word"), F.col("cid")).alias("word"), "v"))
+    return nearest_words(ids, n)  # the search counts its rows and reads them twice
 
 
 def similar_words(clusters: DataFrame, n: int, strip_ids: bool = False) -> DataFrame:

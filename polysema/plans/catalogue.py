@@ -20,7 +20,7 @@ from polysema.functions import vectors as V
 from polysema.operators import cluster, corpus, evaluate, graph, hypernyms, senses, sparse, wsd
 from polysema.plans import sql as S
 from polysema.plans.training import Settings, closure
-from polysema.tables import table
+from polysema.tables import Scratch, table
 
 #: Neighbours and edges a word, least cluster size, members that are pooled.
 N, EDGES, LEAST, POOLED = 10, 10, 2, 20
@@ -495,10 +495,13 @@ def anti_disambiguate(spark, d):
 
 
 def _sparse(spark, d):
-    words = corpus.term_frequencies(corpus.tokens(docs(spark, d)), 20).select(F.col("word"))
+    """The vectors, kept once, as every query reads them several times."""
+    scratch = Scratch(spark, "sparse")
+    words = scratch.keep(corpus.term_frequencies(corpus.tokens(docs(spark, d)), 20).select(F.col("word")), "words")
     pairs = corpus.adjacent(docs(spark, d)).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("score"))
     rows = pairs.select(F.col("a").alias("word"), F.col("b").alias("feature"), "score")
-    return sparse.folded(rows.join(words, "word", "left_semi").join(words.withColumnRenamed("word", "feature"), "feature", "left_semi").where("score >= 2"))
+    kept = rows.where("score >= 2").join(words, "word", "left_semi").join(words.withColumnRenamed("word", "feature"), "feature", "left_semi")
+    return scratch.keep(sparse.folded(kept), "vectors")
 
 
 @query("sparse_vectors", S.chain("sparse", "select word, feature, score from sparse"))
@@ -513,14 +516,16 @@ def top_features(spark, d):
 
 @query("sparse_cosine", S.chain("sparse", S.SPARSE_COSINE))
 def sparse_cosine(spark, d):
-    pairs = sparse.top_features(_sparse(spark, d), 3).select(F.col("word").alias("w1"), F.col("feature").alias("w2"))
-    return sparse.similarity(pairs, _sparse(spark, d))
+    v = _sparse(spark, d)
+    pairs = sparse.top_features(v, 3).select(F.col("word").alias("w1"), F.col("feature").alias("w2"))
+    return sparse.similarity(pairs, v)
 
 
 @query("sparse_sense_pooling", S.chain("sparse", S.SPARSE_POOLING))
 def sparse_sense_pooling(spark, d):
-    members = sparse.top_features(_sparse(spark, d), 6).select("word", F.pmod("rank", F.lit(2)).alias("cid"), F.col("feature").alias("member"), F.col("score").alias("sim"), F.ceil(F.col("rank") / 2).cast("int").alias("pos"))
-    return sparse.pooled(members, _sparse(spark, d), "score", 2)
+    v = _sparse(spark, d)
+    members = sparse.top_features(v, 6).select("word", F.pmod("rank", F.lit(2)).alias("cid"), F.col("feature").alias("member"), F.col("score").alias("sim"), F.ceil(F.col("rank") / 2).cast("int").alias("pos"))
+    return sparse.pooled(members, v, "score", 2)
 
 
 # -- hypernyms ----------------------------------------------------------------------
