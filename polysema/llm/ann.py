@@ -6,10 +6,12 @@ quantisation with 16 centroids for every WIDTH dimensions. Codebooks and codes
 minimise an anisotropic loss: the residual's part parallel to the vector, which
 moves high inner products most, counts ETA times the orthogonal part. Two
 four-bit codes share a byte; a query's table has the sums for all 256 values of
-each byte, and a scan adds one entry a byte for every row. A task keeps each
-query's best SHORTLIST over all the rows that it scans, so what it emits doesn't
-grow with them; the tasks' lists are merged, the best SHORTLIST of all are measured
-exactly on the original vectors in double precision, and the nearest are returned.
+each byte, and a scan adds one entry a byte for every row. Of each block of BLOCK
+rows the best SHORTLIST by the tables are measured exactly on the original vectors,
+which lie beside the codes, in double precision. The share of rows that is measured
+is so the same for a table of any size, and recall doesn't fall as a table grows. A
+task keeps each query's nearest over all its blocks, so what it emits doesn't grow
+with its rows; the tasks' lists are merged.
 
 Codebooks are fitted on a bounded sample (SAMPLE vectors in hash order); every
 vector is coded and scanned for every query. Equal vectors are one class that is
@@ -40,8 +42,8 @@ from polysema.tables import Scratch
 #: the fit, its rounds and the sweeps of a coding.
 WIDTH, THRESHOLD, SAMPLE, ROUNDS, SWEEPS = 2, 0.2, 8192, 8, 3
 SHORTLIST, BLOCK, QUERIES = 200, 16384, 2048
-#: Rows of a file of codes, once there are enough rows for all cores.
-FILE = 1 << 20
+#: Rows of a file of codes and vectors, once there are enough rows for all cores.
+FILE = 1 << 18
 
 
 @dataclass(frozen=True, eq=False)
@@ -124,24 +126,35 @@ def scan(codes: np.ndarray, half: np.ndarray, table: np.ndarray) -> np.ndarray:
     return score - half
 
 
-def best(ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The SHORTLIST rows of the highest scores, ties to the smaller id."""
-    if len(ids) > SHORTLIST:
-        least = np.partition(score, -SHORTLIST)[-SHORTLIST]
-        ids, score = ids[score >= least], score[score >= least]
-        order = np.lexsort((ids, -score))[:SHORTLIST]
-        ids, score = ids[order], score[order]
-    return ids, score
+def shortlist(score: np.ndarray) -> np.ndarray:
+    """Places of the SHORTLIST highest scores of a block, and of all that tie with the last of them."""
+    if len(score) <= SHORTLIST:
+        return np.arange(len(score))
+    return np.flatnonzero(score >= np.partition(score, -SHORTLIST)[-SHORTLIST])
 
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """ids, codes (byte by byte) and halves of BLOCK rows or somewhat more at a time."""
+def distances(query: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of x, squares added in the order of the dimensions."""
+    return np.sqrt(np.cumsum((x - query) ** 2, axis=1)[:, -1])
+
+
+def nearer(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, distance: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n nearest of a list and further rows, nearest first, ties to the smaller id."""
+    ids, distance = np.concatenate([held[0], ids]), np.concatenate([held[1], distance])
+    order = np.lexsort((ids, distance))[:n]
+    return ids[order], distance[order]
+
+
+def runs(batches: Iterator[pa.RecordBatch], kind: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, codes (byte by byte), halves and vectors (of numbers of a kind) of BLOCK rows or somewhat more at a time."""
     own, n = [], 0
 
-    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matrix(column: pa.ChunkedArray, of: type) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), of).reshape(n, -1)
+
+    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(own)
-        flat = np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint8)
-        return t.column(0).to_numpy(), np.ascontiguousarray(flat.reshape(n, -1).T), t.column(2).to_numpy().astype(np.float32)
+        return t.column(0).to_numpy(), np.ascontiguousarray(matrix(t.column(1), np.uint8).T), t.column(2).to_numpy().astype(np.float32), matrix(t.column(3), kind)
 
     for batch in batches:
         if batch.num_rows:
@@ -175,6 +188,8 @@ def nearest(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector
     asked = scratch.keep(rows.where(is_query(F.col("vec_id"))).join(classes.select("rep", "v"), "v").select(F.col("vec_id").alias("query_id"), "rep"), "asked")
     empty = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     n = classes.count()
+    # vectors of single precision are kept in it beside the codes
+    kind = np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
     sample = classes.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").collect()
     if not sample:
         return empty
@@ -185,12 +200,13 @@ def nearest(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector
             if batch.num_rows:
                 x = np.array(batch.column(1).to_pylist(), float)
                 c = packed(encode(padded(x), shared_books.value))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in c], pa.binary()), pa.array((x * x).sum(1) / 2)], ["rep", "code", "half"])
+                packs = [pa.array([r.tobytes() for r in m], pa.binary()) for m in (c, x.astype(kind))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), packs[0], pa.array((x * x).sum(1) / 2), packs[1]], ["rep", "code", "half", "own"])
 
     # as many files as there are cores or blocks, and more only when files would pass FILE rows
     files = max(1, -(-n // FILE), min(-(-n // BLOCK), spark.sparkContext.defaultParallelism))
-    coded = classes.select("rep", "v").mapInArrow(code, "rep bigint, code binary, half double")
-    coded = scratch.keep(coded.repartition(files, "rep"), "codes")
+    coded = classes.select("rep", "v").mapInArrow(code, "rep bigint, code binary, half double, own binary")
+    coded = scratch.keep(coded.repartition(files, "rep").sortWithinPartitions("rep"), "codes")  # blocks don't depend on the order of arrival
 
     wanted = asked.select("rep").distinct().join(classes.select("rep", "v"), "rep")
     parts = max(1, -(-wanted.count() // QUERIES))
@@ -204,29 +220,24 @@ def nearest(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             reps, q = shared.value
-            held = [(np.empty(0, np.int64), np.empty(0, np.float32))] * len(q)
-            for ids, codes, half in runs(batches):
+            held = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+            for ids, codes, half, x in runs(batches, kind):
                 for at in range(0, len(q), 64):
                     for i, t in enumerate(tables(q[at : at + 64], shared_books.value), at):
-                        score, (mine, top) = scan(codes, half, t), held[i]
-                        able = score >= top.min() if len(top) == SHORTLIST else slice(None)
-                        held[i] = best(np.concatenate([mine, ids[able]]), np.concatenate([top, score[able]]))
+                        some = shortlist(scan(codes, half, t))
+                        held[i] = nearer(held[i], ids[some], distances(q[i], x[some]), k + 1)
             for at in range(0, len(q), 64):
                 some = held[at : at + 64]
                 who = np.repeat(reps[at : at + 64], [len(x) for x, _ in some])
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([x for x, _ in some])), pa.array(np.concatenate([y for _, y in some]).astype(float))], ["q", "c", "approx"])
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.concatenate([x for x, _ in some])), pa.array(np.concatenate([y for _, y in some]))], ["q", "c", "score"])
 
-        found = coded.mapInArrow(search, "q bigint, c bigint, approx double")
-        short = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("approx"), "c"))).where(F.col("r") <= SHORTLIST).select("q", "c")
-        lists.append(scratch.keep(short, "short"))
+        # a class stands for an id at least, and a query only leaves itself out: k + 1 classes are enough, and k + 1 ids
+        found = coded.mapInArrow(search, "q bigint, c bigint, score double")
+        lists.append(scratch.keep(found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "c"))).where(F.col("r") <= k + 1).drop("r"), "near"))
     if not lists:
         return empty
-    short = reduce(DataFrame.unionAll, lists)
-    queries = wanted.select(F.col("rep").alias("q"), F.col("v").alias("qv"))
-    measured = short.join(classes.select(F.col("rep").alias("c"), F.col("v").alias("cv"), "ids"), "c").join(queries, "q")
-    distance = F.sqrt(F.aggregate(F.zip_with("qv", "cv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    # k + 1 ids of every query class are enough, as a query only leaves itself out
-    each = measured.select("q", distance.alias("score"), F.explode("ids").alias("vec_id"))
+    near = reduce(DataFrame.unionAll, lists)
+    each = near.join(classes.select(F.col("rep").alias("c"), "ids"), "c").select("q", "score", F.explode("ids").alias("vec_id"))
     top = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
     folded = top.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     own = asked.join(folded, asked["rep"] == folded["q"]).select("query_id", F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k).alias("near"))
