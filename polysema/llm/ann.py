@@ -8,10 +8,12 @@ moves high inner products most, counts ETA times the orthogonal part. Two
 four-bit codes share a byte; a query's table has the sums for all 256 values of
 each byte, and a scan adds one entry a byte for every row. Of each block of BLOCK
 rows the best SHORTLIST by the tables are measured exactly on the original vectors,
-which lie beside the codes, in double precision. The share of rows that is measured
-is so the same for a table of any size, and recall doesn't fall as a table grows. A
-task keeps each query's nearest over all its blocks, so what it emits doesn't grow
-with its rows; the tasks' lists are merged.
+which lie beside the codes, in double precision; then every further row whose table
+score is within MARGIN standard errors of the query's k-th nearest so far. So recall
+neither falls as a table grows nor in a dense group whose rows have nearly the same
+codes: such a group is measured whole, a block at a time. A task keeps each query's
+nearest over all its blocks, so what it emits doesn't grow with its rows; the tasks'
+lists are merged.
 
 Codebooks are fitted on a bounded sample (SAMPLE vectors in hash order); every
 vector is coded and scanned for every query. Equal vectors are one class that is
@@ -42,6 +44,8 @@ from polysema.tables import Scratch
 #: the fit, its rounds and the sweeps of a coding.
 WIDTH, THRESHOLD, SAMPLE, ROUNDS, SWEEPS = 2, 0.2, 8192, 8, 3
 SHORTLIST, BLOCK, QUERIES = 200, 16384, 2048
+#: Standard errors of a table score within which rows are measured beyond the shortlist.
+MARGIN = 2.0
 #: Rows of a file of codes and vectors, once there are enough rows for all cores.
 FILE = 1 << 18
 
@@ -50,6 +54,12 @@ FILE = 1 << 18
 class Codebooks:
     centroids: np.ndarray  # subspace x 16 x WIDTH
     eta: float
+    spread: np.ndarray | None = None  # mean outer product of the residuals, dimension x dimension
+
+    def error(self, queries: np.ndarray) -> np.ndarray:
+        """The standard error of each query's table scores."""
+        q = padded(queries)
+        return np.sqrt(np.einsum("qd,de,qe->q", q, self.spread, q).clip(0))
 
 
 def padded(x: np.ndarray) -> np.ndarray:
@@ -103,7 +113,8 @@ def fit(sample: np.ndarray) -> Codebooks:
                     b = xm.sum(0) + weight * (um * (others[m] + (um * xm).sum(1))[:, None]).sum(0)
                     new[j, k] = np.linalg.solve(a, b)
         books = Codebooks(new, eta)
-    return books
+    left = x - books.centroids[np.arange(s)[None], encode(x, books)].reshape(x.shape)
+    return Codebooks(books.centroids, eta, left.T @ left / len(x))
 
 
 def packed(codes: np.ndarray) -> np.ndarray:
@@ -126,11 +137,11 @@ def scan(codes: np.ndarray, half: np.ndarray, table: np.ndarray) -> np.ndarray:
     return score - half
 
 
-def shortlist(score: np.ndarray) -> np.ndarray:
-    """Places of the SHORTLIST highest scores of a block, and of all that tie with the last of them."""
-    if len(score) <= SHORTLIST:
+def shortlist(score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n highest scores of a block, and of all that tie with the last of them."""
+    if len(score) <= n:
         return np.arange(len(score))
-    return np.flatnonzero(score >= np.partition(score, -SHORTLIST)[-SHORTLIST])
+    return np.flatnonzero(score >= np.partition(score, -n)[-n])
 
 
 def distances(query: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -145,6 +156,18 @@ def nearer(held: tuple[np.ndarray, np.ndarray], ids: np.ndarray, distance: np.nd
     return ids[order], distance[order]
 
 
+def measured(held: tuple[np.ndarray, np.ndarray], query: np.ndarray, error: float, score: np.ndarray, ids: np.ndarray, x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A query's n nearest so far and those of a block with these table scores."""
+    some = shortlist(score, max(SHORTLIST, n))
+    held = nearer(held, ids[some], distances(query, x[some]), n)
+    if len(some) < len(score):
+        floor = (query @ query - held[1][-1] ** 2) / 2 - MARGIN * error
+        more = np.flatnonzero((score >= floor) & (score < score[some].min()))
+        if len(more):
+            held = nearer(held, ids[more], distances(query, x[more]), n)
+    return held
+
+
 def runs(batches: Iterator[pa.RecordBatch], kind: type = np.float64) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """ids, codes (byte by byte), halves and vectors (of numbers of a kind) of BLOCK rows or somewhat more at a time."""
     own, n = [], 0
@@ -220,12 +243,11 @@ def nearest(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             reps, q = shared.value
-            held = [(np.empty(0, np.int64), np.empty(0))] * len(q)
+            held, errors = [(np.empty(0, np.int64), np.empty(0))] * len(q), shared_books.value.error(q)
             for ids, codes, half, x in runs(batches, kind):
                 for at in range(0, len(q), 64):
                     for i, t in enumerate(tables(q[at : at + 64], shared_books.value), at):
-                        some = shortlist(scan(codes, half, t))
-                        held[i] = nearer(held[i], ids[some], distances(q[i], x[some]), k + 1)
+                        held[i] = measured(held[i], q[i], errors[i], scan(codes, half, t), ids, x, k + 1)
             for at in range(0, len(q), 64):
                 some = held[at : at + 64]
                 who = np.repeat(reps[at : at + 64], [len(x) for x, _ in some])

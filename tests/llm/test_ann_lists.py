@@ -29,18 +29,20 @@ def test_running_list_is_the_nearest_of_all_with_ties():
     assert held[0].tolist() == ids[want].tolist() and held[1].tolist() == distance[want].tolist()
 
 
-def test_shortlist_keeps_ties(monkeypatch):
-    monkeypatch.setattr(ann, "SHORTLIST", 3)
-    assert ann.shortlist(np.array([1.0, 5, 2, 5, 2, 2, 0])).tolist() == [1, 2, 3, 4, 5]
-    assert ann.shortlist(np.array([1.0, 0])).tolist() == [0, 1]
+def test_shortlist_keeps_ties():
+    assert ann.shortlist(np.array([1.0, 5, 2, 5, 2, 2, 0]), 3).tolist() == [1, 2, 3, 4, 5]
+    assert ann.shortlist(np.array([1.0, 0]), 3).tolist() == [0, 1]
 
 
-@pytest.mark.parametrize("n", [500, 4000])
-def test_recall_does_not_fall_with_more_blocks(n, monkeypatch):
-    """The measured share of a block finds the nearest rows in one block as in eight."""
+@pytest.mark.parametrize("n, dense", [(500, 0), (4000, 0), (4000, 1500)])
+def test_recall_does_not_fall_with_blocks_or_in_dense_groups(n, dense, monkeypatch):
+    """A third of the rows may lie so close together that their codes are nearly equal."""
     monkeypatch.setattr(ann, "BLOCK", 500)
     monkeypatch.setattr(ann, "SHORTLIST", 50)
-    x = np.random.default_rng(5).standard_normal((n, 32))
+    r = np.random.default_rng(5)
+    x = r.standard_normal((n, 32))
+    x[:dense] = x[0] + 0.05 * x[:dense]
+    x = x[r.permutation(n)]
     books = ann.fit(x[:500])
     codes = ann.packed(ann.encode(ann.padded(x), books))
     t = pa.table({"rep": np.arange(n), "code": pa.array([c.tobytes() for c in codes], pa.binary()), "half": (x * x).sum(1) / 2, "own": pa.array([v.tobytes() for v in x], pa.binary())})
@@ -48,7 +50,7 @@ def test_recall_does_not_fall_with_more_blocks(n, monkeypatch):
     for q in range(0, 500, 25):
         held = (np.empty(0, np.int64), np.empty(0))
         for ids, code, half, own in ann.runs(iter(t.to_batches(max_chunksize=250))):
-            some = ann.shortlist(ann.scan(code, half, ann.tables(x[q : q + 1], books)[0]))
-            held = ann.nearer(held, ids[some], ann.distances(x[q], own[some]), 11)
+            score = ann.scan(code, half, ann.tables(x[q : q + 1], books)[0])
+            held = ann.measured(held, x[q], books.error(x[q : q + 1])[0], score, ids, own, 11)
         hit += len(set(np.argsort(((x - x[q]) ** 2).sum(1))[:11].tolist()) & set(held[0].tolist()))
     assert hit >= 0.97 * 20 * 11
