@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polysema.llm import ann, bpe, decontamination, html, jaccard, langid, passages, quality, sharding, urlfilter
+from polysema.llm import alignment, ann, bpe, decontamination, html, jaccard, langid, passages, periodic, quality, sharding, simhash, urlfilter
 from polysema.llm.sampling import held_out
 from polysema.tables import table
 
 #: Rows that an Arrow batch of whole texts may have; bounds a Python worker's memory.
 TEXT_ROWS = "512"
 TOKENIZER = "word_bpe_49k.json"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_spec(path: str | None = None) -> str:
@@ -26,6 +27,16 @@ def tokenizer_spec(path: str | None = None) -> str:
         return f.read()
 
 
+def aligned_specs(a: str | None = None, b: str | None = None) -> tuple[str, bytes]:
+    """Contents of the two tokenizer files that are aligned; by default the public files by name."""
+    if a is None or b is None:
+        import public_tokenizers
+
+        a, b = a or public_tokenizers.path(ALIGNED[0]), b or public_tokenizers.path(ALIGNED[1])
+    with open(a, encoding="utf-8") as x, open(b, "rb") as y:
+        return x.read(), y.read()
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
     return table(spark, sf_dir, name)
@@ -82,6 +93,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.aligned_documents(texts(spark, sf_dir, "documents"), *aligned_specs())
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_runs(texts(spark, sf_dir, "documents"))
+    return periodic.periodic_runs(docs, runs=False, text=False, digests=True)
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(texts(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -94,6 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard": op8_jaccard,
         "op9_html": op9_html,
         "op10_quality": op10_quality,
+        "op11_alignment": op11_alignment,
+        "op12_runs": op12_runs,
+        "op13_simhash": op13_simhash,
     }
 
 
