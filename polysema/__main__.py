@@ -16,7 +16,7 @@ from polysema.sources import readers, writers
 
 def train_(spark: SparkSession, a: argparse.Namespace) -> None:
     """Vectors, graph, clusters, inventory and sense vectors of a corpus or of given vectors."""
-    s = Settings(a.size, a.window, a.iterations, a.min_count, a.neighbours, a.edges, a.min_size, weight=a.weight, bigrams=a.bigrams, threshold=a.threshold)
+    s = Settings(a.size, a.window, a.iterations, a.min_count, a.neighbours, a.edges, a.min_size, weight=a.weight, bigrams=a.bigrams, threshold=a.threshold, cbow=a.cbow != 0)
     docs = readers.corpus(spark, a.corpus).select(F.xxhash64("text").alias("doc_id"), "text") if a.corpus else None
     vectors = readers.word2vec_text(spark, a.vectors) if a.vectors else None
     phrases = readers.phrases(spark, a.phrases) if a.phrases else None
@@ -118,7 +118,7 @@ def parser() -> argparse.ArgumentParser:
     d = Settings()
     command(
         "train", train_, "out", corpus=None, vectors=None, phrases=None, relations=None, size=d.size, window=d.window, iterations=d.iterations, min_count=d.min_count,
-        neighbours=d.neighbours, edges=d.edges, min_size=d.min_size, weight=d.weight, bigrams=False, threshold=d.threshold,
+        neighbours=d.neighbours, edges=d.edges, min_size=d.min_size, weight=d.weight, bigrams=False, threshold=d.threshold, cbow=1,
     )
     command("sense-vectors", sense_vectors, "clusters", "vectors", "out", weight=d.weight)
     command("filter-clusters", filter_clusters, "clusters", "out", min_size=d.min_size)

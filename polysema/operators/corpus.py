@@ -74,18 +74,3 @@ def merged_by_table(docs: DataFrame, phrases: DataFrame, longest: int, text: str
 def phrase_hits(merged_docs: DataFrame) -> DataFrame:
     words = merged_docs.select(F.explode("tokens").alias("phrase")).where(F.col("phrase").contains("_"))
     return words.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-
-
-def word_vectors(docs: DataFrame, size: int = 300, window: int = 5, iterations: int = 5, least: int = 10, cbow: bool = False, seed: int = 1, text: str = "text", partitions: int | None = None) -> DataFrame:
-    """word, v. Skip-gram with hierarchical softmax, the model that Spark offers; cbow is refused.
-
-    partitions: parts of the corpus that are trained side by side and averaged after each iteration; by default
-    one for each core of the cluster."""
-    from pyspark.ml.feature import Word2Vec
-    from pyspark.ml.functions import vector_to_array
-
-    if cbow:
-        raise ValueError("only the skip-gram model is available")
-    sentences = docs.select(X.tokenize(F.col(text)).alias("tokens"))
-    model = Word2Vec(vectorSize=size, windowSize=window, maxIter=iterations, minCount=least, seed=seed, inputCol="tokens", outputCol="v", numPartitions=partitions or docs.sparkSession.sparkContext.defaultParallelism).fit(sentences)
-    return model.getVectors().select("word", vector_to_array("vector").alias("v"))

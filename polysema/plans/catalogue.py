@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from polysema.functions import text as X
 from polysema.functions import vectors as V
-from polysema.operators import cluster, corpus, evaluate, graph, hypernyms, senses, sparse, wsd
+from polysema.operators import cluster, corpus, embeddings, evaluate, graph, hypernyms, senses, sparse, wsd
 from polysema.plans import sql as S
 from polysema.plans.training import Settings, closure
 from polysema.tables import Scratch, table
@@ -642,8 +642,9 @@ def summary_statistics(spark, d):
 
 @query("word2vec_neighbours")
 def word2vec_neighbours(spark, d):
+    """Continuous bag of words at the training command's sizes, and every word's neighbours."""
     c = Settings()
-    v = corpus.word_vectors(docs(spark, d), c.size, c.window, c.iterations, c.min_count)
+    v = Scratch(spark, "word2vec").keep(embeddings.word_vectors(docs(spark, d), c.size, c.window, c.iterations, c.min_count, c.cbow), "vectors")
     return graph.nearest_words(v, c.neighbours)
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polysema.operators import cluster, corpus, graph, hypernyms, senses
+from polysema.operators import cluster, corpus, embeddings, graph, hypernyms, senses
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,7 @@ class Settings:
     substrings: bool = True  # multiword nodes that begin or end with the ego join its network
     bigrams: bool = False  # adjacent pairs above the score threshold are joined before the training
     threshold: float = 10.0
+    cbow: bool = True  # else skip-gram
 
     def stamp(self) -> str:
         return f"n{self.neighbours}-e{self.edges}-m{self.min_size}-p{self.pooled}-{self.weight}{'-s' if self.substrings else ''}{f'-b{self.threshold}' if self.bigrams else ''}"
@@ -82,7 +83,7 @@ def train(
     out = {}
     if vectors is None:
         text = training_text(spark, at, docs, phrases, settings)
-        vectors = kept(spark, at(f"vectors-{settings.size}-{settings.window}-{settings.iterations}-{settings.min_count}"), lambda: corpus.word_vectors(text, settings.size, settings.window, settings.iterations, settings.min_count))
+        vectors = kept(spark, at(f"vectors-{'cbow' if settings.cbow else 'sg'}-{settings.size}-{settings.window}-{settings.iterations}-{settings.min_count}"), lambda: embeddings.word_vectors(text, settings.size, settings.window, settings.iterations, settings.min_count, settings.cbow))
     out["vectors"] = vectors
     out["near"] = kept(spark, at("near"), lambda: graph.nearest_words(out["vectors"], settings.neighbours))
     out["graph"] = kept(spark, at("graph"), lambda: graph.quantised(out["near"]))
