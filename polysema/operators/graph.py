@@ -1,8 +1,10 @@
 """Similarity graphs and ego networks.
 
-``nearest_words`` is the exact search: vectors are packed into blocks, every pair
-of blocks is one matrix product in an Arrow function, and only the best rows of a
-block go on. Memory is two blocks a task; nothing is broadcast.
+``inner_products`` is the exact search. Vectors are dealt into cells around centroids;
+a query meets its own cell first, which gives a score that its k-th best must reach. A
+cell goes on only if an upper bound of its scores, from the angles between query,
+centroid and the cell's farthest member, reaches that score; what can't is never shipped.
+Large cells are dealt into units of BLOCK rows, so a task holds two units at most.
 """
 
 from __future__ import annotations
@@ -16,64 +18,217 @@ from pyspark.sql import functions as F
 
 from polysema.functions import text as X
 from polysema.functions import vectors as V
+from polysema.tables import Scratch
 
-#: Vectors of a block; a product of two blocks takes 8 * BLOCK**2 bytes, in strips.
+#: Vectors of a unit; a product of two units takes 8 * BLOCK**2 bytes, in strips.
 BLOCK, STRIP = 8192, 512
+#: Vectors from which there is more than one cell, vectors of a cell, cells at most, sampled vectors a cell, rounds of their means.
+FEW, CELL, CELLS, SAMPLED, ROUNDS = 8192, 2048, 1024, 16, 5
+#: By how much a bound may be missed: scores are rounded, and sums of products have errors of their own.
+SLACK = 1e-5
 
 
-def _blocks(df: DataFrame, key: str, n: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten()).reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
 
 
-def inner_products(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6) -> DataFrame:
-    """query, word, score: the k largest inner products of each query, rounded, ties to the smaller word.
+def _best(q: np.ndarray, words: pa.Array, m: np.ndarray, k: int, digits: int, least: np.ndarray | None = None, own: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query number, place in the words and score of the k best of each query (of those that reach ``least``, without the word ``own``), best first. words are sorted."""
+    place = None if own is None else np.asarray(pa.compute.fill_null(pa.compute.index_in(own, words), -1))
+    rows, places, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for at in range(0, len(q) if len(m) else 0, STRIP):
+        score = np.round(q[at : at + STRIP] @ m.T, digits) + 0.0
+        if place is not None:
+            mine = np.flatnonzero(place[at : at + STRIP] >= 0)
+            score[mine, place[at : at + STRIP][mine]] = -np.inf
+        floor = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
+        if least is not None:
+            floor = np.maximum(floor, least[at : at + STRIP])
+        r, c = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        s = score[r, c]
+        order = np.lexsort((c, -s, r))  # words rise with c
+        r, c, s = r[order], c[order], s[order]
+        first = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1)) if len(r) else np.zeros(0, int)
+        kept = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r)))) < k
+        rows.append(r[kept] + at)
+        places.append(c[kept])
+        scores.append(s[kept])
+    return np.concatenate(rows), np.concatenate(places), np.concatenate(scores)
 
-    queries: query, qv. vectors: word, v. Exact and in blocks: each query block meets
-    each vector block once in a grouped task."""
-    kind = {"query": queries.schema["query"].dataType.simpleString(), "word": vectors.schema["word"].dataType.simpleString()}
-    nq, nv = (max(1, -(-df.count() // BLOCK)) for df in (queries, vectors))
-    left = _blocks(queries.select("query", V.doubles(F.col("qv")).alias("qv")), "query", nq, "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    right = _blocks(vectors.select("word", V.doubles(F.col("v")).alias("v")), "word", nv, "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks()
-        return np.asarray(flat.flatten()).reshape(len(flat), -1)
+def centroids(vectors: DataFrame, n: int) -> np.ndarray:
+    """One centre a CELL vectors, CELLS at most: means of a sample of SAMPLED vectors a centre, the same however the table is partitioned."""
+    c = max(1, min(CELLS, -(-n // CELL)))
+    rows = vectors.select(F.xxhash64("word").alias("h"), "word", "v").orderBy("h", "word").limit(SAMPLED * c).toArrow()  # SAMPLED * CELLS rows at most
+    x = _matrix(rows.column("v"))
+    centre = x[:c].copy()
+    for _ in range(ROUNDS if len(x) else 0):
+        own = (x @ centre.T - (centre**2).sum(1) / 2).argmax(1)
+        for i in range(len(centre)):
+            if (own == i).any():
+                centre[i] = x[own == i].mean(0)
+    return centre
 
-    def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[pa.Table] = []
-        if left.num_rows and right.num_rows:
-            order = pa.compute.sort_indices(right.column("word"))
-            words, m = right.column("word").take(order), matrix(right.column("v").take(order))
-            q, names = matrix(left.column("qv")), left.column("query")
-            for at in range(0, len(q), STRIP):
-                score = np.round(q[at : at + STRIP] @ m.T, digits) + 0.0
-                least = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
-                r, c = np.nonzero(score >= least[:, None])
-                s = score[r, c]
-                order = np.lexsort((c, -s, r))  # words rise with c
-                r, c, s = r[order], c[order], s[order]
-                first = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1)) if len(r) else np.zeros(0, int)
-                place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
-                m_ = place < k
-                out.append(pa.table({"query": names.take(pa.array(r[m_] + at)), "word": words.take(pa.array(c[m_])), "score": s[m_]}))
-        return pa.concat_tables(out) if out else pa.table({"query": left.column("query").slice(0, 0), "word": right.column("word").slice(0, 0), "score": pa.array([], pa.float64())})
-
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(best, f"query {kind['query']}, word {kind['word']}, score double")
-    if nv == 1:
-        return found
+
+class Cells:
+    """Centres with what bounds the scores of their members: number of units, largest angle, norms."""
+
+    def __init__(self, centre: np.ndarray):
+        self.centre = centre
+        self.norm = np.sqrt((centre**2).sum(1))
+        n = len(centre)
+        self.units, self.angle, self.most, self.least = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n)
+
+    def cosines(self, x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        length = norm[:, None] * self.norm
+        return np.divide(x @ self.centre.T, length, out=np.zeros(length.shape), where=length > 0).clip(-1, 1)
+
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.centre.T - self.norm**2 / 2).argmax(1)
+
+    def bounds(self, x: np.ndarray) -> np.ndarray:
+        """The most that a member of each cell can score with each row. A centre or vector of length 0 has no angle, so nothing is left out there."""
+        norm = np.sqrt((x**2).sum(1))
+        apart = np.arccos(self.cosines(x, norm)) - self.angle
+        c = np.where(self.norm > 0, np.cos(np.maximum(apart, 0)), 1.0)
+        return norm[:, None] * np.where(c > 0, c * self.most, c * self.least)
+
+
+def _placed(df: DataFrame, key: str, v: str, cells: Cells) -> DataFrame:
+    """The table with its cell, the angle to the centre, and the norm."""
+    shared = df.sparkSession.sparkContext.broadcast(cells)  # CELLS vectors
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            x = _matrix(batch.column(1)) if batch.num_rows else np.zeros((0, c.centre.shape[1]))
+            norm = np.sqrt((x**2).sum(1))
+            cell = c.nearest(x)
+            angle = np.where(norm > 0, np.arccos(c.cosines(x, norm)[np.arange(len(x)), cell]), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle), pa.array(norm)], [key, v, "cell", "angle", "norm"])
+
+    return df.select(key, v).mapInArrow(run, f"{key} {kind}, {v} array<double>, cell int, angle double, norm double")
+
+
+def _with_unit(df: DataFrame, key: str, cells: Cells) -> DataFrame:
+    units = F.array(*(F.lit(int(max(1, n))) for n in cells.units))
+    return df.withColumn("unit", F.pmod(F.xxhash64(key), F.element_at(units, F.col("cell") + 1)).cast("int"))
+
+
+def inner_products(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, others: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """query, word, score: the k largest inner products of each query, rounded, ties to the smaller word. Exact.
+    others: without the word that equals the query.
+
+    queries: query, qv. vectors: word, v."""
+    scratch = scratch or Scratch(queries.sparkSession, "nearest")
+    queries, vectors = queries.select("query", V.doubles(F.col("qv")).alias("qv")), vectors.select("word", V.doubles(F.col("v")).alias("v"))
+    kinds = {"query": queries.schema["query"].dataType.simpleString(), "word": vectors.schema["word"].dataType.simpleString()}
+    n, nq = vectors.count(), queries.count()
+    if n <= FEW and nq <= BLOCK:
+        return _few(queries, vectors, kinds, k, digits, others)
+    rows, first, cells = _first_pass(queries, vectors, kinds, n, k, digits, others, scratch)
+    found = first.select("query", F.explode(F.arrays_zip("words", "scores")).alias("x")).select("query", F.col("x.words").alias("word"), F.col("x.scores").alias("score"))
+    if cells.units.sum() > 1:
+        pairs = scratch.keep(_needed(first, kinds, cells), "pairs")
+        found = found.unionAll(_second_pass(pairs, rows, kinds, k, digits, others))
     w = Window.partitionBy("query").orderBy(F.desc("score"), "word")
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def _few(queries: DataFrame, vectors: DataFrame, kinds: dict[str, str], k: int, digits: int, others: bool) -> DataFrame:
+    """One product in one task, for FEW vectors and BLOCK queries at most."""
+    q, v = queries.withColumn("one", F.lit(0)), vectors.withColumn("one", F.lit(0))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pa.compute.sort_indices(right.column("word")))
+        r, c, s = _best(_matrix(left.column("qv")), right.column("word"), _matrix(right.column("v")), k, digits, own=left.column("query") if others else None)
+        return pa.table({"query": left.column("query").take(pa.array(r)), "word": right.column("word").take(pa.array(c)), "score": s})
+
+    return q.groupBy("one").cogroup(v.groupBy("one")).applyInArrow(best, f"query {kinds['query']}, word {kinds['word']}, score double")
+
+
+def _first_pass(queries: DataFrame, vectors: DataFrame, kinds: dict[str, str], n: int, k: int, digits: int, others: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, Cells]:
+    """Vectors with their units; queries with their unit, the k best of it (words, scores) and the score to reach; the cells."""
+    cells = Cells(centroids(vectors, n))
+    rows = scratch.keep(_placed(vectors, "word", "v", cells), "vectors")
+    for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("a"), F.max("norm").alias("m"), F.min("norm").alias("l")).collect():  # CELLS rows at most
+        cells.units[r["cell"]], cells.angle[r["cell"]], cells.most[r["cell"]], cells.least[r["cell"]] = -(-r["n"] // BLOCK), r["a"], r["m"], r["l"]
+    rows = _with_unit(rows.select("word", "v", "cell"), "word", cells)
+    # queries of a cell are dealt like its vectors, so a unit meets about as many of them
+    asked = _with_unit(_placed(queries, "query", "qv", cells).select("query", "qv", "cell"), "query", cells)
+
+    def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pa.compute.sort_indices(right.column("word")))
+        r, c, s = _best(_matrix(left.column("qv")), right.column("word"), _matrix(right.column("v")), k, digits, own=left.column("query") if others else None)
+        count = np.bincount(r, minlength=left.num_rows) if len(r) else np.zeros(left.num_rows, int)
+        ends = np.concatenate(([0], np.cumsum(count)))
+        least = np.full(left.num_rows, -np.inf)
+        least[count == k] = s[ends[1:][count == k] - 1]
+        offsets = pa.array(ends, pa.int32())
+        words = pa.ListArray.from_arrays(offsets, right.column("word").take(pa.array(c)).combine_chunks())
+        return left.select(["query", "qv", "cell", "unit"]).append_column("least", pa.array(least)).append_column("words", words).append_column("scores", pa.ListArray.from_arrays(offsets, pa.array(s)))
+
+    schema = f"query {kinds['query']}, qv array<double>, cell int, unit int, least double, words array<{kinds['word']}>, scores array<double>"
+    return rows, scratch.keep(asked.groupBy("cell", "unit").cogroup(rows.groupBy("cell", "unit")).applyInArrow(best, schema), "first"), cells
+
+
+def _needed(first: DataFrame, kinds: dict[str, str], cells: Cells) -> DataFrame:
+    """query, qv, least, from_cell, from_unit, cell, unit: the units beside its own that may hold one of a query's best."""
+    shared = first.sparkSession.sparkContext.broadcast(cells)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        to_cell = np.repeat(np.arange(len(c.units)), c.units)
+        to_unit = np.arange(len(to_cell)) - np.repeat(np.concatenate(([0], np.cumsum(c.units)[:-1])), c.units)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, unit, least = (batch.column(i).to_numpy() for i in (2, 3, 4))
+            may = c.bounds(_matrix(batch.column(1)))[:, to_cell] + SLACK >= least[:, None]
+            r, u = np.nonzero(may & ((to_cell != cell[:, None]) | (to_unit != unit[:, None])))
+            for at in range(0, len(r), 2048):  # bounds a batch of copied vectors
+                rs, us = r[at : at + 2048], u[at : at + 2048]
+                some = batch.take(pa.array(rs))
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), some.column(4), some.column(2), some.column(3), pa.array(to_cell[us].astype(np.int32)), pa.array(to_unit[us].astype(np.int32))], ["query", "qv", "least", "from_cell", "from_unit", "cell", "unit"]
+                )
+
+    return first.select("query", "qv", "cell", "unit", "least").mapInArrow(run, f"query {kinds['query']}, qv array<double>, least double, from_cell int, from_unit int, cell int, unit int")
+
+
+def _second_pass(pairs: DataFrame, rows: DataFrame, kinds: dict[str, str], k: int, digits: int, others: bool) -> DataFrame:
+    """A unit's vectors are shipped once for every unit that has queries for it."""
+    wanted = pairs.select(F.col("from_cell").alias("to_c"), F.col("from_unit").alias("to_u"), F.col("cell").alias("c"), F.col("unit").alias("u")).distinct()
+    shipped = rows.join(wanted, (F.col("cell") == F.col("c")) & (F.col("unit") == F.col("u"))).select("word", "v", "to_c", "to_u", "c", "u")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.take(pa.compute.sort_indices(right.column("word")))
+        r, c, s = _best(_matrix(left.column("qv")), right.column("word"), _matrix(right.column("v")), k, digits, left.column("least").to_numpy(), left.column("query") if others else None)
+        return pa.table({"query": left.column("query").take(pa.array(r)), "word": right.column("word").take(pa.array(c)), "score": s})
+
+    return pairs.groupBy("from_cell", "from_unit", "cell", "unit").cogroup(shipped.groupBy("to_c", "to_u", "c", "u")).applyInArrow(best, f"query {kinds['query']}, word {kinds['word']}, score double")
+
+
+def skipped(queries: DataFrame, vectors: DataFrame, k: int, digits: int = 6, others: bool = False) -> dict[str, float]:
+    """How much of the search the bounds leave out: share of pairs of units and of pairs of query and unit that are never shipped."""
+    scratch = Scratch(queries.sparkSession, "skipped")
+    queries, vectors = queries.select("query", V.doubles(F.col("qv")).alias("qv")), vectors.select("word", V.doubles(F.col("v")).alias("v"))
+    kinds = {"query": queries.schema["query"].dataType.simpleString(), "word": vectors.schema["word"].dataType.simpleString()}
+    _, first, cells = _first_pass(queries, vectors, kinds, vectors.count(), k, digits, others, scratch)
+    units = int(cells.units.sum())
+    pairs = scratch.keep(_needed(first, kinds, cells).select("from_cell", "from_unit", "cell", "unit"), "pairs")
+    return {"units": units, "unit_pairs": 1 - pairs.distinct().count() / max(1, units * (units - 1)), "query_units": 1 - pairs.count() / max(1, first.count() * (units - 1))}
+
+
 def nearest_words(vectors: DataFrame, n: int) -> DataFrame:
     """vectors: word, v. src, dst, weight: the n most similar other words by cosine (6 decimals).
 
     The word itself is left out by its key, so copies of a vector are proper neighbours."""
     unit = vectors.select("word", V.normalise(V.doubles(F.col("v"))).alias("v"))
-    found = inner_products(unit.select(F.col("word").alias("query"), F.col("v").alias("qv")), unit, n + 1)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "word")
-    others = found.where("query <> word").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
-    return others.select(F.col("query").alias("src"), F.col("word").alias("dst"), F.col("score").alias("weight"))
+    found = inner_products(unit.select(F.col("word").alias("query"), F.col("v").alias("qv")), unit, n, others=True)
+    return found.select(F.col("query").alias("src"), F.col("word").alias("dst"), F.col("score").alias("weight"))
 
 
 def quantised(edges: DataFrame) -> DataFrame:
