@@ -126,8 +126,8 @@ def inner_products(queries: DataFrame, vectors: DataFrame, k: int, digits: int =
     queries, vectors = queries.select("query", V.doubles(F.col("qv")).alias("qv")), vectors.select("word", V.doubles(F.col("v")).alias("v"))
     kinds = {"query": queries.schema["query"].dataType.simpleString(), "word": vectors.schema["word"].dataType.simpleString()}
     n, nq = vectors.count(), queries.count()
-    if n <= FEW and nq <= BLOCK:
-        return _few(queries, vectors, kinds, k, digits, others)
+    if n <= FEW:
+        return _few(queries, vectors, kinds, nq, k, digits, others)
     rows, first, cells = _first_pass(queries, vectors, kinds, n, k, digits, others, scratch)
     found = first.select("query", F.explode(F.arrays_zip("words", "scores")).alias("x")).select("query", F.col("x.words").alias("word"), F.col("x.scores").alias("score"))
     if cells.units.sum() > 1:
@@ -137,16 +137,18 @@ def inner_products(queries: DataFrame, vectors: DataFrame, k: int, digits: int =
     return found.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def _few(queries: DataFrame, vectors: DataFrame, kinds: dict[str, str], k: int, digits: int, others: bool) -> DataFrame:
-    """One product in one task, for FEW vectors and BLOCK queries at most."""
-    q, v = queries.withColumn("one", F.lit(0)), vectors.withColumn("one", F.lit(0))
+def _few(queries: DataFrame, vectors: DataFrame, kinds: dict[str, str], nq: int, k: int, digits: int, others: bool) -> DataFrame:
+    """FEW vectors at most: they are copied to every BLOCK of queries, each of which is done then."""
+    parts = max(1, -(-nq // BLOCK))
+    q = queries.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
+    v = vectors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.take(pa.compute.sort_indices(right.column("word")))
         r, c, s = _best(_matrix(left.column("qv")), right.column("word"), _matrix(right.column("v")), k, digits, own=left.column("query") if others else None)
         return pa.table({"query": left.column("query").take(pa.array(r)), "word": right.column("word").take(pa.array(c)), "score": s})
 
-    return q.groupBy("one").cogroup(v.groupBy("one")).applyInArrow(best, f"query {kinds['query']}, word {kinds['word']}, score double")
+    return q.groupBy("part").cogroup(v.groupBy("part")).applyInArrow(best, f"query {kinds['query']}, word {kinds['word']}, score double")
 
 
 def _first_pass(queries: DataFrame, vectors: DataFrame, kinds: dict[str, str], n: int, k: int, digits: int, others: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, Cells]:

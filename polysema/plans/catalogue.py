@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from polysema.functions import text as X
 from polysema.functions import vectors as V
-from polysema.operators import cluster, corpus, embeddings, evaluate, graph, hypernyms, senses, sparse, wsd
+from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, senses, sparse, wsd
 from polysema.plans import sql as S
 from polysema.plans.training import Settings, closure
 from polysema.tables import Scratch, table
@@ -78,14 +78,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.quantised(near(spark, d))
 
 
-def ego(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    g = edges(spark, d)
-    nodes = graph.ego_nodes(g)
-    return nodes, graph.ego_edges(nodes, g, _SIZES.get().edges)
+def kept_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as a table, as ego networks read it twice."""
+    return Scratch(spark, "graph").keep(edges(spark, d), "edges")
+
+
+def labelled(spark: SparkSession, d: str) -> DataFrame:
+    g = kept_edges(spark, d)
+    return networks.label_propagation(graph.ego_nodes(g), g, _SIZES.get().edges)
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    return cluster.at_least(cluster.emitted(cluster.label_propagation(*ego(spark, d))), _SIZES.get().least)
+    return cluster.at_least(cluster.emitted(labelled(spark, d)), _SIZES.get().least)
 
 
 def model(spark: SparkSession, d: str) -> DataFrame:
@@ -293,12 +297,13 @@ def edge_lookup(spark, d):
 
 @query("ego_nodes", S.chain("nodes", "select ego, node, wq from nodes"))
 def ego_nodes(spark, d):
-    return ego(spark, d)[0]
+    return graph.ego_nodes(edges(spark, d))
 
 
 @query("ego_edges", S.chain("edges", "select ego, a, b, wq from edges"))
 def ego_edges(spark, d):
-    return ego(spark, d)[1]
+    g = kept_edges(spark, d)
+    return networks.ego_edges(graph.ego_nodes(g), g, _SIZES.get().edges)
 
 
 @query("substring_nodes", S.SUBSTRING_NODES)
@@ -320,12 +325,12 @@ def ego_nodes_substrings(spark, d):
 
 @query("label_propagation", S.chain("labelled", "select ego, node, wq, label from labelled"))
 def label_propagation(spark, d):
-    return cluster.label_propagation(*ego(spark, d))
+    return labelled(spark, d)
 
 
 @query("cluster_ranks", S.chain("emitted", "select word, cid, size, member, sim, pos from emitted"))
 def cluster_ranks(spark, d):
-    return cluster.emitted(cluster.label_propagation(*ego(spark, d)))
+    return cluster.emitted(labelled(spark, d))
 
 
 @query("min_size_filter", S.chain("clusters", "select word, cid, size, member, sim, pos from clusters"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polysema.operators import cluster, corpus, embeddings, graph, hypernyms, senses
+from polysema.operators import cluster, corpus, ego, embeddings, graph, hypernyms, senses
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,10 @@ def train(
     out["vectors"] = vectors
     out["near"] = kept(spark, at("near"), lambda: graph.nearest_words(out["vectors"], settings.neighbours))
     out["graph"] = kept(spark, at("graph"), lambda: graph.quantised(out["near"]))
-    words = out["graph"].select(F.col("src").alias("word")).distinct()
+    words = out["graph"].select(F.explode(F.array("src", "dst")).alias("word")).distinct()  # a word that is only a neighbour has a network of multiword nodes
     extra = kept(spark, at("substrings"), lambda: graph.substring_nodes(words, words)) if settings.substrings else None
     nodes = kept(spark, at("nodes"), lambda: graph.ego_nodes(out["graph"], extra))
-    edges = kept(spark, at("edges"), lambda: graph.ego_edges(nodes, out["graph"], settings.edges))
-    out["all_clusters"] = kept(spark, at("all_clusters"), lambda: cluster.emitted(cluster.label_propagation(nodes, edges)))
+    out["all_clusters"] = kept(spark, at("all_clusters"), lambda: cluster.emitted(ego.label_propagation(nodes, out["graph"], settings.edges)))
     out["clusters"] = kept(spark, at("clusters"), lambda: cluster.at_least(out["all_clusters"], settings.min_size))
     out["priors"] = kept(spark, at("priors"), lambda: senses.priors(out["clusters"]))
     out["sense_vectors"] = kept(spark, at("sense_vectors"), lambda: senses.pooled(out["clusters"], out["vectors"], settings.weight, settings.pooled))
