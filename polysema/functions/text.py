@@ -237,17 +237,6 @@ def merge_phrases(tokens: Column, phrases: list[str]) -> Column:
     return merge(tokens)
 
 
-def merge_own_phrases(tokens: Column, phrases: Column) -> Column:
-    """As merge_phrases, with the phrases of each row's own array (null: none)."""
-
-    @pandas_udf("array<string>")
-    def merge(rows: pd.Series, own: pd.Series) -> pd.Series:
-        known = [frozenset(o if o is not None else ()) for o in own]
-        return pd.Series([None if t is None else merged_left_to_right(list(t), k, max((p.count("_") + 1 for p in k), default=1)) for t, k in zip(rows, known)])
-
-    return merge(tokens, phrases)
-
-
 def split_underscores(tokens: Column) -> Column:
     return F.flatten(F.transform(tokens, lambda t: F.split(t, "_")))
 

@@ -51,26 +51,6 @@ def phrase_capacity(phrases: DataFrame) -> DataFrame:
     return phrases.agg(F.max(F.size(F.split("phrase", "_"))).alias("capacity"))
 
 
-def merged(docs: DataFrame, phrases: list[str], text: str = "text") -> DataFrame:
-    """The tokens of each text with the phrases (underscored, a bounded vocabulary) joined."""
-    return docs.withColumn("tokens", X.merge_phrases(X.tokenize(F.col(text)), phrases))
-
-
-def merged_by_table(docs: DataFrame, phrases: DataFrame, longest: int, text: str = "text") -> DataFrame:
-    """As ``merged``, for a vocabulary (phrase, underscored) of any size: a table of runs of tokens joined by equality.
-
-    docs: doc_id, text. longest: tokens of the longest phrase. doc_id, tokens.
-    Each text gets the phrases that it holds as an array, and is merged by these."""
-    known = phrases.select("phrase").where(F.col("phrase").contains("_")).distinct()
-    t = docs.select("doc_id", X.tokenize(F.col(text)).alias("t"))
-    grams = F.expr(f"flatten(transform(sequence(2, {max(2, longest)}), n -> if(size(t) >= n, transform(sequence(1, size(t) - n + 1), i -> array_join(slice(t, i, n), '_')), array())))")
-    found = t.select("doc_id", "t", F.explode(F.array_distinct(grams)).alias("phrase")).select("doc_id", F.xxhash64("t").alias("h"), "phrase").join(known, "phrase")
-    own = found.groupBy("doc_id", "h").agg(F.collect_set("phrase").alias("own"))
-    a, b = t.withColumn("h", F.xxhash64("t")).alias("a"), own.alias("b")
-    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")), "left").select("a.doc_id", "t", "own")
-    return both.select("doc_id", X.merge_own_phrases(F.col("t"), F.col("own")).alias("tokens"))
-
-
 def phrase_hits(merged_docs: DataFrame) -> DataFrame:
     words = merged_docs.select(F.explode("tokens").alias("phrase")).where(F.col("phrase").contains("_"))
     return words.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from polysema.functions import text as X
 from polysema.functions import vectors as V
-from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, senses, sparse, wsd
+from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, phrases, senses, sparse, wsd
 from polysema.plans import sql as S
 from polysema.plans.training import Settings, closure
 from polysema.tables import Scratch, table
@@ -244,18 +244,28 @@ def bigram_scores(spark, d):
 
 @query("phrase_merge", S.PHRASE_MERGE)
 def phrase_merge(spark, d):
-    """The ten most frequent adjacent pairs are the vocabulary."""
-    pairs = corpus.adjacent(docs(spark, d)).groupBy("a", "b").count().orderBy(F.desc("count"), "a", "b").limit(10).collect()  # ten rows
-    return corpus.phrase_hits(corpus.merged(docs(spark, d), [f"{r['a']}_{r['b']}" for r in pairs]))
+    """Every bigram above the score threshold is joined."""
+    scored = bigram_scores(spark, d).select(F.concat_ws("_", "a", "b").alias("phrase"))
+    return corpus.phrase_hits(phrases.merged(docs(spark, d), scored))
 
 
-@query("phrase_merge_all")
+@query("phrase_merge_all", S.PHRASE_MERGE_ALL)
 def phrase_merge_all(spark, d):
-    """The vocabulary is every bigram above the score threshold and every dictionary phrase of several words."""
+    """The vocabulary is every bigram above the score threshold, every dictionary phrase of several words, and every three words in a row that occur ten times."""
+    scored = bigram_scores(spark, d).select(F.concat_ws("_", "a", "b").alias("phrase"))
+    t = X.tokenize(F.col("text"))
+    three = docs(spark, d).select(t.alias("t")).select(F.explode(F.expr("transform(slice(t, 1, greatest(size(t) - 2, 0)), (x, i) -> concat_ws('_', x, t[i + 1], t[i + 2]))")).alias("phrase"))
+    often = three.groupBy("phrase").count().where("count >= 10").select("phrase")
+    known = scored.unionAll(phrase_variants(spark, d).where(F.col("phrase").contains("_"))).unionAll(often).distinct()
+    return corpus.phrase_hits(phrases.merged(docs(spark, d), known))
+
+
+@query("phrase_places", S.PHRASE_PLACES)
+def phrase_places(spark, d):
+    """Where the words of the dictionary phrases, and scored bigrams, stand in the texts, in characters."""
     scored = bigram_scores(spark, d).select(F.concat_ws("_", "a", "b").alias("phrase"))
-    phrases = scored.unionAll(phrase_variants(spark, d).where(F.col("phrase").contains("_"))).distinct()
-    longest = corpus.phrase_capacity(phrases).first()["capacity"] or 2  # one row
-    return corpus.phrase_hits(corpus.merged_by_table(docs(spark, d), phrases, longest))
+    rare = corpus.term_frequencies(corpus.tokens(docs(spark, d)), 20).where("freq < 25").select(F.col("word").alias("phrase"))
+    return phrases.occurrences(docs(spark, d), scored.unionAll(rare).distinct())
 
 
 @query("phrase_capacity", "select max(len(string_split(replace(p_name, ' ', '_'), '_'))) as capacity from part")

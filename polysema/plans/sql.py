@@ -205,15 +205,36 @@ select a, b, n, score from (
   select a, b, n, round((n - 5) * (select count(*) from freq) / fa.f / fb.f, 6) as score
   from (select a, b, count(*) as n from adjacent group by all having count(*) >= 5) join freq fa on fa.word = a join freq fb on fb.word = b) where score > 10"""
 
-#: Pairs in reading order: a place takes a pair unless the place before it took one.
-PHRASE_MERGE = f"""
-with recursive adjacent as ({_STEPS['adjacent'][1]}),
-top as (select a || '_' || b as p from (select a, b, count(*) as n from adjacent group by all order by n desc, a, b limit 10)),
-t as (select doc_id, regexp_extract_all(text, '{TOKEN}') as t from documents),
-place as (select doc_id, i, t[i] || '_' || t[i + 1] as p from (select doc_id, t, unnest(range(1, len(t))) as i from t)),
-hit as (select doc_id, i, p, i - row_number() over (partition by doc_id order by i) as run from place where p in (select p from top)),
-kept as (select p from (select p, row_number() over (partition by doc_id, run order by i) as k from hit) where k % 2 = 1)
-select p as phrase, count(*) as n from kept group by p"""
+
+
+def taken(vocabulary: str, least: int, most: int) -> str:
+    """Subqueries up to ``took`` (doc_id, i, n, phrase): phrases of the vocabulary (p) in the texts, left to right, the longest
+    first, none inside another. A match that no earlier one reaches begins a chain; each chain is followed by itself."""
+    return f"""
+t as (select row_number() over () as doc, doc_id, regexp_extract_all(text, '{TOKEN}') as t from documents),
+grams as (select doc, i, n, array_to_string(t[i:i + n - 1], '_') as p from (select doc, t, n, unnest(range(1, len(t) - n + 2)) as i from t, range({least}, {most + 1}) r(n) where len(t) >= n)),
+longest as (select doc, i, max(n) as n, max_by(p, n) as p from grams where p in (select p from ({vocabulary})) group by doc, i),
+reach as (select *, coalesce(max(i + n) over (partition by doc order by i rows between unbounded preceding and 1 preceding), 0) <= i as head from longest),
+runs as (select *, sum(head::INT) over (partition by doc order by i) as run from reach),
+took as (
+  select doc, run, i, n, p from runs where head
+  union all
+  select doc, run, i, n, p from (select r.*, row_number() over (partition by r.doc, r.run order by r.i) as k from took x join runs r on r.doc = x.doc and r.run = x.run and r.i >= x.i + x.n) where k = 1)"""
+
+
+_SCORED = f"select a || '_' || b as p from ({BIGRAMS})"
+PHRASE_MERGE = f"with recursive {taken(_SCORED, 2, 2)} select p as phrase, count(*) as n from took group by p"
+_THREE = f"select array_to_string(t[i:i + 2], '_') as p from (select t, unnest(range(1, len(t) - 1)) as i from (select regexp_extract_all(text, '{TOKEN}') as t from documents)) group by 1 having count(*) >= 10"
+PHRASE_MERGE_ALL = f"with recursive {taken(f'{_SCORED} union all select phrase from ({PHRASE_VARIANTS}) union all {_THREE}', 2, 6)} select p as phrase, count(*) as n from took group by p"
+_RARE = f"select word from (select unnest(regexp_extract_all(text, '{TOKEN}')) as word from documents) group by word having count(*) between 20 and 24"
+#: The text up to a token is as long as the tokens and the stretches between them, which are the text split at tokens.
+PHRASE_PLACES = f"""
+with recursive {taken(f'{_SCORED} union all {_RARE}', 1, 2)},
+body as (select row_number() over () as doc, doc_id, text from documents),
+gaps as (select doc, doc_id, string_split_regex(text, '{TOKEN}') as g, regexp_extract_all(text, '{TOKEN}') as t from body)
+select doc_id, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[:i - 1], lambda x: length(x))), 0))::INT as start,
+  (list_sum(list_transform(g[:i + n - 1], lambda x: length(x))) + list_sum(list_transform(t[:i + n - 1], lambda x: length(x))))::INT as "end", p as phrase
+from took join gaps using (doc)"""
 
 NORMALISE = "select 'w' || vec_id || 'w' as word, dim::INT as dim, round(x / n, 6) as value from (select vec_id, unnest(v) as x, unnest(range(len(v))) as dim, sqrt(list_inner_product(v, v)) as n from (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings))"
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polysema.operators import cluster, corpus, ego, embeddings, graph, hypernyms, senses
+from polysema.operators import phrases as phrases_
 
 
 @dataclass(frozen=True)
@@ -53,8 +54,7 @@ def training_text(spark: SparkSession, at, docs: DataFrame, phrases: DataFrame |
     if not known:
         return docs
     words = kept(spark, at("phrases"), lambda: reduce(DataFrame.unionAll, known).where(F.col("phrase").contains("_")).distinct())
-    longest = corpus.phrase_capacity(words).first()["capacity"] or 2  # one row
-    return kept(spark, at("corpus"), lambda: corpus.merged_by_table(docs, words, longest).select("doc_id", F.array_join("tokens", " ").alias("text")))
+    return kept(spark, at("corpus"), lambda: phrases_.merged(docs, words).select("doc_id", F.array_join("tokens", " ").alias("text")))
 
 
 def closure(members: DataFrame, least: int) -> DataFrame:
