@@ -44,15 +44,14 @@ class Model:
 
 @functools.lru_cache(maxsize=1)
 def letters() -> np.ndarray:
-    """Whether each code point of the basic plane is a letter; further ones count as letters."""
-    return np.array([chr(i).isalpha() for i in range(0x10000)])
+    """Whether each code point of any plane is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
 def counts(text: str) -> np.ndarray | None:
     """Root of the relative frequency of each hashed n-gram; None without a letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    table = letters()
-    is_letter = table[np.minimum(c, 0xFFFF)] | (c > 0xFFFF) if c.size and c.max() > 0xFFFF else table[c]
+    is_letter = letters()[c]
     if not is_letter.any():
         return None
     c = np.where(is_letter, c, np.uint32(32))
