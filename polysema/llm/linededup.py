@@ -12,7 +12,7 @@ the shared folder; its join with the lines reads two tables and nothing stands
 between exchange and join, so a hot digest's partition can be split at run time.
 
 Defined results: null and empty texts have no lines; rows equal in id and text
-are one document, all of them get the same result; of rows with one id and
+are one document: each of its spans is one row, and ``remove`` takes it from all of them; of rows with one id and
 different texts the one with the smaller text hash comes first; a null id comes
 last; repeats inside a document are removed too; extra columns are carried by
 ``remove`` unchanged; an empty table gives an empty table.
@@ -73,9 +73,10 @@ def repeats(docs: DataFrame, min_words: int = 1, scratch: Scratch | None = None)
     found = units(docs, min_words)
     firsts = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank()).alias("kept")).where("n > 1").select("digest", "kept")
     firsts = scratch.keep(firsts, "firsts")
-    return found.join(firsts, "digest").where(rank() > F.col("kept")).select(
+    gone = found.join(firsts, "digest").where(rank() > F.col("kept")).select(
         "doc_id", "text_hash", "start", "end", "n_words", F.lower(F.hex("digest")).alias("digest"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.start").alias("kept_start")
     )
+    return gone.dropDuplicates(["doc_id", "text_hash", "start"])
 
 
 def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
