@@ -11,8 +11,10 @@ Fitted on a bounded sample (SAMPLE documents a class) of labelled rows outside
 the held-out quarter; applied to every whole text, without a shuffle.
 
 Defined results: null and empty texts score 0; repeated rows get equal scores;
-an empty table gives an empty table; without labels of both classes every
-non-empty text gets the share of label 1 (1 if there are no labels at all).
+an empty table gives an empty table. From one labelled text of each class on, texts are told apart; the
+only text of a class then serves dictionary and calibration alike. Without any labelled text of
+one of the classes nothing can be told apart, and every non-empty text gets the score of the other
+class (1 if there are no labels at all).
 """
 
 from __future__ import annotations
@@ -95,15 +97,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     marked = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label in (0, 1)")
     rows = [(y, t) for _, y, t in labelled_texts(docs, marked, sample) if t]
     by_class = {c: [t for y, t in rows if y == c] for c in (0, 1)}
-    if min(map(len, by_class.values())) < 4:
-        share = sum(y for y, _ in rows) / len(rows) if rows else 1.0
-        return Model(b"", b"", (float(share),))
+    if not all(by_class.values()):
+        return Model(b"", b"", (0.0 if by_class[0] else 1.0,))
+    second = {c: by_class[c][1::2] or by_class[c] for c in (0, 1)}
     model = Model(*(dictionary(by_class[c][::2]) for c in (1, 0)), weights=())
     n = {r["label"]: r["n"] for r in marked.where(~held_out(F.col("doc_id"))).groupBy("label").agg(F.count("*").alias("n")).collect()}
-    rest = [(c, t) for c in (0, 1) for t in by_class[c][1::2]]
+    rest = [(c, t) for c in (0, 1) for t in second[c]]
     x = np.array([features(t.encode("utf-8"), model) for _, t in rest])
     y = np.array([c for c, _ in rest], float)
-    each = {c: n[c] / sum(n.values()) / max(1, len(by_class[c][1::2])) * len(rest) for c in (0, 1)}  # classes count as in all labels
+    each = {c: n[c] / sum(n.values()) / len(second[c]) * len(rest) for c in (0, 1)}  # classes count as in all labels
     w = logistic(x, y, np.array([each[c] for c, _ in rest]))
     return Model(model.good, model.bad, tuple(map(float, w)))
 
