@@ -460,14 +460,13 @@ def wsd_prob(spark, d):
 
 @query("wsd_disambiguate", S.chain("sim_scores", S.DISAMBIGUATE))
 def wsd_disambiguate(spark, d):
-    """Every seventh target has no context left, so that its prior decides."""
-    context = contexts(spark, d).where("ctx_id % 7 <> 3")
-    return wsd.disambiguate(instances(spark, d), context, model(spark, d), vectors(spark, d)).drop("sense")
+    """Every target with all of its context."""
+    return wsd.disambiguate(instances(spark, d), contexts(spark, d), model(spark, d), vectors(spark, d)).drop("sense")
 
 
-@query("wsd_disambiguate_all")
+@query("wsd_disambiguate_all", S.chain("sim_scores", S.DISAMBIGUATE_ALL))
 def wsd_disambiguate_all(spark, d):
-    """Every target with all of its context."""
+    """The same with the sense's name."""
     return wsd.disambiguate(instances(spark, d), contexts(spark, d), model(spark, d), vectors(spark, d))
 
 

@@ -293,12 +293,14 @@ near as (select doc_id, word, row_number() over (partition by doc_id, side order
 select distinct doc_id as ctx_id, word from near where r <= 10 and word not in (select word from voc where n >= 2000)"""
 
 DISAMBIGUATE = """
-, by_ctx as (select ctx_id, cid, score from (select *, row_number() over (partition by ctx_id order by score desc, cid) as r from sim_scores) where r = 1 and ctx_id % 7 <> 3),
+, by_ctx as (select ctx_id, cid, score from (select *, row_number() over (partition by ctx_id order by score desc, cid) as r from sim_scores) where r = 1),
 by_prior as (select ctx_id, cid, prob from (select *, row_number() over (partition by ctx_id order by prob desc, cid) as r from tsense) where r = 1)
 select vec_id as ctx_id, vec.word as target, coalesce(c.cid, p.cid, 0)::INT as cid, coalesce(c.score, round(p.prob, 6), 1.0) as score,
   case when c.cid is not null then 'context' when p.cid is not null then 'prior' else 'none' end as how
 from vec left join by_ctx c on c.ctx_id = vec_id left join by_prior p on p.ctx_id = vec_id"""
 
+DISAMBIGUATE_ALL = DISAMBIGUATE.replace(" as how\nfrom", " as how,\n  replace(vec.word, ' ', '_') || '#' || coalesce(c.cid, p.cid, 0) as sense\nfrom")
+
 ANTI_INVENTORY = "select ego as word, label as cid, max({'n': n, 'node': node}).node as keyword, string_agg(node, ', ' order by node) as cluster from anti_labelled group by all"
 
 ANTI_DISAMBIGUATE = f"""
