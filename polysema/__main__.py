@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polysema.functions import text as X
+from polysema.functions import treebank
 from polysema.operators import cluster, corpus, evaluate, graph, hypernyms, senses, wsd
 from polysema.plans.training import Settings, closure, kept, train
 from polysema.sources import readers, writers
@@ -83,6 +84,11 @@ def anti(spark: SparkSession, a: argparse.Namespace) -> None:
         writers.keyword_inventory(cluster.anti_inventory(cluster.anti_clusters(pairs, graph.quantised(top))), f"{a.out}/top{n}")
 
 
+def preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A corpus with a space between all tokens (tree-bank words), line by line."""
+    writers.tokenised(readers.corpus(spark, a.corpus).select(treebank.word_tokenize(F.col("text")).alias("tokens")), a.out, gzip=False)
+
+
 def frequencies(spark: SparkSession, a: argparse.Namespace) -> None:
     """Words of a corpus that occur often enough, the most frequent first."""
     writers.frequencies(corpus.term_frequencies(corpus.tokens(readers.corpus(spark, a.corpus)), a.least), a.out)
@@ -125,6 +131,7 @@ def parser() -> argparse.ArgumentParser:
     command("predict", predict, "inventory", "sense-vectors", "vectors", "test", "out", window=10, method="sim", most=3, ignore_case=False, stop_language=None)
     command("label", label, "clusters", "relations", "out", min_size=d.min_size, min_freq=0.0)
     command("anti", anti, "vectors", "out", top=[50, 100, 200])
+    command("preprocess", preprocess, "corpus", "out")
     command("frequencies", frequencies, "corpus", "out", least=20)
     command("similarity", similarity, "sense-vectors", "out", pairs=[""])
     return p

@@ -48,12 +48,6 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(ALPHABETIC), 0)
 
 
-def word_tokenize(text: Column) -> Column:
-    """Runs of letters, marks, numbers and underscores, and every other character but white space by itself: a plain
-    stand-in for a tree-bank tokenizer, without its rules for contractions and abbreviations."""
-    return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]"), 0)
-
-
 def stop_words(language: str = "english") -> list[str]:
     """The library's list for the language with the marks above."""
     from pyspark.ml.feature import StopWordsRemover

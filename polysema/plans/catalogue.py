@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polysema.functions import text as X
+from polysema.functions import treebank
 from polysema.functions import vectors as V
 from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, phrases, senses, sparse, wsd
 from polysema.plans import sql as S
@@ -196,10 +197,19 @@ def sense_ids(spark, d):
 
 @query("word_tokenize", S.WORD_TOKENIZE)
 def word_tokenize(spark, d):
-    t = X.word_tokenize(F.col("text"))
+    t = treebank.word_tokenize(F.col("text"))
     return docs(spark, d).select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(t, " ").cast("binary")).alias("tokens"))
 
 
+@query("treebank_tokens", S.TREEBANK)
+def treebank_tokens(spark, d):
+    """Sentences with quotes, contractions, prices, times and abbreviations around the names of the parts."""
+    s = F.concat(
+        F.lit("He said: \"It's "), "p_name", F.lit(",\" but can't (or won't) pay $"), F.col("p_size").cast("string"), F.lit('.50 -- not at 3:00 p.m. "Gimme '), "p_type", F.lit("...\", 'tis gonna be No. 5? Mr. "), "p_brand", F.lit(" cannot go.")
+    )
+    return table(spark, d, "part").select("p_partkey", F.array_join(treebank.word_tokenize(s), " ").alias("tokens"))
+
+
 @query("lowercase_vocabulary", S.LOWERCASE)
 def lowercase_vocabulary(spark, d):
     words = corpus.term_frequencies(corpus.tokens(docs(spark, d)), 1).select("word", F.col("freq").alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from polysema.functions import treebank
+
 TOKEN = r"[\p{L}\p{Nl}\p{No}_]+"
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
 
@@ -392,10 +394,15 @@ from terms group by b, c, n"""
 
 SUMMARY = 'select sum(n_chars)::BIGINT as "sum", round(avg(n_chars), 6) as "mean", round(stddev_pop(n_chars), 6) as "std", quantile_cont(n_chars, 0.5) as "median", min(n_chars) as "min", max(n_chars) as "max" from documents'
 
-WORD_TOKENIZE = r"""
-with t as (select doc_id, regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\x20\x09-\x0D]') as t from documents)
+WORD_TOKENIZE = f"""
+with t as (select doc_id, {treebank.sql('text')} as t from documents)
 select doc_id, len(t)::INT as n, md5(array_to_string(t, ' ')) as tokens from t"""
 
+_PROBE = """'He said: "It''s ' || p_name || '," but can''t (or won''t) pay $' || p_size || '.50 -- not at 3:00 p.m. "Gimme ' || p_type || '...", ''tis gonna be No. 5? Mr. ' || p_brand || ' cannot go.'"""
+TREEBANK = f"""
+with t as (select p_partkey, {_PROBE} as s from part)
+select p_partkey, array_to_string({treebank.sql('s')}, ' ') as tokens from t"""
+
 LOWERCASE = r"""
 with t as (select unnest(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}_]+')) as w from documents), f as (select w, count(*) as n from t group by w)
 select lower(w) as word, max(n) as value from f group by 1"""
