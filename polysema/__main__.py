@@ -103,6 +103,32 @@ def similarity(spark: SparkSession, a: argparse.Namespace) -> None:
     evaluate.spearman(found, "sim", "score").show(truncate=False)
 
 
+def significance(spark: SparkSession, a: argparse.Namespace) -> None:
+    """McNemar's test of two evaluated files (column ``correct``), paired by line or by context id."""
+    left, right = (readers.evaluated(spark, p) for p in (a.left, a.right))
+    evaluate.mcnemar(evaluate.joined_by_id(left, right) if a.by_id else evaluate.joined_by_place(left, right), "a", "b").show(truncate=False)
+
+
+def _baseline(spark: SparkSession, a: argparse.Namespace, answers) -> None:
+    """Writes a test set with the answers (ctx_id, predicted) and prints their accuracy."""
+    test = readers.wsd_set(spark, a.test).drop("start", "end")
+    found = answers.select(F.col("ctx_id").alias("context_id"), F.col("predicted").cast("string").alias("predict_sense_ids"))
+    writers.predictions(test.drop("predict_sense_ids").join(found, "context_id", "left").select(*test.columns), a.out)
+    wsd.accuracy(readers.wsd_set(spark, a.out)).show(truncate=False)
+
+
+def most_frequent(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A test set answered by each target's largest cluster."""
+    i = readers.wsd_set(spark, a.test).select(F.col("context_id").alias("ctx_id"), "target")
+    _baseline(spark, a, evaluate.with_most_frequent(i, _clusters(spark, a.clusters).select("word", "cid", "size").distinct()))
+
+
+def random(spark: SparkSession, a: argparse.Namespace) -> None:
+    """A test set answered by one of each target's senses, drawn by the context's id."""
+    i = readers.wsd_set(spark, a.test).select(F.col("context_id").cast("bigint").alias("ctx_id"), "target")
+    _baseline(spark, a, evaluate.random_sense(i, _clusters(spark, a.clusters).select("word", "cid").distinct(), a.seed))
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser("polysema", description=__doc__)
     commands = p.add_subparsers(required=True)
@@ -133,6 +159,9 @@ def parser() -> argparse.ArgumentParser:
     command("anti", anti, "vectors", "out", top=[50, 100, 200])
     command("preprocess", preprocess, "corpus", "out")
     command("frequencies", frequencies, "corpus", "out", least=20)
+    command("significance", significance, "left", "right", by_id=False)
+    command("most-frequent", most_frequent, "clusters", "test", "out")
+    command("random", random, "clusters", "test", "out", seed=7)
     command("similarity", similarity, "sense-vectors", "out", pairs=[""])
     return p
 

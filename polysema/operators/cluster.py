@@ -91,9 +91,11 @@ def at_least(clusters: DataFrame, size: int) -> DataFrame:
 
 def sense_statistics(clusters: DataFrame, size: int) -> DataFrame:
     """One row: senses and words kept, their share, mean, standard deviation and median of senses a word."""
-    senses = clusters.select("word", "cid", "size").distinct()
+    from polysema.operators.evaluate import quantile
+
+    senses = Scratch(clusters.sparkSession, "senses").keep(clusters.select("word", "cid", "size").distinct(), "senses")
     per_word = senses.where(F.col("size") >= size).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    kept = per_word.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("senses_kept"), F.round(F.avg("n"), 6).alias("mean_senses"), F.round(F.stddev_pop("n"), 6).alias("std_senses"), F.percentile("n", F.lit(0.5)).alias("median_senses"))
+    kept = per_word.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("senses_kept"), F.round(F.avg("n"), 6).alias("mean_senses"), F.round(F.stddev_pop("n"), 6).alias("std_senses"), F.lit(quantile(per_word, "n", 0.5)).cast("double").alias("median_senses"))
     return kept.crossJoin(F.broadcast(senses.agg(F.count(F.lit(1)).alias("senses")))).select("*", F.round(100 * F.col("senses_kept") / F.col("senses"), 4).alias("kept_percent"))  # one row each
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from polysema.functions import text as X
 from polysema.functions import vectors as V
-from polysema.operators import cluster
+from polysema.operators import cluster, evaluate
+from polysema.plans import sql as S
 from polysema.plans.catalogue import query
 from polysema.sources import readers, writers
 from polysema.tables import shared_dir, table
@@ -182,3 +183,30 @@ def format_pair_similarities(spark, d):
     path = _path(spark, "similarities")
     writers.pair_similarities(_part(spark, d).select(F.concat("p_brand", "p_partkey").alias("w1"), F.col("name").alias("w2"), (F.col("p_size") / 64).alias("sim")), path)
     return readers.tsv(spark, path, "w1 string, w2 string, sim double", sep=",")
+
+
+def _answers(spark, d, name: str, right):
+    """An evaluated file in the order of p_partkey, several parts."""
+    path = _path(spark, name)
+    blank = {c: F.lit("-") for c in ("target_pos", "target_position", "gold_sense_ids", "predict_sense_ids", "golden_related", "predict_related", "context")}
+    rows = table(spark, d, "part").orderBy("p_partkey").select(F.lit(name).alias("context_id"), F.col("p_brand").alias("target"), *(c.alias(n) for n, c in blank.items()), right.alias("correct"))
+    writers.predictions(rows, path)
+    return readers.evaluated(spark, path)
+
+
+@query("format_evaluated", "select p_brand as target, p_size % 3 > 0 as correct, count(*) as n from part group by all")
+def format_evaluated(spark, d):
+    return _answers(spark, d, "a", F.col("p_size") % 3 > 0).groupBy("target", "correct").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("file_places", "select row_number() over (order by p_partkey) - 1 as place, p_brand as target, p_size % 3 > 0 as correct from part")
+def file_places(spark, d):
+    """The number of each line of a written folder."""
+    return evaluate.placed(_answers(spark, d, "a", F.col("p_size") % 3 > 0)).select("place", "target", "correct")
+
+
+@query("significance_by_place", S.SIGNIFICANCE_BY_PLACE)
+def significance_by_place(spark, d):
+    """Two systems' files without common ids, paired line by line."""
+    left, right = _answers(spark, d, "a", F.col("p_size") % 3 > 0), _answers(spark, d, "b", (F.col("p_partkey") + F.col("p_size")) % 4 > 0)
+    return evaluate.mcnemar(evaluate.joined_by_place(left, right), "a", "b")

@@ -392,6 +392,10 @@ terms as (select *, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n *
 select b, c, case when n > 0 then round(2 * sum(x), 6) end as p, case when n > 0 then round(2 * sum(x) - sum(x) filter (k = m), 6) end as midp, case when n > 0 then round((b - c) * (b - c) / n, 6) end as chi2
 from terms group by b, c, n"""
 
+SIGNIFICANCE_BY_PLACE = MCNEMAR.replace("count(*) filter (quality = 1 and toxic <> 0)", "count(*) filter (x and not y)").replace("count(*) filter (quality <> 1 and toxic = 0)", "count(*) filter (not x and y)").replace(
+    "from labels", "from (select p_size % 3 > 0 as x, (p_partkey + p_size) % 4 > 0 as y from part)"
+)
+
 SUMMARY = 'select sum(n_chars)::BIGINT as "sum", round(avg(n_chars), 6) as "mean", round(stddev_pop(n_chars), 6) as "std", quantile_cont(n_chars, 0.5) as "median", min(n_chars) as "min", max(n_chars) as "max" from documents'
 
 WORD_TOKENIZE = f"""
