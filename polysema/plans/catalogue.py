@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from polysema.functions import text as X
 from polysema.functions import treebank
 from polysema.functions import vectors as V
-from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, phrases, senses, sparse, wsd
+from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, instances as texts, phrases, senses, sparse, wsd
 from polysema.plans import sql as S
 from polysema.plans.training import Settings, closure
 from polysema.tables import Scratch, table
@@ -480,6 +480,23 @@ def wsd_disambiguate_all(spark, d):
     return wsd.disambiguate(instances(spark, d), contexts(spark, d), model(spark, d), vectors(spark, d))
 
 
+@query("wsd_texts", S.WSD_TEXTS)
+def wsd_texts(spark, d):
+    """From texts to senses: words get the vectors of the documents that begin with them; graph, networks, clusters and
+    priors of these words; every occurrence of a word of the inventory in any text; its sense by five known words each side."""
+    scratch = Scratch(spark, "texts")
+    e = table(spark, d, "embeddings")
+    first = docs(spark, d).select(F.col("doc_id").alias("vec_id"), F.get(X.tokenize(F.col("text")), 0).alias("word")).where("word is not null")
+    one = first.join(e.select("vec_id"), "vec_id", "left_semi").groupBy("word").agg(F.min("vec_id").alias("vec_id"))
+    v = scratch.keep(one.join(e, "vec_id").select("word", V.doubles(F.col("embedding")).alias("v")), "vectors")
+    g = scratch.keep(graph.quantised(graph.nearest_words(v, N)), "graph")
+    c = scratch.keep(cluster.at_least(cluster.emitted(networks.label_propagation(graph.ego_nodes(g), g, EDGES)), LEAST), "clusters")
+    inv = scratch.keep(senses.inventory(senses.priors(c), senses.pooled(c, v, most=POOLED)), "inventory")
+    found = scratch.keep(texts.found_in_texts(docs(spark, d).select("doc_id", "text"), inv.select("word").distinct(), v.select("word"), 5), "instances")
+    answers = wsd.disambiguate(found, found.select("ctx_id", F.explode("words").alias("word")), inv, v)
+    return found.select("ctx_id", "doc_id", "start").join(answers, "ctx_id").select("doc_id", "start", "target", "cid", "score", "how")
+
+
 # -- anti-edge induction --------------------------------------------------------
 
 

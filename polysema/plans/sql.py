@@ -129,20 +129,21 @@ _RECURSIVE = {
 }
 
 
-def chain(last: str, select: str) -> str:
-    """A query over the named stage and all that it needs."""
+def chain(last: str, select: str, other: dict[str, tuple[str, str]] | None = None) -> str:
+    """A query over the named stage and all that it needs; other: stages in place of those of the same name."""
     order: list[str] = []
+    steps = _STEPS | (other or {})
 
     def need(name: str) -> None:
         if name not in order:
-            for x in _STEPS[name][0].split():
+            for x in steps[name][0].split():
                 need(x)
             order.append(name)
 
     need(last)
     if "anti_nodes" not in order and "anti_nodes" in select:
         need("anti_nodes")
-    parts = [_RECURSIVE[n] if n in _RECURSIVE else f"{n} as materialized ({_STEPS[n][1]})" for n in order]
+    parts = [_RECURSIVE[n] if n in _RECURSIVE else f"{n} as materialized ({steps[n][1]})" for n in order]
     return f"with recursive {', '.join(parts)} {select}"
 
 
@@ -303,6 +304,27 @@ from vec left join by_ctx c on c.ctx_id = vec_id left join by_prior p on p.ctx_i
 
 DISAMBIGUATE_ALL = DISAMBIGUATE.replace(" as how\nfrom", " as how,\n  replace(vec.word, ' ', '_') || '#' || coalesce(c.cid, p.cid, 0) as sense\nfrom")
 
+#: Words with vectors: the first token of the document that has the vector's number.
+_TEXT_STEPS = {
+    "toks": ("", f"select doc_id, regexp_extract_all(text, '{TOKEN}') as t from documents"),
+    "vec": ("toks", "select word, vec_id, v from (select t[1] as word, min(vec_id) as vec_id from toks join embeddings on vec_id = doc_id where len(t) > 0 group by 1) join (select vec_id, list_transform(embedding, lambda x: x::DOUBLE) as v from embeddings) using (vec_id)"),
+    "place": ("vec", "select doc_id, i, w, w in (select word from vec) as known from (select doc_id, unnest(range(1, len(t) + 1)) as i, unnest(t) as w from toks)"),
+    "counted": ("place", "select *, sum(known::INT) over (partition by doc_id order by i) as k from place"),
+    "inst": ("counted model", "select doc_id, i, w as target, k, known::INT as own from counted where w in (select word from model)"),
+    "ctx": ("inst", """
+      select distinct x.doc_id || ':' || x.i as ctx_id, c.w as word from (
+        select *, unnest(range(1, 6)) as s from inst) x join counted c on c.doc_id = x.doc_id and c.known and (c.k = x.k - x.own + 1 - s or c.k = x.k + s)"""),
+    "tsense": ("inst", "select doc_id || ':' || i as ctx_id, cid, prob, v from inst join model on word = target"),
+}
+_TEXT_ANSWER = """
+, by_ctx as (select ctx_id, cid, score from (select *, row_number() over (partition by ctx_id order by score desc, cid) as r from sim_scores) where r = 1),
+by_prior as (select ctx_id, cid, prob from (select *, row_number() over (partition by ctx_id order by prob desc, cid) as r from tsense) where r = 1)
+select doc_id, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(t[:i - 1], lambda x: length(x))), 0))::INT as start,
+  target, coalesce(c.cid, p.cid)::INT as cid, coalesce(c.score, round(p.prob, 6)) as score, case when c.cid is not null then 'context' else 'prior' end as how
+from inst join toks using (doc_id) join (select doc_id, string_split_regex(text, '@@TOKEN@@') as g from documents) using (doc_id)
+  left join by_ctx c on c.ctx_id = inst.doc_id || ':' || i left join by_prior p on p.ctx_id = inst.doc_id || ':' || i"""
+WSD_TEXTS = chain("sim_scores", _TEXT_ANSWER.replace("@@TOKEN@@", TOKEN), _TEXT_STEPS)
+
 ANTI_INVENTORY = "select ego as word, label as cid, max({'n': n, 'node': node}).node as keyword, string_agg(node, ', ' order by node) as cluster from anti_labelled group by all"
 
 ANTI_DISAMBIGUATE = f"""
