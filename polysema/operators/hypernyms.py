@@ -56,15 +56,31 @@ def labels(clusters: DataFrame, isa: DataFrame, most: int = 5) -> DataFrame:
 
 
 def head_hypernym(terms: DataFrame) -> DataFrame:
-    """terms: term, tokens array<struct<text, pos, entity>> from a tagger of the caller's choice. term, hyper, score.
+    """terms: term, tokens array<struct<text, pos, entity>> (see ``morphology.tagged``). term, hyper, score.
 
-    For terms of several words longer than six characters without a named entity: the token before the last
-    adposition, else the last one, if it is a noun; the score is the share of the term's length."""
+    For terms of several words longer than six characters without a named entity: what stands before the last adposition, if its last
+    word is a noun; without an adposition the last word, if it is one. The score is the share of the term's length."""
     t = F.col("tokens")
     at = F.aggregate(F.sequence(F.lit(0), F.size(t) - 1), F.lit(-1), lambda a, i: F.when(F.get(t, i)["pos"] == "ADP", i).otherwise(a))
-    head = F.when(at > 0, F.get(t, at - 1)).otherwise(F.element_at(t, -1))
-    fit = terms.where((F.length("term") > 6) & F.col("term").contains(" ") & (F.size(t) > 0) & ~F.exists(t, lambda x: x["entity"]))
-    return fit.select("term", head.alias("h")).where("h.pos = 'NOUN'").select("term", F.col("h.text").alias("hyper"), (F.length("h.text") / F.length("term")).alias("score"))
+    fit = terms.where((F.length("term") > 6) & F.col("term").contains(" ") & (F.size(t) > 0) & ~F.exists(t, lambda x: x["entity"])).withColumn("at", at)
+    head = F.when(F.col("at") > 0, F.get(t, F.col("at") - 1)).otherwise(F.element_at(t, -1))
+    hyper = F.when(F.col("at") > 0, F.array_join(F.transform(F.slice(t, F.lit(1), F.greatest(F.col("at"), F.lit(0))), lambda x: x["text"]), " ")).otherwise(F.element_at(t, -1)["text"])
+    return fit.where(head["pos"] == "NOUN").select("term", hyper.alias("hyper")).withColumn("score", F.length("hyper") / F.length("term"))
+
+
+def with_heads(labelled: DataFrame, clusters: DataFrame, heads: DataFrame, lemmas: DataFrame | None = None) -> DataFrame:
+    """word, cid, hyper, score, source (cluster or head): the labels of ``labels`` and, of words that are terms with a head
+    (term, hyper, score), that head as one more hypernym of each of their senses, unless it is a label already.
+
+    lemmas: word, lemma. Labels whose lemma is the word itself in lower case are left out."""
+    kept = labelled.select("word", "cid", "hyper", "score")
+    if lemmas is not None:
+        of = lemmas.select(F.col("word").alias("hyper"), "lemma")
+        kept = kept.join(of, "hyper", "left").where(F.coalesce("lemma", "hyper") != F.lower("word")).select("word", "cid", "hyper", "score")
+    senses = clusters.select("word", "cid").distinct()
+    own = senses.join(heads.select(F.col("term").alias("word"), "hyper", F.round("score", 6).alias("score")), "word").select("word", "cid", "hyper", "score")
+    more = own.join(labelled.select("word", "cid", "hyper"), ["word", "cid", "hyper"], "left_anti")
+    return kept.withColumn("source", F.lit("cluster")).unionByName(more.withColumn("source", F.lit("head")))
 
 
 def disambiguated_members(clusters: DataFrame, context: DataFrame | None = None, least: float = 1e-6) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from polysema.functions import text as X
 from polysema.functions import treebank
 from polysema.functions import vectors as V
-from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, instances as texts, phrases, senses, sparse, wsd
+from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, instances as texts, morphology, phrases, senses, sparse, wsd
 from polysema.plans import sql as S
 from polysema.plans.training import Settings, closure
 from polysema.tables import Scratch, table
@@ -600,6 +600,49 @@ def has_relation(spark, d):
     return hypernyms.has_relation(pairs, _isa(spark, d))
 
 
+def _tagged(spark, d):
+    """Tagged tokens and terms made of the parts' names."""
+    p = table(spark, d, "part")
+    w1, w2 = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    last = F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).otherwise(F.lower("p_type"))
+    rows = [
+        (w1, w1, F.lit("ADJ")),
+        (F.concat(w2, F.when(F.col("p_size") % 2 == 0, F.lit("s")).otherwise(F.lit(""))), w2, F.lit("NOUN")),
+        (F.lit("of"), F.lit("of"), F.lit("ADP")),
+        (last, last, F.when(F.col("p_size") % 3 == 0, F.lit("PROPN")).otherwise(F.lit("NOUN"))),
+    ]
+    one = F.array(*(F.struct(F.lit(i + 1).alias("place"), f.alias("form"), l.alias("lemma"), t.alias("tag")) for i, (f, l, t) in enumerate(rows)))
+    tokens = p.select(F.col("p_partkey").alias("sentence"), F.explode(one).alias("x")).select("sentence", "x.*")
+    lower = F.lower("p_type")
+    made = [
+        F.col("p_name"), F.concat("p_name", F.lit("s of "), lower), F.concat(w2, F.lit(" of "), "p_brand"), F.concat(F.lit("un"), "p_name", F.lit("els in "), lower),
+        F.concat("p_type", F.lit(" "), w1), F.concat(F.lit("Qqq "), "p_brand"), F.concat("p_brand", F.lit("x ofs zz")),
+    ]
+    return tokens, p.select(F.explode(F.array(*made)).alias("term")).distinct()
+
+
+@query("lemmas", S.LEMMAS)
+def lemmas(spark, d):
+    """Known forms, and unknown ones by their endings."""
+    tokens, terms = _tagged(spark, d)
+    words = terms.select(F.explode(X.split_space(F.col("term"))).alias("word"))
+    return morphology.lemmas(words.unionAll(words.select(F.concat("word", F.lit("s")))), tokens)
+
+
+@query("term_tags", S.TERM_TAGS)
+def term_tags(spark, d):
+    """Parts of speech of every word of the terms, by Viterbi."""
+    tokens, terms = _tagged(spark, d)
+    return morphology.tagged(terms, tokens).select("term", F.posexplode("tokens").alias("at", "x")).select("term", "at", "x.text", "x.pos", "x.entity")
+
+
+@query("head_hypernyms", S.HEAD_HYPERNYMS)
+def head_hypernyms(spark, d):
+    tokens, terms = _tagged(spark, d)
+    found = hypernyms.head_hypernym(morphology.tagged(terms, tokens))
+    return found.select("term", "hyper", F.round("score", 6).alias("score"))
+
+
 def _part_clusters(spark, d):
     """word = type, sense = brand number mod 3, members = names with their counts as similarity."""
     p = table(spark, d, "part").select(F.lower("p_type").alias("word"), F.pmod(F.col("p_size"), F.lit(3)).alias("cid"), F.col("p_name").alias("member"))

@@ -466,3 +466,53 @@ select ego, node, max(wq)::INT as wq from (
 _AT = MEMBER_SENSES.rindex("\nselect")
 MEMBER_CLOSURE = f"""{MEMBER_SENSES[:_AT]}, found as ({MEMBER_SENSES[_AT:]})
 select word, cid, count(*) filter (where not contains(sense, '?')) >= 5 as kept, count(*) filter (where not contains(sense, '?')) as left from found group by all"""
+
+#: Tagged tokens made of the parts' names: adjective, noun (every second in the plural), of, and a type or a brand.
+_TAGGED = """
+tagged(sentence, place, form, lemma, tag) as (
+  select p_partkey, 1, split_part(p_name, ' ', 1), split_part(p_name, ' ', 1), 'ADJ' from part
+  union all select p_partkey, 2, split_part(p_name, ' ', 2) || case when p_size % 2 = 0 then 's' else '' end, split_part(p_name, ' ', 2), 'NOUN' from part
+  union all select p_partkey, 3, 'of', 'of', 'ADP' from part
+  union all select p_partkey, 4, case when p_size % 3 = 0 then p_brand else lower(p_type) end, case when p_size % 3 = 0 then p_brand else lower(p_type) end, case when p_size % 3 = 0 then 'PROPN' else 'NOUN' end from part),
+terms(term) as (select distinct unnest([p_name, p_name || 's of ' || lower(p_type), split_part(p_name, ' ', 2) || ' of ' || p_brand, 'un' || p_name || 'els in ' || lower(p_type), p_type || ' ' || split_part(p_name, ' ', 1), 'Qqq ' || p_brand, p_brand || 'x ofs zz']) from part)"""
+_KNOWN = """
+counted as (select lower(form) as form, lower(lemma) as lemma, count(*) as n from tagged group by all),
+known as (select form, lemma from (select *, row_number() over (partition by form order by n desc, lemma) as r from counted) where r = 1)"""
+LEMMAS = f"""
+with {_TAGGED}, {_KNOWN},
+words as (select word, lower(word) as form from (select distinct unnest(list_concat(string_split(term, ' '), list_transform(string_split(term, ' '), lambda x: x || 's'))) as word from terms)),
+shared as (select form, lemma, coalesce(list_max(list_filter(range(1, length(form) + 1), lambda i: form[:i] = lemma[:i])), 0) as k from known),
+change as (select form, length(form) - k as cut, substr(lemma, k + 1) as add from shared),
+each as (select right(form, s) as suffix, cut, add from (select *, unnest(range(1, least(length(form), 6) + 1)) as s from change) where s >= cut),
+rule as (select suffix, cut, add from (select *, row_number() over (partition by suffix order by n desc, cut, add) as r from (select suffix, cut, add, count(*) as n from each group by all)) where r = 1),
+fit as (select word, form[:length(form) - cut] || add as changed, row_number() over (partition by word order by length(suffix) desc) as r from (select word, form, right(form, s) as suffix from (select *, unnest(range(1, least(length(form), 6) + 1)) as s from words)) join rule using (suffix))
+select word, coalesce(lemma, case when changed <> '' then changed end, form) as lemma, case when lemma is not null then 'known' when changed <> '' then 'suffix' else 'none' end as how
+from words left join known using (form) left join (select word, changed from fit where r = 1) using (word)"""
+_VITERBI = f"""
+{_TAGGED},
+totals as (select tag, count(*) as n from tagged group by all),
+by_form as (select lower(form) as form, tag, count(*) as n from tagged group by all),
+by_suffix as (select suffix, tag, sum(n) as n from (select right(form, s) as suffix, tag, n from (select *, unnest(range(0, least(length(form), 4) + 1)) as s from by_form)) group by all),
+words as (select term, i - 1 as pl, w[i] as text, lower(w[i]) as form, len(w) as size from (select term, string_split(term, ' ') as w, unnest(range(1, len(string_split(term, ' ')) + 1)) as i from terms)),
+unseen as (select distinct form from words where form not in (select form from by_form)),
+longest as (select form, max_by(suffix, length(suffix)) as suffix from (select form, right(form, s) as suffix from (select *, unnest(range(0, least(length(form), 4) + 1)) as s from unseen)) where suffix in (select suffix from by_suffix) group by form),
+emit as (select form, tag, round(1000 * ln(e.n / totals.n))::INT as score from (select form, tag, n from by_form union all select form, tag, n from longest join by_suffix using (suffix)) e join totals using (tag)),
+pairs as (select a, b, count(*) as n from (select coalesce(lag(tag) over (partition by sentence order by place), '^') as a, tag as b from tagged) group by all),
+grid as (select x.a, t.tag as b, coalesce(p.n, 0) as n from (select tag as a from totals union all select '^') x cross join totals t left join pairs p on p.a = x.a and p.b = t.tag),
+step as (select a, b, round(1000 * ln((n + 1) / (sum(n) over (partition by a) + count(*) over (partition by a))))::INT as score from grid),
+cand as (select term, pl, tag, score from words join emit using (form)),
+walk as (
+  select term, pl, tag, {{'score': c.score + s.score, 'path': ['^', tag]}} as best from cand c join step s on s.a = '^' and s.b = c.tag where pl = 0
+  union all
+  select c.term, c.pl, c.tag, max({{'score': w.best.score + s.score + c.score, 'path': list_append(w.best.path, c.tag)}}) from walk w join cand c on c.term = w.term and c.pl = w.pl + 1 join step s on s.a = w.tag and s.b = c.tag group by c.term, c.pl, c.tag),
+final as (select term, max(best).path as path from walk join (select distinct term, size from words) using (term) where pl = size - 1 group by term),
+analysed as (select term, pl, text, path[pl + 2] as pos, size from words join final using (term))"""
+TERM_TAGS = f"""with recursive {_VITERBI} select term, pl::INT as "at", text, pos, pos = 'PROPN' as entity from analysed"""
+_HEADS = """
+heads as (
+  select term, hyper, length(hyper) / length(term) as score from (
+    select term, case when adp > 0 then string_agg(text, ' ' order by pl) filter (pl < adp) else max(text) filter (pl = size - 1) end as hyper,
+      max(pos) filter (pl = case when adp > 0 then adp - 1 else size - 1 end) as pos, bool_or(pos = 'PROPN') as entity
+    from (select *, coalesce(max(pl) filter (pos = 'ADP') over (partition by term), -1) as adp from analysed) group by term, adp)
+  where length(term) > 6 and contains(term, ' ') and pos = 'NOUN' and not entity)"""
+HEAD_HYPERNYMS = f"with recursive {_VITERBI}, {_HEADS} select term, hyper, round(score, 6) as score from heads"
