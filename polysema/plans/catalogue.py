@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from polysema.functions import text as X
 from polysema.functions import treebank
 from polysema.functions import vectors as V
-from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, instances as texts, morphology, phrases, senses, sparse, wsd
+from polysema.operators import cluster, corpus, ego as networks, embeddings, evaluate, graph, hypernyms, instances as texts, morphology, phrases, senses, sparse, subwords, wsd
 from polysema.plans import sql as S
 from polysema.plans.training import Settings, closure
 from polysema.tables import Scratch, table
@@ -442,6 +442,19 @@ def sense_vector_lookup(spark, d):
     return senses.vector_or_zero(asked, v, size).select("word", "cid", F.round(V.length(F.col("v")), 5).alias("length"))
 
 
+@query("subword_vectors", S.SUBWORD_VECTORS)
+def subword_vectors(spark, d):
+    """Words of the parts from rows of the matrix: seven rows of words, the others shared by n-grams."""
+    p, e = table(spark, d, "part"), table(spark, d, "embeddings")
+    w1, w2 = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    words = p.select(F.explode(F.array("p_brand", w1, F.concat(w2, F.col("p_size").cast("string")), F.lower("p_type"))).alias("word"))
+    known = p.select(w1.alias("word"), "p_partkey").groupBy("word").agg((F.min("p_partkey") % 7).alias("row"))
+    size = e.select(F.max(F.size("embedding"))).first()[0] or 0  # one row
+    found = subwords.word_vectors(words, known, e.select(F.col("vec_id").alias("row"), F.col("embedding").alias("v")), size, e.count() - 7, offset=7)
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    return found.select("word", F.size("v").cast("bigint").alias("dims"), (F.round(total, 5) + 0.0).alias("total"), F.round(V.length(F.col("v")), 5).alias("length"), "known")
+
+
 # -- disambiguation ---------------------------------------------------------------
 
 

@@ -516,3 +516,13 @@ heads as (
     from (select *, coalesce(max(pl) filter (pos = 'ADP') over (partition by term), -1) as adp from analysed) group by term, adp)
   where length(term) > 6 and contains(term, ' ') and pos = 'NOUN' and not entity)"""
 HEAD_HYPERNYMS = f"with recursive {_VITERBI}, {_HEADS} select term, hyper, round(score, 6) as score from heads"
+
+SUBWORD_VECTORS = """
+with n as (select count(*) as n from embeddings),
+words as (select distinct unnest([p_brand, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) || p_size, lower(p_type)]) as word from part),
+known as (select word, min(p_partkey) % 7 as row from (select split_part(p_name, ' ', 1) as word, p_partkey from part) group by all),
+grams as (select word, g from (select word, unnest(list_transform(range(3, 7), lambda k: substr(w, i, k))) as g, unnest(range(3, 7)) as k, i, w from (select word, '<' || word || '>' as w, unnest(range(1, length(word) + 3)) as i from words)) where i + k - 1 <= length(w)),
+hashed as (select word, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(g, ''), lambda c: ascii(c)::BIGINT)), lambda h, b: (xor(h, b) * 16777619) & 4294967295) as h from grams),
+used as (select word, h % (n - 7) + 7 as vec_id from hashed, n union all select word, row from words join known using (word))
+select word, len(v) as dims, round(list_sum(v), 5) + 0.0 as total, round(sqrt(list_inner_product(v, v)), 5) as length, word in (select word from known) as known from (
+  select word, list(x order by d) as v from (select word, d, avg(x) as x from (select word, unnest(embedding)::DOUBLE as x, unnest(range(len(embedding))) as d from used join embeddings using (vec_id)) group by all) group by word)"""
