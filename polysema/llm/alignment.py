@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polysema.llm.bpe import byte_symbols
+from polysema.llm.memory import begins, remembers
 from polysema.tables import Scratch, fits
 
 #: Pieces of text that a worker remembers before it forgets those it has not met since the last time, and
@@ -203,6 +204,9 @@ def loaded(a_spec: str, b_model: bytes) -> Pieces:
     return Pieces(a_spec, b_model)
 
 
+remembers("alignment", loaded.cache_clear)
+
+
 def align(docs: DataFrame, a_spec: str, b_model: bytes, groups: bool = True, digests: bool = False) -> DataFrame:
     """docs: doc_id, text. doc_id, n_a, n_b, n_groups, n_links, the distinct id pairs of the links (A's id times
     2^BITS plus B's) with the number of each, and as asked for groups, groups_sha256. One row a document, no shuffle.
@@ -213,6 +217,7 @@ def align(docs: DataFrame, a_spec: str, b_model: bytes, groups: bool = True, dig
     schema = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, pairs array<bigint>, times array<int>" + ", groups string" * groups + ", groups_sha256 string" * digests
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("alignment")
         pieces = loaded(*shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):

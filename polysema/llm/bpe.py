@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from polysema.llm.memory import begins, remembers
+
 #: Words whose encodings, and pairs of tokens whose stability, a Python worker remembers before it starts anew.
 WORDS_KEPT, PAIRS_KEPT = 300_000, 100_000
 #: Texts that are encoded together: their new words make one trie.
@@ -194,6 +196,9 @@ def loaded(spec: str) -> WordBpe:
     return WordBpe(spec)
 
 
+remembers("bpe", loaded.cache_clear)
+
+
 def encode_texts(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str = "text", ids: bool = True, digests: bool = False) -> DataFrame:
     """id_col, n_tokens and, as asked for: ids array<int>; ids_sha256, decoded_sha256. No shuffle.
 
@@ -204,6 +209,7 @@ def encode_texts(docs: DataFrame, spec: str, id_col: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # a file of under 2 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("bpe")
         bpe = loaded(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
@@ -227,6 +233,7 @@ def decode_ids(coded: DataFrame, spec: str, id_col: str = "doc_id", ids: str = "
     kind = coded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("bpe")
         bpe = loaded(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from polysema.tables import Scratch
+from polysema.llm.memory import begins
 
 MIN_SCORE, MIN_QUESTION, MIN_ANSWER = 0.6, 0.6, 0.6
 K1, B, BLOCK, PART_WORDS, GRAM = 1.2, 0.75, 8, 1_000_000, 3
@@ -209,6 +210,7 @@ def counted(items: DataFrame) -> DataFrame:
     """items: item_id, text. Adds the number of words and the distinct words, as the search takes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("decontamination")
         for batch in batches:
             found = [words(t.as_py().lower()) for t in batch.column(1)]
             more = [pa.array([len(w) for w in found], pa.int64()), pa.array([sorted(set(w)) for w in found], pa.list_(pa.string()))]
@@ -242,6 +244,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str
         shared = docs.sparkSession.sparkContext.broadcast(index)  # of about PART_WORDS item words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            begins("decontamination")
             for batch in batches:
                 ids, cols = [], [[] for _ in range(5)]
                 for doc, t in zip(batch.column(0), batch.column(1)):
@@ -270,6 +273,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", scratch: Scratc
         before = shared = docs.sparkSession.sparkContext.broadcast(index)  # of about PART_WORDS item words
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            begins("decontamination")
             for batch in batches:
                 yield batch.filter(pa.array([not search(t.as_py(), shared.value) for t in batch.column(at)], pa.bool_()))
 

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from polysema.llm.components import connected_components, salted_join
+from polysema.llm.memory import begins
 from polysema.llm.shingles import linked, shingles
 from polysema.tables import Scratch, small
 
@@ -58,6 +59,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     document on; the first one is only marked, by a bit of its hash, so that rare shingles take no room."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("jaccard")
         marked = np.zeros(1 << MARKS, bool)
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
@@ -106,6 +108,7 @@ def sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)  # MOST_COMMON numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("jaccard")
         common = shared.value
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
@@ -151,6 +154,7 @@ def verified(links: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scr
     sorted_rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("jaccard")
         star, centre = None, None
         for batch in batches:
             a_out, b_out = [], []
@@ -246,6 +250,7 @@ def by_tile(rows: DataFrame, found: Callable[[pa.Table], pa.RecordBatch], schema
     rows = rows.select(*_TILE, *_ROW, rows.columns[-1]).repartition(*_TILE).sortWithinPartitions(*_TILE, "n", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("jaccard")
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -288,6 +293,7 @@ def shingle_arrays(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """node, shingles (sorted, 8 bytes each) of classes (node, doc_id, text_hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("jaccard")
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "shingles"])
 

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polysema.llm.memory import begins
 from polysema.tables import Scratch
 
 _UNITS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("digest", pa.binary())])
@@ -51,6 +52,7 @@ def units(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """docs: doc_id, text. One row a line: doc_id, text_hash, start, end, n_words, digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("lines")
         for batch in batches:
             cols: list[list] = [[] for _ in _UNITS]
             for doc, h, text in zip(*(batch.column(i) for i in range(3))):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from polysema.llm import linededup
 from polysema.llm.linededup import text_hash
+from polysema.llm.memory import begins
 from polysema.llm.shingles import _LOWER, _SPACE, mix, powers, word_hashes
 from polysema.tables import Scratch
 
@@ -69,6 +70,7 @@ def _mapped(df: DataFrame, schema: pa.Schema, ddl: str, rows) -> DataFrame:
     """df: doc_id, text_hash, text, more columns for rows(text, ...), which gives the other columns as arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("lines")
         for batch in batches:
             held, n = [], 0
             for doc, h, text, *rest in zip(*(batch.column(i) for i in range(batch.num_columns))):

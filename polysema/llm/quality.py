@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from polysema.llm.memory import begins
 from polysema.llm.sampling import held_out, labelled_texts
 
 #: Labelled documents a class at most that are used to fit, half for the
@@ -131,6 +132,7 @@ def add_scores(docs: DataFrame, model: Model, text: str = "text", name: str = "s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 64 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("quality")
         m = shared.value
         for batch in batches:
             scores = pa.array([score(t.as_py(), m) for t in batch.column(at)], pa.float64())
@@ -145,6 +147,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", least: float = T
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 64 KB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begins("quality")
         m = shared.value
         for batch in batches:
             yield batch.filter(pa.array([score(t.as_py(), m) >= least for t in batch.column(at)], pa.bool_()))
