@@ -28,17 +28,18 @@ def adjacent(docs: DataFrame, text: str = "text") -> DataFrame:
 def bigram_scores(docs: DataFrame, least: int = 5, threshold: float = 10.0, text: str = "text") -> DataFrame:
     """a, b, n, score: adjacent pairs with (n - least) * vocabulary / (freq a * freq b) above the threshold.
 
-    One pass over the texts counts words and pairs together; the counts are kept, and pairs
-    meet the word counts, which are one row a word."""
+    Pairs are counted by the 64-bit hashes of their words, which are narrow keys; the pairs that occur often enough get
+    their words and counts from the vocabulary, one row a word."""
+    scratch = Scratch(docs.sparkSession, "bigrams")
     t = X.tokenize(F.col(text))
-    both = F.expr("concat(transform(t, x -> struct(x as a, cast(null as string) as b)), transform(slice(t, 1, greatest(size(t) - 1, 0)), (x, i) -> struct(x as a, t[i + 1] as b)))")
-    units = docs.select(t.alias("t")).select(F.explode(both).alias("u")).select("u.a", "u.b")
-    counts = Scratch(docs.sparkSession, "bigrams").keep(units.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "counts")
-    freq = counts.where("b is null").select(F.col("a").alias("word"), F.col("n").alias("freq"))
-    pairs = counts.where(F.col("b").isNotNull() & (F.col("n") >= least))
-    size = freq.agg(F.count(F.lit(1)).alias("v"))
-    scored = pairs.join(freq.select(F.col("word").alias("a"), F.col("freq").alias("fa")), "a").join(freq.select(F.col("word").alias("b"), F.col("freq").alias("fb")), "b").crossJoin(F.broadcast(size))  # one row
-    score = F.round((F.col("n") - least) * F.col("v") / F.col("fa") / F.col("fb"), 6)
+    freq = scratch.keep(docs.select(F.explode(t).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq")), "words")
+    ids = docs.select(F.transform(t, lambda x: F.xxhash64(x)).alias("t"))
+    next_to = ids.select(F.explode(F.expr("transform(slice(t, 1, greatest(size(t) - 1, 0)), (x, i) -> struct(x as ha, t[i + 1] as hb))")).alias("p"))
+    pairs = next_to.groupBy("p.ha", "p.hb").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    size = freq.count()
+    named = freq.select(F.xxhash64("word").alias("h"), "word", "freq")
+    scored = pairs.join(named.select(F.col("h").alias("ha"), F.col("word").alias("a"), F.col("freq").alias("fa")), "ha").join(named.select(F.col("h").alias("hb"), F.col("word").alias("b"), F.col("freq").alias("fb")), "hb")
+    score = F.round((F.col("n") - least) * F.lit(size) / F.col("fa") / F.col("fb"), 6)
     return scored.select("a", "b", "n", score.alias("score")).where(F.col("score") > threshold)
 
 

@@ -123,5 +123,17 @@ def likely_senses(prior: DataFrame, min_prob: float) -> DataFrame:
     return prior.where(F.col("prob") > min_prob).where(X.good_token(F.col("word")))
 
 
+def cluster_of(asked: DataFrame, clusters: DataFrame) -> DataFrame:
+    """asked: word, cid (of any type). word, cid, member, sim of the members of these senses; a sense that isn't there comes once without a member."""
+    rows = clusters.select("word", F.col("cid").cast("string").alias("id_"), "member", "sim")
+    return asked.withColumn("id_", F.col("cid").cast("string")).join(rows, ["word", "id_"], "left").select("word", "cid", "member", "sim")
+
+
+def senses_full(words: DataFrame, folded: DataFrame, prior: DataFrame, min_prob: float = 0.0) -> DataFrame:
+    """words: word. folded: word, cid, cluster (array). prior: word, cid, prob. word, cid, prob, cluster of the words' senses above a prior, with the good tokens of each cluster."""
+    rows = words.select("word").distinct().join(folded, "word").join(prior.select("word", "cid", "prob"), ["word", "cid"]).where(F.col("prob") > min_prob)
+    return rows.select("word", "cid", "prob", F.filter("cluster", lambda x: X.good_token(x["word"])).alias("cluster"))
+
+
 def number_of_senses(clusters: DataFrame) -> DataFrame:
     return clusters.agg(F.countDistinct("word", "cid").alias("senses"))

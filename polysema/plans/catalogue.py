@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextvars import ContextVar
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -575,13 +576,24 @@ def sparse_cosine(spark, d):
     return sparse.similarity(pairs, v)
 
 
-@query("sparse_sense_pooling", S.chain("sparse", S.SPARSE_POOLING))
-def sparse_sense_pooling(spark, d):
+def _sparse_senses(spark, d, mark: str = ""):
+    """Two senses a word, of its strongest features by turns."""
     v = _sparse(spark, d)
-    members = sparse.top_features(v, 6).select("word", F.pmod("rank", F.lit(2)).alias("cid"), F.col("feature").alias("member"), F.col("score").alias("sim"), F.ceil(F.col("rank") / 2).cast("int").alias("pos"))
+    members = sparse.top_features(v, 6).select("word", F.pmod("rank", F.lit(2)).alias("cid"), F.concat("feature", F.lit(mark)).alias("member"), F.col("score").alias("sim"), F.ceil(F.col("rank") / 2).cast("int").alias("pos"))
     return sparse.pooled(members, v, "score", 2)
 
 
+@query("sparse_sense_pooling", S.chain("sparse", S.SPARSE_POOLING))
+def sparse_sense_pooling(spark, d):
+    return _sparse_senses(spark, d)
+
+
+@query("sparse_sense_pooling_marked", S.chain("sparse", S.SPARSE_POOLING))
+def sparse_sense_pooling_marked(spark, d):
+    """Members with a mark of their part of speech, known without it."""
+    return _sparse_senses(spark, d, "#NN")
+
+
 # -- hypernyms ----------------------------------------------------------------------
 
 
@@ -701,11 +713,73 @@ def synset_label_pairs(spark, d):
     return hypernyms.label_pairs(_synsets(spark, d), 3)
 
 
-@query("synset_vector_pairs", S.chain("synsets", S.VECTOR_PAIRS))
-def synset_vector_pairs(spark, d):
+def _close_synsets(spark, d):
     ids = _synsets(spark, d).select(F.expr("substring(synset, 2)").cast("int").alias("i")).distinct()
     close = ids.select(F.concat(F.lit("h"), "i").alias("src"), F.explode(F.array((F.col("i") + 1).alias("a"), F.col("i") + 2, F.col("i") + 3)).alias("j"), "i")
-    return hypernyms.vector_pairs(_synsets(spark, d), close.select("src", F.concat(F.lit("s"), "j").alias("dst"), (F.col("j") - F.col("i")).alias("rank")), 8, 2)
+    return close.select("src", F.concat(F.lit("s"), "j").alias("dst"), (F.col("j") - F.col("i")).alias("rank"))
+
+
+@query("synset_vector_pairs", S.chain("synsets", S.VECTOR_PAIRS))
+def synset_vector_pairs(spark, d):
+    return hypernyms.vector_pairs(_synsets(spark, d), _close_synsets(spark, d), 8, 2)
+
+
+@query("restored_bigrams", "select p_partkey, case when p_size % 2 = 0 then replace(p_name, ' ', '_') || ' end' else p_name || ' end' end as line from part")
+def restored_bigrams(spark, d):
+    """Pairs that the original text had joined are joined again, others are left."""
+    tokens = F.split(F.concat("p_name", F.lit(" end")), " ")
+    original = F.when(F.col("p_size") % 2 == 0, F.array(F.translate("p_name", " ", "_"), F.lit("end"))).otherwise(tokens)
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.restore_bigrams(tokens, original), " ").alias("line"))
+
+
+@query("word_neighbours", S.chain("graph", "select src, dst, wq from graph where src = 'w7w'"))
+def word_neighbours(spark, d):
+    return graph.neighbours(edges(spark, d), "w7w")
+
+
+@query("senses_of_words", S.chain("model", "select 'W' || vec_id || 'W' as asked, word, cid, round(prob, 6) as prob from model join vec using (word)"))
+def senses_of_words(spark, d):
+    """Words asked for in capitals, found by their variants."""
+    words = instances(spark, d).select(F.upper("target").alias("word"))
+    return senses.senses_of(words, model(spark, d), ignore_case=True).select("asked", "word", "cid", F.round("prob", 6).alias("prob"))
+
+
+@query("clusters_of_senses", S.chain("clusters", "select word, cid, member, sim from clusters where cid = 1 and word in (select word from vec where vec_id % 2 = 0) union all select word, -1, null, null from vec where vec_id % 2 = 0 and word not in (select word from clusters where cid = 1)"))
+def clusters_of_senses(spark, d):
+    """The members of the first sense of every second word; words without one come once without a member."""
+    asked = table(spark, d, "embeddings").where("vec_id % 2 = 0").select(F.concat(F.lit("w"), "vec_id", F.lit("w")).alias("word"), F.lit("1").alias("cid"))
+    return senses.cluster_of(asked, clusters(spark, d)).select("word", F.when(F.col("member").isNull(), -1).otherwise(F.col("cid").cast("int")).alias("cid"), "member", "sim")
+
+
+@query("predicted_senses", S.chain("sim_scores", S.PREDICTED))
+def predicted_senses(spark, d):
+    """A test set with spans: the target, then its context words, answered from its text."""
+    t = contexts(spark, d).groupBy("ctx_id").agg(F.array_join(F.sort_array(F.collect_list("word")), " ").alias("rest"))
+    blank = {c: F.lit("") for c in ("target_pos", "gold_sense_ids", "predict_sense_ids", "golden_related", "predict_related")}
+    rows = instances(spark, d).join(t, "ctx_id").select(F.col("ctx_id").alias("context_id"), "target", F.concat(F.lit("0,"), F.length("target")).alias("target_position"), F.concat("target", F.lit(" "), "rest").alias("context"), *(c.alias(n) for n, c in blank.items()))
+    return wsd.predicted(rows, model(spark, d), vectors(spark, d)).select("context_id", "target", "predict_sense_ids")
+
+
+@query("synset_sweep", S.chain("synsets", S.SWEEP))
+def synset_sweep(spark, d):
+    """Relations at two settings, in one plan."""
+    found = hypernyms.swept(_synsets(spark, d), _close_synsets(spark, d), [3], [8], [1, 2])
+    return reduce(DataFrame.unionAll, [r.withColumn("synsets", F.lit(c)) for (_, _, c), r in found.items()])
+
+
+@query("sparse_sense_similarity", S.chain("sparse", S.SPARSE_SENSE_SIM))
+def sparse_sense_similarity(spark, d):
+    """Cosine of the two senses of each word, and of a sense that isn't there."""
+    s = Scratch(spark, "sparse_senses").keep(_sparse_senses(spark, d), "senses")
+    w = s.select("word").distinct()
+    pairs = w.select(F.col("word").alias("w1"), F.lit(0).alias("c1"), F.col("word").alias("w2"), F.explode(F.array(F.lit(1), F.lit(7))).alias("c2"))
+    return sparse.sense_similarity(pairs, s)
+
+
+@query("sparse_sense_mix", S.chain("sparse", S.SPARSE_MIX))
+def sparse_sense_mix(spark, d):
+    v = _sparse(spark, d)
+    return sparse.with_word(_sparse_senses(spark, d), v.where("word >= 'm'"))
 
 
 # -- evaluation --------------------------------------------------------------------

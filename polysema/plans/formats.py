@@ -16,7 +16,7 @@ from polysema.functions import vectors as V
 from polysema.operators import cluster, evaluate
 from polysema.plans import sql as S
 from polysema.plans.catalogue import query
-from polysema.sources import readers, writers
+from polysema.sources import readers, schemas, writers
 from polysema.tables import shared_dir, table
 
 
@@ -210,3 +210,86 @@ def significance_by_place(spark, d):
     """Two systems' files without common ids, paired line by line."""
     left, right = _answers(spark, d, "a", F.col("p_size") % 3 > 0), _answers(spark, d, "b", (F.col("p_partkey") + F.col("p_size")) % 4 > 0)
     return evaluate.mcnemar(evaluate.joined_by_place(left, right), "a", "b")
+
+
+@query("format_labelled", "select replace(p_name, ' ', '_') as word, p_partkey::VARCHAR as cid, p_brand || ':1' as cluster, p_type as isas, p_size::VARCHAR as coverage from part")
+def format_labelled(spark, d):
+    """Senses with hypernym labels and coverage, five named columns."""
+    path = _path(spark, "labelled")
+    writers.labelled(_part(spark, d).select(F.col("name").alias("word"), F.col("p_partkey").alias("cid"), F.concat("p_brand", F.lit(":1")).alias("cluster"), F.col("p_type").alias("isas"), F.col("p_size").alias("coverage")), path)
+    return readers.tsv(spark, path, schemas.LABELLED, header=True)
+
+
+@query("format_disambiguated", "select p_brand as word, p_size::VARCHAR as cid, string_agg(p_type || '#' || p_partkey || ':' || printf('%.3f', p_partkey / 1048576.0), ', ' order by p_partkey desc) as cluster from part group by all")
+def format_disambiguated(spark, d):
+    """Members by their senses, folded by falling score."""
+    path = _path(spark, "disambiguated")
+    writers.disambiguated(table(spark, d, "part").select(F.col("p_brand").alias("word"), F.col("p_size").alias("cid"), F.concat("p_type", F.lit("#"), "p_partkey").alias("sense"), (F.col("p_partkey") / 1048576).alias("score")), path)
+    return readers.tsv(spark, path, schemas.CLUSTERS, header=True).select("word", "cid", "cluster")
+
+
+@query("format_label_relations", "select replace(p_name, ' ', '_') as hypo, p_type as hyper, 'label:' || p_partkey as source from part")
+def format_label_relations(spark, d):
+    path = _path(spark, "label_relations")
+    writers.relations(_part(spark, d).select(F.col("name").alias("hypo"), F.col("p_type").alias("hyper"), F.concat(F.lit("label:"), "p_partkey").alias("source")), path)
+    return readers.tsv(spark, path, "hypo string, hyper string, source string")
+
+
+@query("format_sparse_senses", "select p_brand as word, p_size::VARCHAR as cid, string_agg(p_type || p_partkey || ':' || printf('%.2f', p_size / 4.0), ', ' order by p_partkey) as features from part group by p_brand, p_size")
+def format_sparse_senses(spark, d):
+    path = _path(spark, "sparse_senses")
+    rows = table(spark, d, "part").select(F.col("p_brand").alias("word"), F.col("p_size").alias("cid"), F.col("p_partkey").alias("rank"), F.concat("p_type", "p_partkey").alias("feature"), (F.col("p_size") / 4).alias("score"))
+    writers.sparse_senses(rows, path)
+    return readers.tsv(spark, path, f"{schemas.CLUSTERS}, features string", header=True).select("word", "cid", "features")
+
+
+@query("format_features", "select distinct p_brand as feature from part")
+def format_features(spark, d):
+    """One feature a line."""
+    path = _path(spark, "features")
+    writers.feature_list(table(spark, d, "part").select(F.col("p_brand").alias("feature")), path)
+    return spark.read.text(path).withColumnRenamed("value", "feature")
+
+
+@query("format_clusters_nulls", "select case when p_size % 2 = 0 then p_brand else '' end as word, case when p_size % 3 = 0 then p_partkey::VARCHAR else '-1' end as cid, (p_size % 5 = 0)::INT as members, count(*) as n from part where p_size % 2 = 0 or p_size % 3 = 0 or p_size % 5 = 0 group by all")
+def format_clusters_nulls(spark, d):
+    """Missing words, ids and clusters are filled; a line of separators only is no row."""
+    path = _path(spark, "clusters")
+    p = table(spark, d, "part")
+    empty = F.lit("")
+    rows = p.select(F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(empty).alias("word"), F.when(F.col("p_size") % 3 == 0, F.col("p_partkey").cast("string")).otherwise(empty).alias("cid"), F.when(F.col("p_size") % 5 == 0, F.concat("p_type", F.lit(":0.5"))).otherwise(empty).alias("cluster"), empty.alias("isas"))
+    rows.write.csv(path, sep="\t", header=True, quote="", escape="", emptyValue="", nullValue="")
+    return readers.clusters(spark, path).groupBy("word", "cid", F.size("cluster").alias("members")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("format_vocabularies", "select distinct word from (select unnest([p_brand, p_type, 'x', 'y z', 'BRAND']) as word from part)")
+def format_vocabularies(spark, d):
+    """The word column of two files and three literals."""
+    frames = []
+    for c in ("p_brand", "p_type"):
+        path = _path(spark, c)
+        table(spark, d, "part").select(F.col(c).alias("word")).write.csv(path, sep="\t", header=True, quote="", escape="")
+        frames.append(readers.vocabulary(spark, path))
+    return readers.union_vocabulary(frames, ["x", "y z", "BRAND"])
+
+
+@query("format_gold_pairs", "select p_brand as word1, p_type as word2, p_size / 8.0::DOUBLE as gold from part")
+def format_gold_pairs(spark, d):
+    path = _path(spark, "gold")
+    table(spark, d, "part").select(F.col("p_brand").alias("word1"), F.col("p_type").alias("word2"), (F.col("p_size") / 8).alias("gold")).write.csv(path, sep="\t", header=True, quote="", escape="")
+    return readers.gold_pairs(spark, path)
+
+
+@query("format_csv_pairs", "select p_brand as word1, p_type as word2 from part")
+def format_csv_pairs(spark, d):
+    path = _path(spark, "csv")
+    table(spark, d, "part").select(F.col("p_brand").alias("word1"), F.col("p_type").alias("word2")).write.csv(path, header=True, quote="", escape="")
+    return readers.csv_pairs(spark, path)
+
+
+@query("format_contexts", "select p_brand as word, 'a \"' || p_name || '\" context' as context from part")
+def format_contexts(spark, d):
+    """Contexts with quotes in them."""
+    path = _path(spark, "contexts")
+    table(spark, d, "part").select(F.col("p_brand").alias("word"), F.concat(F.lit('a "'), "p_name", F.lit('" context')).alias("context")).write.csv(path, sep="\t", header=True, quote="", escape="")
+    return readers.contexts(spark, path)

@@ -526,3 +526,20 @@ hashed as (select word, list_reduce(list_prepend(2166136261::BIGINT, list_transf
 used as (select word, h % (n - 7) + 7 as vec_id from hashed, n union all select word, row from words join known using (word))
 select word, len(v) as dims, round(list_sum(v), 5) + 0.0 as total, round(sqrt(list_inner_product(v, v)), 5) as length, word in (select word from known) as known from (
   select word, list(x order by d) as v from (select word, d, avg(x) as x from (select word, unnest(embedding)::DOUBLE as x, unnest(range(len(embedding))) as d from used join embeddings using (vec_id)) group by all) group by word)"""
+
+PREDICTED = DISAMBIGUATE.replace("select vec_id as ctx_id, vec.word as target, coalesce(c.cid, p.cid, 0)::INT as cid, coalesce(c.score, round(p.prob, 6), 1.0) as score,\n  case when c.cid is not null then 'context' when p.cid is not null then 'prior' else 'none' end as how", "select vec_id as context_id, vec.word as target, coalesce(c.cid, p.cid, 0)::VARCHAR as predict_sense_ids") + " where vec_id in (select ctx_id from ctx)"
+SWEEP = VECTOR_PAIRS.split("kept as")[0] + """ranked as (select src, dst, row_number() over (partition by src order by rank, dst) as r from near join sizes on synset = dst where size <= 8),
+kept as (select c, src, dst from ranked, (values (1), (2)) t(c) where r <= c)
+select distinct s.word as hypo, h.word as hyper, 'vector:' || substr(src, 2) as source, c::INT as synsets from kept join synsets h on h.synset = dst join synsets s on s.synset = 's' || substr(src, 2) where s.word <> h.word
+union all select hypo, hyper, source, c::INT from (""" + LABEL_PAIRS + ") l, (values (1), (2)) t(c)"
+_SENSES2 = SPARSE_POOLING[: SPARSE_POOLING.rindex("\nselect")] + ", sense as (" + SPARSE_POOLING[SPARSE_POOLING.rindex("\nselect") :] + ")"
+SPARSE_SENSE_SIM = f"""{_SENSES2},
+len as (select word, cid, sqrt(sum(score * score)) as n from sense group by all),
+dots as (select a.word, sum(a.score * b.score) as dot from sense a join sense b on a.word = b.word and a.feature = b.feature where a.cid = 0 and b.cid = 1 group by all)
+select w.word as w1, 0 as c1, w.word as w2, c.c2::INT as c2, round(case when c.c2 = 1 and x.n * y.n > 0 then coalesce(dot, 0) / (x.n * y.n) else 0 end, 6) as sim
+from (select distinct word from sense) w cross join (values (1), (7)) c(c2) left join dots on dots.word = w.word left join len x on x.word = w.word and x.cid = 0 left join len y on y.word = w.word and y.cid = 1"""
+SPARSE_MIX = f"""{_SENSES2},
+known as (select word, feature, score / sqrt(sum(score * score) over (partition by word)) as score from sparse where word >= 'm'),
+own as (select word, cid, feature, case when word in (select word from known) then 0.5 * score / sqrt(sum(score * score) over (partition by word, cid)) else score end as score from sense)
+select word, cid, feature, round(sum(score), 6) as score from (
+  select * from own union all select s.word, s.cid, k.feature, 0.5 * k.score from (select distinct word, cid from sense) s join known k using (word)) group by all"""

@@ -125,3 +125,21 @@ def test_vectors_of_one_dimension(spark, tmp_path):
     writers.word2vec(v, f"{tmp_path}/v")
     assert {(r["word"], tuple(r["v"])) for r in readers.word2vec_text(spark, f"{tmp_path}/v").collect()} == {("a", (1.0,)), ("b", (2.5,))}
     assert {r["word"] for r in readers.word2vec_vocabulary(spark, f"{tmp_path}/v").collect()} == {"a", "b"}
+
+
+def test_access_to_clusters_and_sparse_senses(spark):
+    from polysema.operators import senses, sparse
+
+    members = spark.createDataFrame([("bank", 1, "river", 1.0), ("bank", 1, "12 3", 0.5), ("bank", 2, "money", 0.7)], "word string, cid int, member string, sim double")
+    asked = spark.createDataFrame([("bank", "2"), ("bank", "9"), ("x", "1")], "word string, cid string")
+    assert {(r["word"], r["cid"], r["member"]) for r in senses.cluster_of(asked, members).collect()} == {("bank", "2", "money"), ("bank", "9", None), ("x", "1", None)}
+    folded = spark.createDataFrame([("bank", 1, [("river", 1.0), ("12 3", 0.5)]), ("bank", 2, [("money", 0.7)])], "word string, cid int, cluster array<struct<word string, sim double>>")
+    prior = spark.createDataFrame([("bank", 1, 0.8), ("bank", 2, 0.2)], "word string, cid int, prob double")
+    full = senses.senses_full(spark.createDataFrame([("bank",), ("none",)], "word string"), folded, prior, 0.5).collect()
+    assert [(r["cid"], [m["word"] for m in r["cluster"]]) for r in full] == [(1, ["river"])]
+    s = spark.createDataFrame([("a", 1, "f", 3.0), ("a", 1, "g", 4.0), ("a", 2, "f", 2.0), ("b", 1, "h", 5.0)], "word string, cid int, feature string, score double")
+    pairs = spark.createDataFrame([("a", 1, "a", 2), ("a", 1, "b", 1), ("a", 1, "a", 7)], "w1 string, c1 int, w2 string, c2 int")
+    assert {(r["w2"], r["c2"]): r["sim"] for r in sparse.sense_similarity(pairs, s).collect()} == {("a", 2): 0.6, ("b", 1): 0.0, ("a", 7): 0.0}
+    words = spark.createDataFrame([("a", "f", 2.0)], "word string, feature string, score double")
+    mixed = {(r["word"], r["cid"], r["feature"]): r["score"] for r in sparse.with_word(s, words).collect()}
+    assert mixed == {("a", 1, "f"): 0.8, ("a", 1, "g"): 0.4, ("a", 2, "f"): 1.0, ("b", 1, "h"): 5.0}
