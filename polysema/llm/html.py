@@ -2,11 +2,13 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags. Each block
 is described by its word count and link density, by those of the blocks before
-and after it, and by where it stands: inside or outside the page's main area,
-inside a part marked as a menu, footer, advert, form, notice or comment by its
-tag, role, class or id. Small decision trees, one for each kind of area, trained
+and after it, and by where it stands: inside or outside the page's main area, and
+how far the parts around it are marked as a menu, footer, advert, form, notice or
+comment, by tag or role and by class or id. A class or id is a full mark if all of its words
+are of that kind (``comment-list``), half a mark if some are (``related-work``). Decision trees, one for each kind of area, trained
 here on the labelled table below, say which blocks are main text: link lists
-inside the main area go, long text outside it stays.
+inside the main area go, long text outside it stays, and so does prose of the main area
+under half a mark. No mark drops a block by itself; what a mark means is learnt from the table.
 
 Defined results: null and empty pages give the empty text; mark-up that is cut
 off ends with the page; character references are decoded, white space inside a
@@ -38,11 +40,14 @@ BESIDE_ROLES = frozenset("navigation banner contentinfo complementary search for
 BESIDE_WORDS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar sidenav side rail nav navbar navigation menu submenu topbar toolbar breadcrumb breadcrumbs footer foot copyright header masthead comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search searchbox form share sharing social related recommended recommendations pagination pager widget tags taglist hidden".split()
 )
+STRUCTURE_WORDS = frozenset(
+    "area articles bar block blocks body bottom box button buttons center col column container content fixed global group icon icons inline inner item items left link links list main menu outer page panel post posts primary right row secondary section set site slot small stack sticky story stories text title top unit wrap wrapper".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 #: Words, link density; the same of the block before and after; area (1 inside
-#: the main area, 0 the page has none, -1 outside it); beside (1 inside a marked
-#: part); whether it is main text.
+#: the main area, 0 the page has none, -1 outside it); mark (1 inside a part that is
+#: marked by tag, role or all of a class or id, 0.5 by some of it); whether it is main text.
 LABELLED = [
     (120, 0.00, 80, 0.00, 90, 0.00, 1, 0, 1), (1, 0.00, 60, 0.00, 40, 0.00, 1, 0, 1), (8, 0.00, 2, 0.00, 70, 0.00, 1, 0, 1),
     (3, 0.00, 0, 0.00, 5, 0.00, 1, 0, 1), (40, 0.20, 30, 0.00, 30, 0.10, 1, 0, 1), (2, 0.00, 1, 0.00, 1, 0.00, 1, 0, 1),
@@ -89,6 +94,12 @@ LABELLED = [
     (12, 0.00, 6, 0.00, 30, 0.00, 1, 0, 1), (3, 0.00, 6, 0.00, 8, 0.00, 1, 0, 1), (25, 0.00, 6, 0.00, 9, 0.00, 1, 0, 1),
     (2, 0.00, 5, 0.00, 40, 0.00, 1, 0, 1), (9, 0.00, 6, 0.50, 2, 0.00, 1, 0, 1), (18, 0.00, 6, 0.00, 14, 0.00, 0, 0, 1),
     (4, 0.00, 3, 1.00, 3, 1.00, 0, 0, 0), (3, 0.00, 4, 1.00, 5, 1.00, 0, 0, 0), (6, 0.00, 6, 0.80, 2, 1.00, 0, 0, 0),
+    (2, 0.00, 3, 1.00, 25, 0.00, 0, 0, 1), (4, 0.00, 5, 1.00, 40, 0.00, 0, 0, 1), (1, 0.00, 4, 1.00, 60, 0.00, 0, 0, 1),
+    (120, 0.00, 80, 0.00, 90, 0.00, 1, 0.5, 1), (40, 0.00, 30, 0.00, 60, 0.00, 1, 0.5, 1), (12, 0.00, 60, 0.00, 40, 0.00, 1, 0.5, 1), (8, 0.10, 20, 0.00, 30, 0.00, 1, 0.5, 1),
+    (3, 0.00, 60, 0.00, 45, 0.00, 1, 0.5, 1), (6, 0.00, 2, 0.00, 70, 0.00, 1, 0.5, 1), (25, 0.00, 3, 0.00, 0, 0.00, 1, 0.5, 1), (4, 0.00, 30, 0.00, 20, 0.00, 1, 0.5, 1),
+    (5, 1.00, 40, 0.00, 4, 1.00, 1, 0.5, 0), (3, 1.00, 2, 1.00, 3, 1.00, 1, 0.5, 0), (9, 0.80, 5, 0.90, 7, 1.00, 1, 0.5, 0), (2, 0.00, 50, 0.00, 4, 1.00, 1, 0.5, 0), (12, 0.60, 30, 0.00, 9, 0.70, 1, 0.5, 0),
+    (30, 0.00, 60, 0.00, 20, 0.00, -1, 0.5, 0), (6, 0.00, 3, 0.00, 2, 1.00, -1, 0.5, 0), (4, 1.00, 4, 1.00, 4, 1.00, -1, 0.5, 0), (80, 0.00, 90, 0.00, 40, 0.00, -1, 0.5, 0), (15, 0.30, 8, 0.50, 3, 0.00, -1, 0.5, 0),
+    (40, 0.00, 60, 0.00, 50, 0.00, 0, 0.5, 1), (90, 0.00, 70, 0.00, 30, 0.00, 0, 0.5, 1), (25, 0.00, 40, 0.00, 35, 0.00, 0, 0.5, 1), (5, 1.00, 60, 0.00, 3, 1.00, 0, 0.5, 0), (3, 0.00, 2, 1.00, 3, 1.00, 0, 0.5, 0), (4, 0.00, 30, 0.00, 0, 0.00, 0, 0.5, 0),
 ]
 
 
@@ -101,7 +112,7 @@ class Node:
     keep: bool = False
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 5) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
     """A classification tree by the Gini index; of equal splits the first feature and limit."""
     if depth == 0 or y.min() == y.max():
         return Node(keep=bool(2 * y.sum() >= len(y)))
@@ -123,8 +134,8 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 5) -> Node:
 @functools.lru_cache(maxsize=3)
 def tree(area: int) -> Node:
     """The tree of the blocks inside the main area, outside it, or of a page without one."""
-    rows = [row for row in LABELLED if row[6] == area]
-    return grow(np.array([(*row[:6], row[7]) for row in rows], float), np.array([row[8] for row in rows], float))
+    rows = np.array([row for row in LABELLED if row[6] == area], float)
+    return grow(rows[:, [0, 1, 2, 3, 4, 5, 7]], rows[:, 8])
 
 
 def is_main(features: tuple[float, ...], node: Node) -> bool:
@@ -138,7 +149,7 @@ class Block:
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     main: bool = False
-    beside: bool = False
+    mark: float = 0.0
     text: str = ""
     words: int = 0
 
@@ -151,30 +162,34 @@ _NAME_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _NEGATED = re.compile(r"^(?:has|with|no|without|is)[-_]", re.I)
 
 
-def marked_beside(tag: str, attributes: str) -> bool:
-    """Whether an element is marked as standing beside the main text."""
+def mark_of(tag: str, attributes: str) -> float:
+    """How far an element is marked as standing beside the main text."""
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return 0.0
+    most = 0.0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return 1.0
         if name == "role" and value.lower() in BESIDE_ROLES:
-            return True
+            return 1.0
         if name in ("class", "id"):
             for one in value.split():
-                if not _NEGATED.match(one) and any(w.lower() in BESIDE_WORDS for w in _NAME_WORD.findall(one)):
-                    return True
-    return False
+                if _NEGATED.match(one):
+                    continue
+                words = [w.lower() for w in _NAME_WORD.findall(one)]
+                if any(w in BESIDE_WORDS for w in words):
+                    most = max(most, 1.0 if all(w in BESIDE_WORDS or w in STRUCTURE_WORDS or len(w) < 3 for w in words) else 0.5)
+    return most
 
 
 def blocks(page: str) -> list[Block]:
     """The page's flat list of text blocks that hold text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, inside main area, beside it
+    stack: list[tuple[str, bool, float]] = []  # open containers: tag, inside main area, mark
     places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
     scopes: list[int] = []  # places of the open scopes
-    current, main, beside, links, at = Block(), False, False, 0, 0
+    current, main, mark, links, at = Block(), False, 0.0, 0, 0
 
     def add(text: str) -> None:
         if "&" in text:
@@ -194,7 +209,7 @@ def blocks(page: str) -> list[Block]:
         if current.pieces and (words := "".join(current.pieces).split()):
             current.text, current.words = " ".join(words), len(words)
             out.append(current)
-        current = Block(main=main, beside=beside)
+        current = Block(main=main, mark=mark)
 
     n = len(page)
     while at < n:
@@ -229,25 +244,26 @@ def blocks(page: str) -> list[Block]:
                 at_open = places.get(tag)
                 if at_open and (tag in SCOPES or at_open[-1] > (scopes[-1] if scopes else -1)):
                     i = at_open[-1]
-                    change |= (stack[i - 1][1:] if i else (False, False)) != (main, beside)
+                    change |= (stack[i - 1][1:] if i else (False, 0.0)) != (main, mark)
                     while len(stack) > i:
                         drop()
             elif tag in CONTAINERS and tag not in VOID:
                 if tag in ("p", "li") and stack and stack[-1][0] == tag:
                     drop()  # its end tag may be left out
-                here = stack[-1][1:] if stack else (False, False)
-                is_beside = here[1] or tag in BESIDE_TAGS or tag == "header" and not here[0] or marked_beside(tag, attributes)
+                here = stack[-1][1:] if stack else (False, 0.0)
+                by_tag = tag in BESIDE_TAGS or tag == "header" and not here[0]
+                marked = max(here[1], 1.0 if by_tag else mark_of(tag, attributes))
                 is_area = here[0] or tag in ("article", "main") or 'role="main"' in attributes
-                change |= (is_area, is_beside) != (main, beside)
+                change |= (is_area, marked) != (main, mark)
                 places.setdefault(tag, []).append(len(stack))
                 if tag in SCOPES:
                     scopes.append(len(stack))
-                stack.append((tag, is_area, is_beside))
+                stack.append((tag, is_area, marked))
             if change:
                 links = 0 if tag in SCOPES else links
                 cut()
-            main, beside = stack[-1][1:] if stack else (False, False)
-            current.main, current.beside = main, beside
+            main, mark = stack[-1][1:] if stack else (False, 0.0)
+            current.main, current.mark = main, mark
     cut()
     return out
 
@@ -256,10 +272,11 @@ def main_text(page: str | None) -> str:
     found = blocks(page) if page else []
     if not found:
         return ""
-    area = any(b.main and not b.beside for b in found)
+    area = any(b.main and b.mark < 1 for b in found)
     size = [(b.words, min(1.0, b.linked / b.words)) for b in found]
     around = [(0, 0.0), *size, (0, 0.0)]
-    kept = [b.text for i, b in enumerate(found) if is_main((*around[i + 1], *around[i], *around[i + 2], b.beside), tree((1 if b.main else -1) if area else 0))]
+    place = [(1 if b.main else -1) if area else 0 for b in found]
+    kept = [b.text for i, b in enumerate(found) if is_main((*around[i + 1], *around[i], *around[i + 2], b.mark), tree(place[i]))]
     return " ".join(kept)
 
 
