@@ -8,7 +8,10 @@ A removed word always has an earlier copy, so of every text one copy is kept.
 
 Method: winnowing. Of each window the k-gram with the smallest hash is its anchor;
 equal windows have equal anchors, so only windows whose anchor occurs twice are
-written out and compared, by 128-bit hashes of all their words. Nothing is sampled.
+written out and compared, by 128-bit hashes of all their words. Windows whose
+words all stand in removed lines take no part, so they have no anchor either:
+a line or a text that is common as a whole leaves the anchors of one occurrence.
+Nothing is sampled.
 
 Defined results: as in ``linededup``; words are those of ``shingles``.
 """
@@ -87,25 +90,32 @@ def _mapped(df: DataFrame, schema: pa.Schema, ddl: str, rows) -> DataFrame:
     return df.mapInArrow(run, ddl)
 
 
-def _anchors(text: str) -> tuple | None:
+def _free(text: str, cut: list[dict] | None, n: int) -> np.ndarray:
+    """Whether each of the n windows has a word outside the removed lines."""
+    if not cut:
+        return np.ones(n, bool)
+    start = places(text)[0]
+    gone = np.zeros(len(start) + 1, np.int64)
+    for line in cut:
+        gone[np.searchsorted(start, [line["start"], line["end"]])] += (1, -1)
+    left = np.concatenate(([0], np.cumsum(np.cumsum(gone[:-1]) == 0)))
+    return left[WIDTH:] > left[:n]
+
+
+def _anchors(text: str, cut: list[dict] | None) -> tuple | None:
     found = candidates(text)
     if found is None:
         return None
     _, grams, chosen = found
-    at = np.unique(chosen)
+    at = np.unique(chosen[_free(text, cut, len(chosen))])
     return grams[at].view(np.int64), at.astype(np.int32)
 
 
-def _windows(text: str, at: list[int], cut: list[dict] | None) -> tuple | None:
+def _windows(text: str, cut: list[dict] | None, at: list[int]) -> tuple | None:
     """The windows of the anchors at these places that have a word outside the removed lines."""
     w, _, chosen = candidates(text)
-    i = np.flatnonzero(np.isin(chosen, at))
+    i = np.flatnonzero(np.isin(chosen, at) & _free(text, cut, len(chosen)))
     start, end = places(text)
-    gone = np.zeros(len(w) + 1, np.int64)
-    for line in cut or ():
-        gone[np.searchsorted(start, [line["start"], line["end"]])] += (1, -1)
-    left = np.concatenate(([0], np.cumsum(np.cumsum(gone[:-1]) == 0)))
-    i = i[left[i + WIDTH] > left[i]]
     h1, h2 = rolling(w, WIDTH, _FIRST)[i], rolling(mix(w ^ np.uint64(_SECOND)), WIDTH, _SECOND)[i]
     return i, start[i], end[i + WIDTH - 1], h1.view(np.int64), h2.view(np.int64)
 
@@ -122,18 +132,19 @@ def repeats(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     lines = scratch.keep(linededup.repeats(docs, 1, scratch), "lines")
     cut = lines.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("cut"))
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
-    anchors = scratch.keep(_mapped(texts, _ANCHORS, "doc_id bigint, text_hash bigint, anchor bigint, at int", _anchors), "anchors")
+    # tables of documents grow with them, so they are shuffled at every size
+    told = texts.alias("d").join(cut.hint("merge").alias("c"), _same("d", "c"), "left").select("d.doc_id", "d.text_hash", "text", "cut")
+    anchors = scratch.keep(_mapped(told, _ANCHORS, "doc_id bigint, text_hash bigint, anchor bigint, at int", _anchors), "anchors")
     twice = scratch.keep(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "twice")
     at = scratch.keep(anchors.join(twice, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("at")), "at")
-    # both tables grow with the documents, so they are shuffled at every size
-    again = texts.alias("d").join(at.hint("merge").alias("a"), _same("d", "a")).select("d.doc_id", "d.text_hash", "text", "at")
-    again = again.alias("d").join(cut.hint("merge").alias("c"), _same("d", "c"), "left").select("d.doc_id", "d.text_hash", "text", "at", "cut")
+    again = told.alias("d").join(at.hint("merge").alias("a"), _same("d", "a")).select("d.doc_id", "d.text_hash", "text", "cut", "at")
     windows = _mapped(again, _WINDOWS, "doc_id bigint, text_hash bigint, word bigint, start bigint, end bigint, h1 bigint, h2 bigint", _windows)
     windows = scratch.keep(windows, "windows")
-    firsts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(linededup.rank()).alias("kept"), F.min(F.struct(*_order(), "word")).alias("first")).where("n > 1")
+    firsts = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_order(), "word")).alias("first")).where("n > 1")
     for t in (anchors, twice, at):
         scratch.drop(t)
-    firsts = scratch.keep(firsts.select("h1", "h2", "kept", F.col("first.word").alias("kept_word")), "firsts")
+    kept = F.struct(*(F.col(f"first.{c}").alias(c) for c in ("no_id", "doc_id", "text_hash", "start")))
+    firsts = scratch.keep(firsts.select("h1", "h2", kept.alias("kept"), F.col("first.word").alias("kept_word")), "firsts")
     own = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")) & (F.col("word") < F.col("kept_word") + WIDTH)
     gone = windows.join(firsts, ["h1", "h2"]).where((linededup.rank() > F.col("kept")) & ~own)
     run = [F.col("doc_id"), F.col("text_hash"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.text_hash").alias("kept_text_hash"), (F.col("word") - F.col("kept_word")).alias("apart")]

@@ -58,3 +58,24 @@ def test_equals_plain_search(spark):
     assert sum(len(x) for x in want.values()) < sum(len(t.split()) for _, t in rows)
     assert {i: t.split() for i, t in left(spark, rows).items()} == want
     assert passages.repeats(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_windows_in_removed_lines_have_no_anchors(spark, monkeypatch):
+    """Copies of a text go as lines, so that no anchor of it is left twice; a common line gives anchors at its ends only."""
+    line, text = words(50, 400), "\n".join(words(51 + i, 70) for i in range(3))
+    rows = [(i, f"{line}\n{words(400 + i, 8)}") for i in range(30)] + [(100 + i, text) for i in range(30)]
+    counts, keep = {}, passages.Scratch.keep
+
+    def counted(self, df, name="t"):
+        out = keep(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(passages.Scratch, "keep", counted)
+    spans = {(r["doc_id"], r["unit"], r["n_words"], r["kept_doc_id"]) for r in passages.repeats(docs(spark, rows)).collect()}
+    assert spans == {(i, "line", 400, 0) for i in range(1, 30)} | {(100 + i, "line", 70, 100) for i in range(1, 30)}
+    once = [len(passages._anchors(x, None)[0]) for x in (line, text)]
+    assert counts["anchors"] <= sum(once) + 30 * 9 < 30 * sum(once) and counts["windows"] <= 30 * 60
+    counts.clear()
+    passages.repeats(docs(spark, rows[30:])).collect()
+    assert counts["anchors"] == once[1] and counts["twice"] == counts["windows"] == 0
