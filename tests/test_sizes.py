@@ -26,3 +26,19 @@ def test_full_sizes_and_the_rank_of_edges(spark, tmp_path):
     edges = lambda name: {(r["a"], r["b"]) for r in q[name](spark, str(tmp_path)).where("ego = 'w7w'").collect()}
     assert edges("ego_edges_strongest") == want < whole == edges("ego_edges_full")
     assert catalogue._SIZES.get() == catalogue.Sizes()
+
+
+def test_kept_table_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from polysema.tables import CLEANUP, Scratch
+
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in found.split("\n") if "shuffle_" in x}
+
+    before, setting = shuffled(), spark.conf.get(CLEANUP, None)
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = Scratch(spark, "sizes").keep(df)
+    assert not shuffled() - before and spark.conf.get(CLEANUP, None) == setting
+    assert kept.count() == df.count() == 7
