@@ -34,11 +34,11 @@ def word2vec(vectors: DataFrame, path: str, key: str = "word") -> None:
 
 
 def inventory(prior: DataFrame, path: str) -> None:
-    _text(prior, _fields(X.sense_id(F.col("word"), F.col("cid")), F.format_string("%.6f", F.col("prob"))), path)
+    _text(prior, _fields(X.sense_id(F.col("word"), F.col("cid")), X.fixed_point(F.col("prob"), 6)), path)
 
 
 def edges(graph: DataFrame, path: str) -> None:
-    _text(graph, _fields("src", "dst", F.format_string("%.6f", F.col("weight").cast("double"))), path)
+    _text(graph, _fields("src", "dst", X.fixed_point(F.col("weight").cast("double"), 6)), path)
 
 
 def clusters(senses: DataFrame, path: str, digits: int = 4) -> None:
@@ -57,7 +57,7 @@ def labelled(senses: DataFrame, path: str) -> None:
 
 def disambiguated(members: DataFrame, path: str, scores: bool = True) -> None:
     """word, cid, sense, score, one row a member, folded to ``word#cid:0.123, ...``."""
-    item = F.concat("sense", F.lit(":"), F.format_string("%.3f", F.col("score"))) if scores else F.col("sense")
+    item = F.concat("sense", F.lit(":"), X.fixed_point(F.col("score"), 3)) if scores else F.col("sense")
     one = members.groupBy("word", "cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), item.alias("i")))).alias("c"))
     _table(one, path, word="word", cid="cid", cluster=F.array_join(F.transform("c", lambda x: x["i"]), ", "), isas=F.lit(""))
 
@@ -74,7 +74,7 @@ def relations(pairs: DataFrame, path: str) -> None:
 
 def sparse_senses(senses: DataFrame, path: str) -> None:
     """word, cid, rank, feature, score folded to ``feature:0.12, ...`` by rank."""
-    one = senses.groupBy("word", "cid").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat("feature", F.lit(":"), F.format_string("%.2f", F.col("score"))).alias("i")))).alias("f"))
+    one = senses.groupBy("word", "cid").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat("feature", F.lit(":"), X.fixed_point(F.col("score"), 2)).alias("i")))).alias("f"))
     _table(one, path, word="word", cid="cid", cluster=F.lit(""), isas=F.lit(""), features=F.array_join(F.transform("f", lambda x: x["i"]), ", "))
 
 
@@ -92,7 +92,7 @@ def tokenised(docs: DataFrame, path: str, gzip: bool = True) -> None:
 
 
 def pair_similarities(pairs: DataFrame, path: str) -> None:
-    _text(pairs, F.concat_ws(",", "w1", "w2", F.format_string("%.6f", F.col("sim"))), path)
+    _text(pairs, F.concat_ws(",", "w1", "w2", X.fixed_point(F.col("sim"), 6)), path)
 
 
 def feature_list(vectors: DataFrame, path: str) -> None:
